@@ -68,10 +68,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_topk": """
             WITH whole AS (
-              SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS g
+              SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS g
               FROM embeddings
               WHERE vec_id IS NOT NULL AND len(embedding) > 0
-                AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+                AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)
             ), scored AS (
               SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.g, c.g) AS BIGINT) AS score
               FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.g) = len(c.g)
