@@ -22,11 +22,15 @@ UNKNOWN = "und"
 #: Training: rows of a language at most, each of at most so many characters, and languages at most
 #: (the most frequent ones; ties by name).
 ROWS, LONGEST, LANGUAGES = 400, 20_000, 64
+#: Texts of fewer bytes are not judged by their code length.
+SHORT = 64
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 def learn(docs: DataFrame, rows: int = ROWS, languages: int = LANGUAGES) -> tuple[list[str], Scorer, float] | None:
-    """Languages, their trees, and the code length (bits a byte) that no training text exceeds by half.
+    """Languages, their trees, and a bound on the code length (bits a byte) of texts in them.
+
+    The bound is halfway from the longest of any training text to the 8 bits of noise.
 
     Only rows with a language and a crc32 fold other than 2 count; None if there are none.
     """
@@ -42,13 +46,13 @@ def learn(docs: DataFrame, rows: int = ROWS, languages: int = LANGUAGES) -> tupl
         return None
     names = sorted(own)
     scorer = Scorer([ContextModel(training(own[x], ORDER), ORDER, "ppm") for x in names])
-    every = [d for x in names for d in own[x] if len(d) >= 32] or [b"x" * 32]
+    every = [d for x in names for d in own[x] if len(d) >= SHORT] or [b"x" * SHORT]
     bits = -scorer.score(every).max(axis=1) / np.log(2) / np.array([len(d) for d in every])
-    return names, scorer, float(1.5 * bits.max())
+    return names, scorer, float((bits.max() + 8) / 2)
 
 
-def identify(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (the id alone by default), lang_pred, score and bits (a byte) of every whole text.
+def identify(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
+    """doc_id (with ``keep`` the whole ``row``), lang_pred, score and bits (a byte) of every whole text.
 
     Null texts and texts without a letter are ``und`` with score 0 and null bits, as is every text
     if ``model`` (from ``learn``) is None. Ties go to the first language by name. Repeated rows are
@@ -57,23 +61,22 @@ def identify(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
-    kept = docs.select(*(keep or [doc_id]), F.col(text).cast("string").alias("_text"))
-    fields = [f for f in kept.schema if f.name != "_text"]
+    rows = docs.select(F.struct("*").alias("row") if keep else F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
         names, scorer, _ = sent.value or ([UNKNOWN], None, 0)
-        for b in slices(batches, "_text"):
-            raw = texts(b.column(len(fields)))
+        for b in slices(batches, "text"):
+            raw = texts(b.column(1))
             spoken = np.array([bool(_LETTER.search(t.decode())) for t in raw]) & (scorer is not None)
             logs = scorer.score(raw) if scorer else np.zeros((len(raw), 1))
             best = logs.argmax(axis=1)
             top = logs[np.arange(len(raw)), best]
             share = 1 / np.exp(logs - top[:, None]).sum(axis=1)
             bits = -top / np.log(2) / np.maximum(1, [len(t) for t in raw])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(fields)], pa.array([names[i] if s else UNKNOWN for i, s in zip(best, spoken)]), pa.array(np.where(spoken, share, 0.0)), pa.array(bits, mask=~spoken)], [*(f.name for f in fields), "lang_pred", "score", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([names[i] if s else UNKNOWN for i, s in zip(best, spoken)]), pa.array(np.where(spoken, share, 0.0)), pa.array(bits, mask=~spoken)], [b.schema.names[0], "lang_pred", "score", "bits"])
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return kept.mapInArrow(run, f"{out}, lang_pred string, score double, bits double")
+    first = rows.schema[0]
+    return rows.mapInArrow(run, f"{first.name} {first.dataType.simpleString()}, lang_pred string, score double, bits double")
 
 
 def predict(docs: DataFrame) -> DataFrame:
@@ -85,11 +88,12 @@ def predict(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents, all columns, whose text is in a known language.
 
-    Rejected are texts that are ``und`` and those whose code length a byte is over half above that
-    of every training text: no language's statistics describe them. Without training rows all stay.
+    Rejected are texts that are ``und``, and longer ones whose code length a byte is nearer to noise
+    than to any training text: no language's statistics describe them. Without training rows all stay.
     """
     model = learn(docs)
     if model is None:
         return docs
-    judged = identify(docs, model, keep=docs.columns)
-    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("bits") <= model[2])).select(*docs.columns)
+    judged = identify(docs, model, keep=True)
+    known = (F.col("bits") <= model[2]) | (F.octet_length("row.text") < SHORT)
+    return judged.filter((F.col("lang_pred") != UNKNOWN) & known).select("row.*")

@@ -261,8 +261,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Network | Non
     return fit([r["text"].encode() for r in got], np.array([r["toxic"] for r in got]), weight / weight.mean(), [r["lang"] for r in got])
 
 
-def score(docs: DataFrame, model: Network | None, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """``keep`` columns (doc_id by default), score and predicted of every whole text.
+def score(docs: DataFrame, model: Network | None, keep: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id (with ``keep`` the whole ``row``), score and predicted of every whole text.
 
     Null is the empty text, which gets a score as any other. Without a model every score is 0.
     Repeated rows are judged alike; an empty table gives an empty result.
@@ -270,17 +270,16 @@ def score(docs: DataFrame, model: Network | None, keep: list[str] | None = None,
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
-    kept = docs.select(*(keep or ["doc_id"]), F.col(text).cast("string").alias("_text"))
-    fields = [f for f in kept.schema if f.name != "_text"]
+    rows = docs.select(F.struct("*").alias("row") if keep else F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
         net = sent.value
-        for b in slices(batches, "_text", 500_000):
-            s = net.score(texts(b.column(len(fields)))) if net else np.zeros(b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(fields)], pa.array(s), pa.array((s >= CUT).astype(np.int32))], [*(f.name for f in fields), "score", "predicted"])
+        for b in slices(batches, "text", 500_000):
+            s = net.score(texts(b.column(1))) if net else np.zeros(b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= CUT).astype(np.int32))], [b.schema.names[0], "score", "predicted"])
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return kept.mapInArrow(run, f"{out}, score double, predicted int")
+    first = rows.schema[0]
+    return rows.mapInArrow(run, f"{first.name} {first.dataType.simpleString()}, score double, predicted int")
 
 
 def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -291,4 +290,4 @@ def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all columns, that the classifier does not call toxic."""
-    return score(docs, learn(docs, labels), keep=docs.columns).filter(F.col("predicted") == 0).select(*docs.columns)
+    return score(docs, learn(docs, labels), keep=True).filter(F.col("predicted") == 0).select("row.*")
