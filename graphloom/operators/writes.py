@@ -6,18 +6,23 @@ store and applies write requests one by one; each appends one batch of numbered
 
 from __future__ import annotations
 
+import threading
+import uuid
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.render import datatype_number, guid_number, guid_text, timestamp_number
 from ..plans import reply
+from ..plans.compiler import compile_read
 from ..plans.errors import AlreadyThere, NotFound, RequestError, SemanticFault, Superseded, TooMany
 from ..plans.parser import parse
 from ..plans.semantic import completed
 from ..plans.tree import LINKAGES, Constraint, Request
-from ..sources.primitives import SCHEMA, Store, frame, restore
+from ..sources.primitives import Store, dump, frame, restore
+from .verify import counts, verify
 
 
 def absent(batch: DataFrame, existing: DataFrame, unique: list[str]) -> DataFrame:
@@ -69,6 +74,7 @@ class Session:
     types: dict[str, int] = field(default_factory=dict)
     base: DataFrame | None = None
     next_id: int = 0
+    properties: dict[str, str] = field(default_factory=dict)
 
     def store(self) -> Store:
         new = frame(self.spark, self.rows)
@@ -82,26 +88,98 @@ class Session:
         except RequestError as e:
             return f'error {e.code} "{e}"'
         try:
-            if request.verb == "read":
-                body = reply.read(self.store(), request)
-            elif request.verb == "write":
-                body = self.write(request)
-            elif request.verb == "dump":
-                body = self.dump(request)
-            elif request.verb == "status":
-                body = f"({self.next_id})"
-            else:
-                body = ""
+            body = getattr(self, f"on_{request.verb}")(request)
             return f"ok{mark} {body}".rstrip()
         except RequestError as e:
             return f'error {e.code}{mark} "{e}"'
 
-    def dump(self, request: Request) -> str:
-        from ..sources.primitives import dump
-
+    def on_read(self, request: Request) -> str:
+        """``timeout`` (seconds) cancels the jobs of the request; ``heatmap`` answers with the plan."""
+        if "heatmap" in request.modifiers:
+            compiler, root = compile_read(self.store(), request)
+            return compiler.reply(root)._jdf.queryExecution().simpleString()
+        if "timeout" not in request.modifiers:
+            return reply.read(self.store(), request)
+        sc, group = self.spark.sparkContext, uuid.uuid4().hex
+        sc.setJobGroup(group, "read", interruptOnCancel=True)
+        alarm = threading.Timer(float(request.modifiers["timeout"]), sc.cancelJobGroup, [group])
+        alarm.start()
+        try:
+            return reply.read(self.store(), request)
+        except Py4JError as e:
+            raise RequestError("timeout") from e
+        finally:
+            alarm.cancel()
+            sc.setLocalProperty("spark.jobGroup.id", None)
+
+    def on_write(self, request: Request) -> str:
+        return self.write(request)
+
+    def on_iterate(self, request: Request) -> str:
+        """The number of candidates that the constraint's own conditions leave."""
+        compiler, root = compile_read(self.store(), request)
+        rows, _ = compiler.matches(root, frozenset(), False)
+        return str(rows.count())
+
+    def on_islink(self, request: Request) -> str:
+        """Distinct left and right ends of the links that the constraint matches."""
+        compiler, root = compile_read(self.store(), request)
+        rows, _ = compiler.matches(root, frozenset(), False)
+        found = rows.agg(F.countDistinct("left"), F.countDistinct("right")).collect()[0]
+        return f"({found[0]} {found[1]})"
+
+    def on_dump(self, request: Request) -> str:
+        given = dict(a for a in request.arguments if isinstance(a, tuple))
+        start, end = int(given.get("start", 0)), int(given.get("end", self.next_id))
+        if "pagesize" in given:
+            end = min(end, start + int(given["pagesize"]))
+        records = dump(self.store().primitives, start, end)
+        return f'("6" {start} {end} (' + " ".join(r[0] for r in records.orderBy("id").select("record").collect()) + "))"
+
+    def on_restore(self, request: Request) -> str:
+        """``("6" start end (record) ...)``; the records must go on where the store ends, or start at 0."""
+        version, start, end, *records = request.arguments
+        if version != "6":
+            raise SemanticFault(f"can't restore version {version!r}")
+        if len(records) == 1 and all(isinstance(r, list) for r in records[0]):
+            records = records[0]
+        if len(records) != int(end) - int(start):
+            raise SemanticFault(f"expected {int(end) - int(start)} records, got {len(records)}")
+        lines = [_record(r) for r in records]
+        new = restore(self.spark.createDataFrame([(x,) for x in lines], "record string")) if lines else frame(self.spark, [])
+        found = [r.asDict() for r in new.orderBy("id").collect()]
+        if [r["id"] for r in found] != list(range(int(start), int(end))) or int(start) not in (0, self.next_id):
+            raise SemanticFault("records don't follow one another")
+        if int(start) == 0:
+            self.base, self.rows, self.types = None, [], {}
+        self.rows += found
+        self.next_id = int(end)
+        return ""
+
+    def on_verify(self, request: Request) -> str:
         given = dict(a for a in request.arguments if isinstance(a, tuple))
-        records = dump(self.store().primitives, int(given.get("start", 0)), int(given["end"]) if "end" in given else None)
-        return "(" + " ".join(r[0] for r in records.orderBy("id").select("record").collect()) + ")"
+        size = int(given.get("pagesize", 1000))
+        faults = verify(self.store().primitives).orderBy("id", "fault").limit(size).collect()
+        return "(" + " ".join(f'("{r.fault}" {guid_text(r.id)})' for r in faults) + ")"
+
+    def on_status(self, request: Request) -> str:
+        row = counts(self.store().primitives).collect()[0].asDict()
+        return "(" + " ".join(f'("{k}" {v or 0})' for k, v in row.items()) + ")"
+
+    def on_set(self, request: Request) -> str:
+        """Properties are Spark settings, or the session's own."""
+        for item in request.arguments:
+            if not isinstance(item, tuple):
+                raise SemanticFault("set takes name=value")
+            name, value = item
+            if name.startswith("spark."):
+                self.spark.conf.set(name, value)
+            else:
+                self.properties[name] = value
+        return ""
+
+    def on_sync(self, request: Request) -> str:
+        return ""  # what a request wrote is there when it returns
 
     def load(self, records: list[str]) -> None:
         """Replace the store by dump records."""
@@ -179,7 +257,7 @@ class Session:
         n = self.existing(c, own)
         if n is None:
             old = self.latest(*version) if version else None
-            if c.unique is not None and self.found({f: own.get("typeguid" if f == "type" else f) for f in c.unique if f in SCHEMA.fieldNames() or f == "type"} | ({} if not c.unique else {})):
+            if c.unique is not None and self.found({"typeguid" if f == "type" else f: own.get("typeguid" if f == "type" else f) for f in c.unique}):
                 raise AlreadyThere("primitive tagged as unique already exist")
             n = self.append(own, old)
         plan[id(c)] = n
@@ -236,6 +314,13 @@ class Session:
         return rows[0].asDict()
 
 
+def _record(fields: list) -> str:
+    """A parsed record as the line it came from."""
+    texts = (2, 4)
+    quote = lambda x: '"' + x.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"'
+    return "(" + " ".join("null" if f is None else quote(f) if i in texts else f for i, f in enumerate(fields)) + ")"
+
+
 def _same(a, b) -> bool:
     if isinstance(a, str) and isinstance(b, str):
         return " ".join(a.lower().split()) == " ".join(b.lower().split())

@@ -342,14 +342,21 @@ class Compiler:
             else:
                 samples.append(scope.variables[name])
                 plan[name] = ("sample", len(samples) - 1)
-        uses_count = counted or any("'count'" in str(x) or "estimate-count" in str(x) for x in plan.values())
-        placed = bool(c.sort or start or lists)
+        marked = "'cursor'" in str(plan)
+        uses_count = counted or marked or any("'count'" in str(x) or "estimate-count" in str(x) for x in plan.values())
+        placed = bool(c.sort or start or lists or marked)
         base = df.filter(F.col(key).isNotNull()).withColumn(k, F.col(key)) if key else df.withColumn(k, F.lit(0))
         cells = [x.alias(f"s{i}") for i, x in enumerate(samples)] + [x.alias(f"l{i}") for i, x in enumerate(lists)]
         if placed:
-            w = Window.partitionBy(k).orderBy(*self.sorted_by(self.order(c, scope)))
-            base = base.select(k, F.row_number().over(w).alias("rn"), *cells)
-            if not uses_count and size is not None:
+            keys = self.sorted_by(self.order(c, scope))
+            alone = len(samples) == 1 and not (lists or start or uses_count)
+            if alone:  # of one sample the first that there is will do
+                keys = [samples[0].isNull(), *keys]
+            w = Window.partitionBy(k).orderBy(*keys)
+            base = base.select(k, F.row_number().over(w).alias("rn"), *cells, *([F.col("id").alias("_last")] if marked else []))
+            if alone:
+                base = base.filter("rn = 1")
+            elif not uses_count and size is not None:
                 base = base.filter(F.col("rn") <= start + max(size, 1))
             rank = F.when(F.col("rn") > start, F.col("rn"))
         else:
@@ -361,6 +368,8 @@ class Compiler:
         parts = [F.count("*").alias(f"n{n}")]
         parts += [F.min_by(f"s{i}", F.when(F.col(f"s{i}").isNotNull(), rank)).alias(f"s{i}") for i in range(len(samples))]
         parts += [F.transform(F.array_sort(F.collect_list(F.when(shown, F.struct("rn", F.col(f"l{i}").alias("x"))))), lambda e: e["x"]).alias(f"l{i}") for i in range(len(lists))]
+        if marked:
+            parts.append(F.max_by("_last", F.when(shown, F.col("rn"))).alias("_last"))
         out = base.groupBy(k).agg(*parts)
         cut = F.least(F.col(f"n{n}"), F.lit(limit).cast("long")) if limit is not None else F.col(f"n{n}")
 
@@ -368,6 +377,9 @@ class Compiler:
             kind, x = how
             if kind == "struct":
                 return F.struct(*(built(y).alias(f"f{i}") for i, y in enumerate(x))) if x else F.struct(F.lit(None).cast("string").alias("f0"))
+            if kind == "set" and x == "cursor":  # where the next page goes on, or that there is none
+                more = F.lit(False) if size is None else F.col(f"n{n}") > start + size
+                return F.when(more, F.concat(F.lit('{"after": '), F.col("_last").cast("string"), F.lit("}"))).otherwise("null:")
             if kind == "set":
                 return cut if x in ("count", "estimate-count") else F.lit(None).cast("string")
             return F.col(f"{'s' if kind == 'sample' else 'l'}{x}")

@@ -105,7 +105,7 @@ _template("q_sample_max", _MIN % "-", f"SELECT {_guid('orders', 'l_orderkey')} A
 
 @_frame("q_collect", "SELECT r_name AS region, count(*) AS n, string_agg(n_name, ',' ORDER BY n_nationkey) AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
 def q_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = run(TableStore(spark, sf_dir), 'read ("region" result=((name $all)) (<-right "nation.n_regionkey" sort=left left->("nation" $n=name) $all=(($n))))')
+    rows = run(TableStore(spark, sf_dir), 'read ("region" result=((name $all)) (<-right "nation.n_regionkey" sort=left pagesize=1024 left->("nation" $n=name) $all=(($n))))')
     names = F.transform("all.f0", lambda x: x["f0"])
     return rows.select(F.col("name").alias("region"), F.size(names).cast("long").alias("n"), F.array_join(names, ",").alias("nations"))
 

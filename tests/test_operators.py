@@ -219,3 +219,73 @@ def test_random_templates(spark):
         compiler, root = compile_read(store, parse("read " + written(t)), None)
         got = sorted(int(r.guid[-15:], 16) for r in compiler.table(root).collect())
         assert got == naive(rows, t), written(t)
+
+
+def test_session_admin_requests(spark):
+    s = writes.Session(spark)
+    s.ask('write (name="a b" value="v" (<-left value="w\\"q"))')
+    assert s.ask("iterate (left=null)") == "ok 1"
+    assert s.ask("islink (left!=null)") == "ok (1 0)"
+    assert s.ask("verify ()") == "ok ()"
+    assert '("primitives" 2)' in s.ask("status (database)")
+    assert s.ask("sync ()") == "ok" and s.ask('set (cost="9")') == "ok" and s.properties == {"cost": "9"}
+    assert s.ask('read timeout=60 (name="a b" result=value)') == 'ok "v"'
+    assert "Physical Plan" in s.ask("read heatmap=true (any)")
+    dumped = s.ask("dump (start=0)")
+    assert dumped.startswith('ok ("6" 0 2 (')
+    t = writes.Session(spark)
+    assert t.ask("restore " + dumped[3:]) == "ok"
+    assert t.ask("dump (start=0)") == dumped
+    assert t.ask('restore ("6" 5 6 ())').startswith("error SEMANTICS")
+    assert t.ask('restore ("4" 0 0)').startswith("error SEMANTICS")
+
+
+def test_builder_makes_the_tree_of_the_text(spark):
+    from graphloom.builder import end, find, link
+    from graphloom.plans.parser import parse
+
+    built = find("a").where("value", ">=", "3").comparing("number").child(link("left", "b").child(end("right", "c").let("n", "name")), optional=True).returning("guid", "$n").sorted_by("-$n").page(5, 1)
+    text = 'read ("a" value>="3" value-comparator="number" (<-left optional "b" right->("c" $n=name)) result=((guid $n)) sort=-$n pagesize=5 start=1)'
+    assert built.constraint == parse(text).root
+    g = Graph()
+    top = g.add("a", value="5")
+    g.add("b", left=top, right=g.add("c", name="x"))
+    g.add("a", value="4")
+    s = g.store(spark)
+    assert {(r.value, r.n) for r in find("a").child(link("left", "b").child(end("right").let("n", "name")), optional=True).returning("value", "$n").table(s).collect()} == {("5", "x"), ("4", None)}
+    assert [r.value for r in find("a").without(link("left")).returning("value").table(s).collect()] == ["4"]
+    either = find("a").either(find().where("value", "=", "4"), find().where("value", "=", "5")).returning("value").sorted_by("value")
+    assert [r.value for r in either.table(s).collect()] == ["4", "5"]
+
+
+def test_saved_store_answers_alike(spark, tmp_path):
+    from graphloom.plans.reply import session
+    from graphloom.sources.stored import Saved, save
+
+    g = Graph()
+    a = g.add("t", name="a1")
+    b = g.version(a, name="a2", typeguid=g.types["t"])
+    g.add("u", left=b, value="x")
+    store = g.store(spark)
+    save(store.primitives, str(tmp_path / "s"))
+    saved = Saved(spark, str(tmp_path / "s"), g.types)
+    for q in ('read ("t" result=((name generation)))', f'read asof={guid(a)} ("t" result=((name)))', 'read ("u" left->($n=name) result=(($n value)))', "read (result=count newest>=0)"):
+        assert session(saved, q) == session(store, q)
+
+
+def test_cursors_lead_through_all_pages(spark):
+    from small import values
+
+    from graphloom.plans.reply import session
+
+    s = values(spark, "e", "b", "a", "d", "c")
+    seen, cursor = "", None
+    for _ in range(5):
+        at = "" if cursor is None else ' cursor="%s"' % cursor
+        got = session(s, f"read (sort=value pagesize=2{at} result=(cursor (value)))")
+        assert got.startswith('ok ("')
+        cursor, rest = got[5:].split('" (', 1)
+        seen += "".join(c for c in rest if c.isalpha())
+        if cursor == "null:":
+            break
+    assert seen == "abcde"
