@@ -17,10 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices, texts
+from .common import ship, slices
+from .pretokens import OTHER, PATTERN, PIECE, Memory
 
-#: Texts are encoded in groups of at most this many bytes, which bounds what the library holds.
-GROUP_BYTES = 200_000
+#: Texts are encoded in groups of at most this many characters, which bounds what the library holds.
+GROUP = 200_000
+#: Encoded pre-tokens that a worker remembers before it starts anew.
+REMEMBERED = 300_000
 
 
 def byte_alphabet() -> list[str]:
@@ -65,25 +68,38 @@ def model_json(ranks: dict[bytes, int], pattern: str) -> str:
 class Codec:
     """Encodes and decodes on a worker; built from ``model_json``."""
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, pattern: str = PATTERN):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(model)
+        self.memory = Memory(lambda x: [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(x, add_special_tokens=False)], REMEMBERED)
+        self.plain = pattern == PATTERN  # its pre-tokens are known here
         back = {c: b for b, c in enumerate(byte_alphabet())}
         self.bytes_of = {i: bytes(back[c] for c in token) for token, i in self.library.get_vocab().items()}
 
-    def encode(self, docs: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(docs, add_special_tokens=False)]
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
-    def starts(self, ids: list[int], raw: bytes) -> np.ndarray:
+    def encode(self, docs: list[str]) -> list[np.ndarray]:
+        """Ids of each text. The library encodes whole texts, or, where a text's pre-tokens are plain to
+        find, each different pre-token once."""
+        whole = [i for i, d in enumerate(docs) if not self.plain or OTHER.search(d)]
+        split = [PIECE.findall(d) for d in docs]
+        for i in whole:
+            split[i] = []
+        known = self.memory.of(split).__getitem__
+        out = [np.frombuffer(b"".join(map(known, s)), dtype="<u4") for s in split]
+        for group in _groups([docs[i] for i in whole]):
+            for e in self.library.encode_batch_fast(group, add_special_tokens=False):
+                out[whole.pop(0)] = np.array(e.ids, dtype="<u4")
+        return out
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+
+    def starts(self, ids: np.ndarray, raw: bytes) -> np.ndarray:
         """The character in which each token begins (a split character: for each of its tokens)."""
-        sizes = np.fromiter((len(self.bytes_of[i]) for i in ids), dtype=np.int64, count=len(ids))
+        sizes = np.fromiter((len(self.bytes_of[i]) for i in ids.tolist()), dtype=np.int64, count=len(ids))
         lead = (np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80
         return (np.cumsum(lead) - 1)[np.cumsum(sizes) - sizes] if len(ids) else sizes
 
@@ -91,7 +107,7 @@ class Codec:
 def _groups(docs: list[str]):
     at = size = 0
     for i, d in enumerate(docs):
-        if i > at and size + len(d) > GROUP_BYTES:
+        if i > at and size + len(d) > GROUP:
             yield docs[at:i]
             at, size = i, 0
         size += len(d)
@@ -107,11 +123,10 @@ def _mapped(docs: DataFrame, path: str, pattern: str, doc_id: str, text: str, sc
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
-        codec = Codec(model.value)
+        codec = Codec(model.value, pattern)
         for b in slices(batches, "text"):
-            out = []
-            for group in _groups([t or "" for t in b.column(1).to_pylist()]):
-                out += [row(codec, ids, t) for ids, t in zip(codec.encode(group), group)]
+            docs = [t or "" for t in b.column(1).to_pylist()]
+            out = [row(codec, ids, t) for ids, t in zip(codec.encode(docs), docs)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c)) for c in zip(*out))], ["doc_id", *(x.split()[0] for x in schema.split(", "))])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {schema}")
@@ -123,7 +138,7 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     Null is the empty text, which has no tokens. Repeated rows are encoded each; other columns are
     not read; an empty table gives an empty result.
     """
-    return _mapped(docs, path, pattern, doc_id, text, "ids array<int>, starts array<int>", lambda c, ids, t: (pa.scalar(ids, pa.list_(pa.int32())), pa.scalar(c.starts(ids, t.encode()).tolist(), pa.list_(pa.int32()))))
+    return _mapped(docs, path, pattern, doc_id, text, "ids array<int>, starts array<int>", lambda c, ids, t: (pa.scalar(ids.tolist(), pa.list_(pa.int32())), pa.scalar(c.starts(ids, t.encode()).tolist(), pa.list_(pa.int32()))))
 
 
 def decode(tokens: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -145,8 +160,8 @@ def decode(tokens: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, data binary, text string")
 
 
-def _digest(codec: Codec, ids: list[int], text: str) -> tuple[int, str, str]:
-    return len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
+def _digest(codec: Codec, ids: np.ndarray, text: str) -> tuple[int, str, str]:
+    return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

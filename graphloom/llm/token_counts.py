@@ -16,15 +16,10 @@ from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
 from .common import ship, slices
+from .pretokens import OTHER, PIECE, Memory
 
 #: Merged pre-tokens that a worker remembers before it starts anew.
 REMEMBERED = 200_000
-#: Where Python's classes and the library's agree by inspection: Latin, Greek, Cyrillic, general
-#: punctuation. A text with any other character is counted by the library as a whole.
-_OTHER = re.compile("[^\u0000-ɏΆ-ҁҊ-ԣ‐-‧‰-⁞]")
-#: The byte-level pre-tokens: a fixed pattern, with letters, numbers and the rest as Python writes them.
-_NUMBER = "0-9²³¹¼-¾"
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W_{_NUMBER}]+| ?[{_NUMBER}]+| ?(?:[^\s\w{_NUMBER}]|_)+|\s+(?!\S)|\s+")
 
 
 def whole_tokens(library) -> frozenset[str]:
@@ -36,7 +31,7 @@ def whole_tokens(library) -> frozenset[str]:
             found.append(bytes(back[c] for c in token).decode())
         except (KeyError, UnicodeDecodeError):  # part of a character: no pre-token
             continue
-    found = [t for t in found if not _OTHER.search(t) and _PIECE.findall(t) == [t]]
+    found = [t for t in found if not OTHER.search(t) and PIECE.findall(t) == [t]]
     return frozenset(t for t, e in zip(found, library.encode_batch_fast(found, add_special_tokens=False)) if len(e.ids) == 1)
 
 
@@ -54,35 +49,23 @@ class Counter:
         self.library.no_padding()
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.one = dict.fromkeys(whole, 1)
-        self.whole, self.known = whole, dict(self.one)
-
-    def merged(self, pieces: set[str]) -> None:
-        if len(self.known) > len(self.one) + REMEMBERED:
-            self.known = dict(self.one)
-        names = list(pieces)
-        for at in range(0, len(names), 5000):
-            part = names[at : at + 5000]
-            self.known.update(zip(part, (len(e.ids) for e in self.library.encode_batch_fast(part, add_special_tokens=False))))
+        self.memory = Memory(lambda x: [len(e.ids) for e in self.library.encode_batch_fast(x, add_special_tokens=False)], REMEMBERED, dict.fromkeys(whole, 1))
 
     def count(self, docs: list[str]) -> list[int]:
-        split: list[list[str] | int] = []
-        for d in docs:
-            if _OTHER.search(d):
-                split.append(len(self.library.encode_batch_fast([d], add_special_tokens=False)[0].ids))
+        split: list[list[str]] = []
+        added = [0] * len(docs)  # special strings, and the tokens of texts that the library counts as a whole
+        for i, d in enumerate(docs):
+            if OTHER.search(d):
+                added[i] = len(self.library.encode_batch_fast([d], add_special_tokens=False)[0].ids)
+                split.append([])
             elif self.special and self.special.search(d):
                 parts = self.special.split(d)
-                split.append(list(chain(["\0"] * (len(parts) - 1), chain.from_iterable(map(_PIECE.findall, parts)))))
+                added[i] = len(parts) - 1
+                split.append(list(chain.from_iterable(map(PIECE.findall, parts))))
             else:
-                split.append(_PIECE.findall(d))
-        # "\0" is one token, as a special string is
-        missing = set().union(*(s for s in split if not isinstance(s, int))).difference(self.known)
-        if missing:
-            self.merged(missing)
-            if any(p not in self.known for s in split if not isinstance(s, int) for p in s):  # the table began anew
-                self.merged(set().union(*(s for s in split if not isinstance(s, int))).difference(self.known))
-        known = self.known.__getitem__
-        return [s if isinstance(s, int) else sum(map(known, s)) for s in split]
+                split.append(PIECE.findall(d))
+        known = self.memory.of(split).__getitem__
+        return [n + sum(map(known, s)) for n, s in zip(added, split)]
 
 
 def count(docs: DataFrame, path: str, limit: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
