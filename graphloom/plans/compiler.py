@@ -192,7 +192,10 @@ class Compiler:
             keys = inner.select(F.col(far).alias(k)).filter(F.col(k).isNotNull())
             return df.join(keys, joined, "left_semi" if lo else "left_anti"), F.lit(True)
         inner, below = self.matches(child, frozenset(exported), contents and "contents" in self.names(child))
-        small = self.grouped(inner, below, child, far, n, exported, result, counted=(lo, hi) not in ((1, None), (0, None)))
+        if way == "to" and not start:
+            small = self.single(inner, below, child, n, exported, result)
+        else:
+            small = self.grouped(inner, below, child, far, n, exported, result, counted=(lo, hi) not in ((1, None), (0, None)))
         df = df.join(small, joined, "inner" if required and lo > 0 else "left").drop(k)
         for name in exported:
             scope.variables[name] = F.col(f"x{n}_{name[1:]}")
@@ -314,6 +317,29 @@ class Compiler:
     def sorted_by(keys: list[tuple[Column, bool]]) -> list[Column]:
         return [k.desc_nulls_first() if down else k.asc_nulls_last() for k, down in keys]
 
+    def single(self, df: DataFrame, scope: Scope, c: Constraint, n: int, exported: frozenset[str], result: bool) -> DataFrame:
+        """What ``grouped`` makes, for a child that the parent points to: ids are unique, so nothing is aggregated."""
+        limit = page(c, self.default_page)[2]
+
+        def built(p: Pattern, depth: int) -> Column:
+            if p.kind == "list" and depth == 0:
+                return F.struct(*(built(x, 1).alias(f"f{i}") for i, x in enumerate(p.items))) if p.items else F.struct(F.lit(None).cast("string").alias("f0"))
+            if p.kind == "list":
+                return F.array(self.row(p, scope))
+            if p.kind == "field" and p.name in ("count", "estimate-count"):
+                return F.lit(1 if limit is None else min(1, limit)).cast("long")
+            if p.kind == "field" and p.name == "cursor":
+                return F.lit("null:")
+            return self.row(p, scope)
+
+        own = {name: p for name, p in c.variables}
+        cells = [built(c.result, 0).alias(f"r{n}")] if result else []
+        for name in sorted(exported):
+            p = own.get(name)
+            value = built(p, 0) if p is not None and p.depth() == 2 else scope.variables[name]
+            cells.append(value.alias(f"x{n}_{name[1:]}"))
+        return df.select(F.col("id").alias(f"k{n}"), F.lit(1).cast("long").alias(f"n{n}"), *cells)
+
     def grouped(self, df: DataFrame, scope: Scope, c: Constraint, key: str | None, n: int, exported: frozenset[str], result: bool, counted: bool) -> DataFrame:
         """k, n, r and x_<variable> columns of a constraint's matches, one row for each value of ``key``."""
         start, size, limit = page(c, self.default_page)
@@ -441,15 +467,15 @@ class Compiler:
             raise SemanticFault(f"{root.cursor!r} is no cursor") from e
         keys = self.order(root, scope)
         named = df.withColumns({f"_o{i}": k for i, (k, _) in enumerate(keys)})
-        mark = named.filter(F.col("id") == last).select(*(F.col(f"_o{i}").alias(f"_m{i}") for i in range(len(keys)))).limit(1)
+        mark = named.filter(F.col("id") == last).select(F.struct(*(F.col(f"_o{i}") for i in range(len(keys))))).limit(1).scalar()
         after, tied = F.lit(False), F.lit(True)
         for i, (_, down) in enumerate(keys):
-            a, b = F.col(f"_o{i}"), F.col(f"_m{i}")
+            a, b = F.col(f"_o{i}"), mark[f"_o{i}"]
             greater = F.coalesce(a > b, a.isNull() & b.isNotNull())
             less = F.coalesce(a < b, b.isNull() & a.isNotNull())
             after = after | (tied & (less if down else greater))
             tied = tied & a.eqNullSafe(b)
-        return named.crossJoin(F.broadcast(mark)).filter(after).drop(*(f"_{x}{i}" for i in range(len(keys)) for x in "om"))
+        return named.filter(mark.isNotNull() & after).drop(*(f"_o{i}" for i in range(len(keys))))
 
 
 def dateline(text: str) -> int:
