@@ -16,7 +16,7 @@ from ..plans.errors import SemanticFault, SyntaxFault
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A number (its sign only at a break; dotted sequences part by part), a word, or any other sign.
 _TOKEN = r"(?<![0-9A-Za-z.])[+-]?\d+(?:\.\d+)?(?!\.?\d)|\d+|[A-Za-z\x{80}-\x{10FFFF}]+|[^\sA-Za-z0-9]"
-_NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
+_NUMBER = r"^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[Ii]nf(?:inity)?)$"
 _DIGITS, _FLIPPED = "0123456789", "9876543210"
 
 
@@ -24,41 +24,25 @@ def folded(c: Column) -> Column:
     return F.translate(c, _UP, _LOW)
 
 
-def magnitude(token: Column) -> Column:
-    """(order of magnitude with sign, digits) of a plain decimal text; orders as the number does, exactly."""
-    bare = F.regexp_replace(token, r"^[+-]?0*", "")
-    whole = F.regexp_extract(bare, r"^(\d*)", 1)
-    part = F.regexp_extract(bare, r"\.(\d*)", 1)
-    digits = F.regexp_replace(F.concat(whole, part), r"^0+|0+$", "")
-    zeros = F.length(F.regexp_extract(part, r"^(0*)", 1))
-    size = F.when(F.length(whole) > 0, F.length(whole)).otherwise(-zeros) + 100_000
-    minus = token.startswith("-")
-    return F.when(digits == "", F.struct(F.lit(0).alias("size"), F.lit("").alias("digits"))).when(
-        minus, F.struct((-size).alias("size"), F.concat(F.translate(digits, _DIGITS, _FLIPPED), F.lit("~")).alias("digits"))
-    ).otherwise(F.struct(size.alias("size"), digits.alias("digits")))
+def _sized(text: Column, number: Column) -> list[Column]:
+    """Fields that order numbers exactly: as a double first, then as a decimal, then (beyond 20 whole digits) as digits."""
+    plain = F.when(number, text)
+    exact = plain.try_cast("decimal(38,18)")
+    rest = F.when(number & exact.isNull(), F.regexp_replace(text, r"^[+-]?0*", "")).when(number, F.lit("")).otherwise(folded(text))
+    kind = F.when(number, 0).otherwise(1)
+    return [kind.alias("kind"), plain.try_cast("double").alias("about"), exact.alias("exact"), rest.alias("text")]
 
 
 def default_key(c: Column) -> Column:
     """Words, numbers and signs one by one: numbers first and by size, words without case, shorter first."""
-
-    def one(t: Column) -> Column:
-        number = t.rlike(r"^[+-]?\d")
-        m = magnitude(F.when(number, t).otherwise(F.lit("0")))
-        return F.struct(F.when(number, 0).otherwise(1).alias("kind"), m["size"].alias("size"), m["digits"].alias("digits"), F.when(number, F.lit("")).otherwise(folded(t)).alias("text"))
-
-    return F.when(c.isNotNull(), F.transform(F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(0)), one))
+    tokens = F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(0))
+    return F.when(c.isNotNull(), F.transform(tokens, lambda t: F.struct(*_sized(t, t.rlike(r"^[+-]?\d")))))
 
 
 def number_key(c: Column) -> Column:
-    """Numbers by value before all other texts, which go without case."""
+    """Numbers by value (exponents and infinities too) before all other texts, which go without case."""
     clean = F.trim(c)
-    infinite = F.when(folded(clean).rlike(r"^\+?inf(inity)?$"), F.lit("1")).when(folded(clean).rlike(r"^-inf(inity)?$"), F.lit("-1"))
-    plain = F.when(clean.rlike(r"[eE]"), F.format_string("%s", clean.try_cast("decimal(38,18)").cast("string"))).otherwise(clean)
-    is_number = clean.rlike(_NUMBER)
-    m = magnitude(F.when(is_number, plain).otherwise(F.coalesce(infinite, F.lit("0"))))
-    size = F.when(infinite.isNotNull(), m["size"] * 10).otherwise(m["size"])
-    number = is_number | infinite.isNotNull()
-    return F.when(c.isNotNull(), F.struct(F.when(number, 0).otherwise(1).alias("kind"), F.when(number, size).otherwise(0).alias("size"), F.when(number, m["digits"]).otherwise("").alias("digits"), F.when(number, F.lit("")).otherwise(folded(c)).alias("text")))
+    return F.when(c.isNotNull(), F.struct(*_sized(clean, clean.rlike(_NUMBER))))
 
 
 def datetime_key(c: Column) -> Column:
