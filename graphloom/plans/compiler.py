@@ -91,6 +91,11 @@ class Compiler:
                 ids = frozenset(render.guid_number(v) for v in p.values)
             if ids is not None:
                 out = ids if out is None else out & ids
+        for head, tail in c.choices:
+            both = [self.types(branch) if branch else frozenset() for branch in (head, tail)]
+            if None not in both:  # each branch says its types
+                ids = both[0] | both[1]
+                out = ids if out is None else out & ids
         return out
 
     def intrinsic(self, c: Constraint) -> list[Column]:
