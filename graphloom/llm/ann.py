@@ -95,22 +95,28 @@ class Tree:
         return out
 
 
-def distances(q: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Euclidean distance of one query to rows, in double precision on the vectors themselves."""
-    return np.sqrt(((m - q) ** 2).sum(axis=1))
-
-
-def _closest(q: np.ndarray, m: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Exact distances and positions of rows that can be among the k nearest (all ties included)."""
-    rough = (m**2).sum(axis=1) - 2 * (m @ q) + q @ q
-    rough[ids == own] = np.inf
-    if k < len(rough):
-        cut = np.partition(rough, k - 1)[k - 1]
-        at = np.flatnonzero(rough <= cut + 1e-9 * (1 + abs(cut) + q @ q))
-    else:
-        at = np.arange(len(rough))
-    at = at[ids[at] != own]
-    return distances(q, m[at]), at
+class Nearest:
+    """The k nearest rows of every query of one dimension, seen group by group."""
+
+    def __init__(self, ids: np.ndarray, m: np.ndarray, k: int):
+        self.ids, self.m, self.k = ids, m, k
+        self.size = (m**2).sum(axis=1)
+        self.top = np.full((len(ids), k), np.inf)  # squared distances, up to rounding
+        self.best = Best(k)
+
+    def add(self, asked: np.ndarray, names: np.ndarray, rows: np.ndarray) -> None:
+        """Hold ``rows`` against the ``asked`` queries; what may be among the k (all ties) is worked out exactly."""
+        size = (rows**2).sum(axis=1)
+        rough = np.maximum(self.size[asked, None] - 2 * (self.m[asked] @ rows.T) + size[None, :], 0)
+        rough[self.ids[asked][:, None] == names[None, :]] = np.inf
+        least = np.partition(rough, self.k - 1, axis=1)[:, : self.k] if rough.shape[1] > self.k else rough
+        top = np.partition(np.concatenate((self.top[asked], least), axis=1), self.k - 1, axis=1)[:, : self.k]
+        self.top[asked] = top
+        slack = 1e-9 * (1 + self.size[asked] + size.max(initial=0))
+        q, r = np.nonzero((rough <= (top.max(axis=1) + slack)[:, None]) & np.isfinite(rough))
+        for at in range(0, len(q), 50_000):
+            i, j = asked[q[at : at + 50_000]], r[at : at + 50_000]
+            self.best.add(i, np.sqrt(((rows[j] - self.m[i]) ** 2).sum(axis=1)), names[j])
 
 
 def _scan(rows: DataFrame, trees, queries, visits, k: int) -> DataFrame:
@@ -119,36 +125,30 @@ def _scan(rows: DataFrame, trees, queries, visits, k: int) -> DataFrame:
 
     def run(batches):
         tree, q, go = sent.value
-        wanted: dict[int, dict[int, list[int]]] = {}
-        for dim in q:
-            by = wanted.setdefault(dim, {})
-            for i, leaves in enumerate(go[dim] if go else ()):
-                for leaf in leaves:
-                    by.setdefault(leaf, []).append(i)
-        best = {dim: Best(k) for dim in q}
-        for b in pieces(batches, 8192):
+        held = {dim: Nearest(*q[dim], k) for dim in q}
+        wanted: dict[int, dict[int, np.ndarray]] = {}
+        for dim in go or ():
+            leaf = np.concatenate([np.asarray(x, dtype=np.int64) for x in go[dim]])
+            query = np.repeat(np.arange(len(go[dim])), [len(x) for x in go[dim]])
+            order = np.argsort(leaf, kind="stable")
+            cuts = np.flatnonzero(np.diff(leaf[order])) + 1
+            wanted[dim] = {int(leaf[g[0]]): query[g] for g in np.split(order, cuts) if len(g)}
+        for b in pieces(batches, 8192 if go else 1024):
             for dim, (ids, m) in vectors(b, zero=False).items():
                 if dim not in q:
                     continue
                 if go is None:
-                    groups = [(range(len(q[dim][0])), slice(None))]
-                else:
-                    leaf = tree[dim].leaf(m)
-                    order = np.argsort(leaf, kind="stable")
-                    cuts = np.flatnonzero(np.diff(leaf[order])) + 1
-                    groups = [(wanted[dim].get(int(leaf[g[0]]), ()), g) for g in np.split(order, cuts)]
-                for asked, g in groups:
-                    if not len(asked):
-                        continue
-                    sub, names = m[g], ids[g]
-                    for i in asked:
-                        d, at = _closest(q[dim][1][i], sub, names, q[dim][0][i], k)
-                        if len(at) > 4 * k:  # ties: the smallest ids suffice
-                            pick = np.lexsort((names[at], d))[:k]
-                            d, at = d[pick], at[pick]
-                        best[dim].add(np.full(len(at), i), d, names[at])
-        for dim, held in best.items():
-            at, key, ids = held.rows()
+                    held[dim].add(np.arange(len(q[dim][0])), ids, m)
+                    continue
+                leaf = tree[dim].leaf(m)
+                order = np.argsort(leaf, kind="stable")
+                for g in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
+                    asked = wanted[dim].get(int(leaf[g[0]]))
+                    for at in range(0, len(asked) if asked is not None else 0, 512):
+                        for part in range(0, len(g), 2048):
+                            held[dim].add(asked[at : at + 512], ids[g[part : part + 2048]], m[g[part : part + 2048]])
+        for dim, near in held.items():
+            at, key, ids = near.best.rows()
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(q[dim][0][at]), pa.array(at), pa.array([dim] * len(at), pa.int64()), pa.array(key), pa.array(ids)], ["query_id", "copy", "dim", "key", "vec_id"])
 
