@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, sampled, ship, slices, texts
+from .common import fold, ship, slices, texts
 from .contexts import ContextModel, Scorer, training
 
 ORDER = 3
@@ -37,11 +37,18 @@ def learn(docs: DataFrame, rows: int = ROWS, languages: int = LANGUAGES) -> tupl
     ship(docs.sparkSession)
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 2))
     sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    if not sizes:
+        return None
+    # one scan: the hash of a text is below its language's share; a tenth of the rows is left for chance
+    share = F.create_map(*(F.lit(x) for lang, n in sizes for x in (lang, int(min(1.0, 0.9 * rows / n) * (1 << 40)) + 1)))
+    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    part = usable.filter((F.length("text") <= LONGEST) & (chance < share[F.col("lang")])).select("lang", "text", chance.alias("h"))
     own: dict[str, list[bytes]] = {}
-    for lang, n in sorted((r[0], r[1]) for r in sizes):
-        part = sampled(usable.filter((F.col("lang") == lang) & (F.length("text") <= LONGEST)).select("text"), rows, n, "text")
-        if found := [t.encode() for t in sorted(r[0] for r in part.collect()) if _LETTER.search(t)]:
-            own[lang] = found
+    for r in sorted(part.limit(2 * rows * len(sizes)).collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
+        found = own.setdefault(r["lang"], [])
+        if len(found) < rows and _LETTER.search(r["text"]):
+            found.append(r["text"].encode())
+    own = {lang: found for lang, found in own.items() if found}
     if not own:
         return None
     names = sorted(own)
