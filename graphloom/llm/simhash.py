@@ -28,6 +28,8 @@ from .graph import connect
 SEED = 42
 #: Comparisons a key row that the exact last round may take on average before another centre is tried.
 WORK, ROUNDS = 40, 4
+#: Nodes whose keys one task makes.
+NODES = 20_000
 
 
 def _shingles(text: bytes, size: int) -> list[bytes]:
@@ -133,7 +135,8 @@ def components(nodes: DataFrame, keys: Callable[[np.ndarray], np.ndarray], ring:
                 k = keys(f).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(np.asarray(part.column(0)), k.shape[1]))], ["key", "node"])
 
-    rows = nodes.select("node", *names).mapInArrow(emit, "key long, node long")
+    parts = max(8, -(-nodes.count() // NODES))
+    rows = nodes.select("node", *names).repartition(parts, "node").mapInArrow(emit, "key long, node long")
     several = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
     found = table(rows.join(several, "key"))
     members = table(found.join(nodes, "node").select("key", "node", *names, F.col("node").alias("component")))
