@@ -137,9 +137,9 @@ class Session:
         return f'("6" {start} {end} (' + " ".join(r[0] for r in records.orderBy("id").select("record").collect()) + "))"
 
     def on_restore(self, request: Request) -> str:
-        """``("6" start end (record) ...)``; the records must go on where the store ends, or start at 0."""
+        """``("6" start end (record) ...)`` (or "5"); the records must go on where the store ends, or start at 0."""
         version, start, end, *records = request.arguments
-        if version != "6":
+        if version not in ("5", "6"):
             raise SemanticFault(f"can't restore version {version!r}")
         if len(records) == 1 and all(isinstance(r, list) for r in records[0]):
             records = records[0]

@@ -102,14 +102,17 @@ def dump(primitives: DataFrame, start: int = 0, end: int | None = None) -> DataF
 
 
 _TEXT = r'(null|"(?:[^"\\]|\\.)*")'
-_RECORD = rf"^\((\w+) (\w+) {_TEXT} (\w+) {_TEXT} (\w+) (\w+) (\w+) (\w+) (\S+) (\w+) (\w+) (\w+)\)$"
+_HEAD, _TAIL = rf"^\((\w+) (\w+) {_TEXT} (\w+) {_TEXT} (\w+) (\w+) (\w+) ", r"(\d\S+Z?) (\w+) (\w+) (\w+)\)$"
+_RECORD = _HEAD + r"(\w+) " + _TAIL
 
 
 def restore(lines: DataFrame, record: str = "record") -> DataFrame:
     """Primitives from dump records; a record that does not parse stops the job. Lineages follow ``prev``.
 
+    Records of format 5, which lack the first-of-write flag, count as first of their write.
     A successor's lineage is that of its predecessor; chains are followed by doubling.
     """
+    lines = lines.withColumn(record, F.regexp_replace(record, _HEAD + _TAIL, "($1 $2 $3 $4 $5 $6 $7 $8 true $9 $10 $11 $12)"))
     part = lambda i: F.regexp_extract(record, _RECORD, i)
     number = lambda i: F.when(part(i) != "null", F.conv(F.right(part(i), F.lit(15)), 16, 10).cast("long"))
     body = lambda i: F.substring(part(i), F.lit(2), F.length(part(i)) - 2)

@@ -49,6 +49,12 @@ def test_dump_and_restore_are_inverse(spark):
         primitives.dump(raw, 9, 0)
 
 
+def test_restore_of_the_older_format(spark):
+    old = '(%s null "a b" string "v \\"q\\"" null true false 1970-01-01T00:00:00.0007Z null null null)' % guid(7)
+    row = primitives.restore(spark.createDataFrame([(old,)], "record string")).collect()[0]
+    assert (row.id, row.name, row.value, row.live, row.archival, row.txstart, row.ts_raw, row.lineage) == (7, "a b", 'v "q"', True, False, True, 7, 7)
+
+
 def test_restore_rejects_other_text(spark):
     lines = spark.createDataFrame([("(nonsense)",)], "record string")
     with pytest.raises(Exception, match="not a dump record"):
