@@ -1,6 +1,7 @@
 """Conflict-constrained best-fit packing of documents into bins.
 
-Pieces are dealt to shards by a hash, so no source or cluster gathers in one task, and each shard
+Documents are dealt to shards by a hash of themselves and their place in the written table, so that no
+source, cluster or repeated row gathers in one task, and each shard
 is packed on its own: longest piece first, bins ordered by what is left in them. The search starts
 at the least residual that holds the piece and goes on to the next larger until a bin has neither
 the piece's source nor its duplicate cluster; if none has, a new bin is opened.
@@ -88,7 +89,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, shard_bins: int = SHARD_BINS
     words = rows.agg(F.sum("words")).collect()[0][0] or 0
     shards = max(1, -(-words // (capacity * shard_bins)))
     dealt = rows.filter(F.col("words") > 0).select(
-        F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).alias("shard"), "doc_id", "source", "cluster", "words",
+        F.pmod(F.xxhash64("doc_id", "cluster", F.monotonically_increasing_id()), F.lit(shards)).alias("shard"), "doc_id", "source", "cluster", "words",
         F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(words - 1) div {capacity}"))).alias("piece"),
     )
     dealt = dealt.withColumn("start", F.col("piece") * capacity).withColumn("length", F.least(F.lit(capacity).cast("long"), F.col("words") - F.col("start"))).drop("words")
