@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -12,11 +13,15 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A mapper works on slices of at most this many bytes of text at once (one row at least).
 SLICE_BYTES = 2_000_000
+#: Rows of an Arrow batch, which bounds what a worker and the JVM hold of long texts.
+ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,8 +29,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per Spark context."""
+    """Send this package to the Python workers, once per Spark context.
+
+    Where a session has Spark's own size of Arrow batches, 10,000 rows, it is made ROWS: texts are long.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(ROWS))
     if getattr(sc, "_graphloom_shipped", False):
         return
     top = Path(__file__).resolve().parents[1]
@@ -76,6 +86,39 @@ def drop(*frames: DataFrame) -> None:
         _remove(df.sparkSession, df._graphloom_path)
 
 
+#: Bits of the map that ``among`` sends to every task: 2 MB, whatever the number of ids.
+MAP_BITS = 1 << 24
+
+
+def among(rows: DataFrame, ids: DataFrame, name: str, inside: bool = True) -> DataFrame:
+    """Rows whose ``name`` may be in the same column of ``ids``, or with ``inside=False`` the others, which are not.
+
+    A bitmap of fixed size tells, so that a join moves few other rows. It never misses an id; the more
+    ids there are, the more other rows it lets pass. ``ids`` should be a written table.
+    """
+    sc = rows.sparkSession.sparkContext
+    place = F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(MAP_BITS))
+    words = ids.select(place.alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("m")).toArrow()
+    bitmap = np.zeros(MAP_BITS // 64, dtype=np.uint64)
+    bitmap[np.asarray(words["w"], dtype=np.int64)] = np.asarray(words["m"], dtype=np.int64).view(np.uint64)
+    sent = sc.broadcast(bitmap)
+
+    def run(batches):
+        for b in batches:
+            at = np.asarray(b.column(b.num_columns - 1), dtype=np.int64)
+            there = (sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            part = b.filter(pa.array(there == inside))
+            yield pa.RecordBatch.from_arrays(part.columns[:-1], part.schema.names[:-1])
+
+    return rows.select(F.struct("*").alias("row"), place.alias("place")).mapInArrow(run, f"row {rows.select(F.struct('*').alias('row')).schema['row'].dataType.simpleString()}").select("row.*")
+
+
+def settle(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs, which it does when their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 4 (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 4
@@ -96,10 +139,16 @@ def texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def text_of(batch: pa.RecordBatch, column: str) -> pa.Array:
+    """A text column; that of ``row`` if the batch has whole rows."""
+    at = batch.schema.get_field_index(column)
+    return batch.column(at) if at >= 0 else pc.struct_field(batch.column(batch.schema.get_field_index("row")), column)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that ``column`` holds at most ``limit`` bytes in each, or a single row."""
     for b in batches:
-        c = b.column(b.schema.get_field_index(column)).cast(pa.large_string())
+        c = text_of(b, column).cast(pa.large_string())
         if not len(c):
             continue
         ends = np.frombuffer(c.buffers()[1], dtype=np.int64)[c.offset : c.offset + len(c) + 1]
@@ -121,14 +170,18 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2^64."""
-    if len(_powers.get("up", ())) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for name, m in (("up", _MULT), ("down", pow(_MULT, -1, 1 << 64))):
-            x = np.full(size, m, dtype=np.uint64)
-            x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"][:n], _powers["down"][:n]
+    """Powers of the multiplier and of its inverse modulo 2^64; those for long texts are not kept."""
+    if len(_powers.get("up", ())) >= n:
+        return _powers["up"][:n], _powers["down"][:n]
+    size = max(1 << 16, n + n // 4) if n <= 2 * SLICE_BYTES else n
+    made = []
+    for m in (_MULT, pow(_MULT, -1, 1 << 64)):
+        x = np.full(size, m, dtype=np.uint64)
+        x[0] = 1
+        made.append(np.multiply.accumulate(x))
+    if n <= 2 * SLICE_BYTES:
+        _powers.update(up=made[0], down=made[1])
+    return made[0][:n], made[1][:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, ship, slices, texts
+from .common import fold, ship, slices, text_of, texts
 from .contexts import ContextModel, Scorer, training
 
 ORDER = 3
@@ -68,12 +68,13 @@ def identify(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.struct("*").alias("row") if keep else F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.struct("*").alias("row")) if keep else docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    text = text if keep else "text"
 
     def run(batches):
         names, scorer, _ = sent.value or ([UNKNOWN], None, 0)
-        for b in slices(batches, "text"):
-            raw = texts(b.column(1))
+        for b in slices(batches, text):
+            raw = texts(text_of(b, text))
             spoken = np.array([bool(_LETTER.search(t.decode())) for t in raw]) & (scorer is not None)
             logs = scorer.score(raw) if scorer else np.zeros((len(raw), 1))
             best = logs.argmax(axis=1)

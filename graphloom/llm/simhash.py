@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, mixed, ship, slices, table, texts
+from .common import among, drop, mixed, settle, ship, slices, table, texts
 from .graph import connect
 
 SEED = 42
@@ -50,7 +50,7 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
         count = np.zeros(64, dtype=np.int64)
         for at in range(0, len(hashes), 1 << 16):
             part = hashes[at : at + (1 << 16)]
-            part = part if w == 0 else mixed(part + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            part = part if w == 0 else mixed(part + np.uint64((w * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)))
             count += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out[w] = np.packbits(2 * count > len(hashes), bitorder="little").view(np.uint64)[0]
     return out
@@ -120,10 +120,12 @@ def sampled_keys(words: int, width: int, number: int) -> Callable[[np.ndarray],
     return keys
 
 
-def components(nodes: DataFrame, keys: Callable[[np.ndarray], np.ndarray], ring: Ring, exact: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def components(nodes: DataFrame, keys: Callable[[np.ndarray], np.ndarray], ring: Ring, exact: Callable[[DataFrame], DataFrame] | None = None, wide: Ring | None = None) -> DataFrame:
     """node, component for the nodes (node, f0, ...; distinct) that are linked to any other.
 
-    Two nodes are linked if they share a key and pass ``ring`` and, on the (a, b) pairs, ``exact``.
+    Two nodes are linked if they share a key and pass ``ring`` and, on the (a, b) pairs, ``exact``,
+    which returns a table. ``wide`` (a ring over more words of the nodes) is held against pairs of the
+    last round too, before ``exact``.
     """
     names = [f"f{w}" for w in range(ring.words)]
 
@@ -141,6 +143,7 @@ def components(nodes: DataFrame, keys: Callable[[np.ndarray], np.ndarray], ring:
     found = table(rows.join(several, "key"))
     members = table(found.join(nodes, "node").select("key", "node", *names, F.col("node").alias("component")))
     drop(found)
+    kept = members
     edges: list[DataFrame] = []
     linked = None
     for turn in range(ROUNDS):
@@ -151,7 +154,7 @@ def components(nodes: DataFrame, keys: Callable[[np.ndarray], np.ndarray], ring:
         if linked is not None:
             drop(linked)
         linked = connect(_union(edges))
-        members = _open(members, linked, names)
+        members = kept = _open(members, linked, names)
         shape = members.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
         rows_left, work = shape.agg(F.sum("n"), F.sum(F.expr("cast(n - most as double) * n"))).collect()[0]
         if not rows_left or work <= WORK * rows_left + 1e6:
@@ -159,15 +162,19 @@ def components(nodes: DataFrame, keys: Callable[[np.ndarray], np.ndarray], ring:
     if rows_left:
         sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
         largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+        if wide:
+            members = members.drop(*names).join(nodes.select("node", *(f"f{w}" for w in range(wide.words))), "node")
         marked = table(members.join(largest, "key"))
+        near = lambda a, b: ring.near(a, b) & wide.near(a, b) if wide else ring.near(a, b)
         small, every = marked.filter("component != largest").alias("s"), marked.alias("e")
-        pairs = small.join(every, F.expr("s.key = e.key and s.component != e.component and (e.component = e.largest or s.node < e.node)") & ring.near("s.{}".format, "e.{}".format))
+        pairs = small.join(every, F.expr("s.key = e.key and s.component != e.component and (e.component = e.largest or s.node < e.node)") & near("s.{}".format, "e.{}".format))
         edges.append(_checked(pairs.select(F.expr("least(s.node, e.node)").alias("a"), F.expr("greatest(s.node, e.node)").alias("b")).distinct(), exact))
         drop(marked)
         if edges[-1].limit(1).count():
             drop(linked)
             linked = connect(_union(edges))
-    drop(members, *edges)
+    drop(kept, *edges)
+    settle(nodes.sparkSession)
     return linked
 
 
@@ -179,7 +186,7 @@ def _union(edges: list[DataFrame]) -> DataFrame:
 
 
 def _checked(pairs: DataFrame, exact) -> DataFrame:
-    return table(exact(pairs) if exact else pairs)
+    return exact(pairs) if exact else table(pairs)
 
 
 def _open(members: DataFrame, linked: DataFrame, names: list[str]) -> DataFrame:
@@ -191,14 +198,16 @@ def _open(members: DataFrame, linked: DataFrame, names: list[str]) -> DataFrame:
     return out
 
 
-def _grouped(prints: DataFrame, keys, ring: Ring, exact=None) -> DataFrame:
-    """component_id for each row of (doc_id, f0, ...): equal fingerprints share a node, their smallest id."""
+def _grouped(prints: DataFrame, keys, ring: Ring, exact=None, wide: Ring | None = None) -> DataFrame:
+    """component_id for each row of (doc_id, f0, ...): equal words of ``ring`` share a node, their smallest id."""
     names = [f"f{w}" for w in range(ring.words)]
-    nodes = table(prints.groupBy(*names).agg(F.min("doc_id").alias("node")))
-    linked = components(nodes.filter("node is not null"), keys, ring, exact)
+    more = [f"f{w}" for w in range(ring.words, wide.words if wide else 0)]
+    first = F.min(F.struct("doc_id", *more))
+    nodes = table(prints.filter("doc_id is not null").groupBy(*names).agg(first.alias("n")).select(*names, F.col("n.doc_id").alias("node"), *(f"n.{m}" for m in more)))
+    linked = components(nodes, keys, ring, exact, wide)
     named = table(nodes.join(linked, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id")))
     drop(nodes, linked)
-    return prints.join(named, names)
+    return prints.drop(*more).join(named, names, "left")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, most: int = 4, segments: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,42 +225,61 @@ def near_duplicates(docs: DataFrame, size: int = 4, most: int = 4, segments: int
 
 
 def _jaccard(docs: DataFrame, size: int, least: float) -> Callable[[DataFrame], DataFrame]:
-    """Keep the (a, b) pairs of ids whose texts' shingle sets have that similarity, exactly."""
+    """A table of the (a, b) pairs of ids whose texts' shingle sets have that similarity, exactly."""
 
     def sets(batches):
         for b in slices(batches, "text"):
             held = [np.unique(shingle_hashes(t, size)).astype(np.int64) for t in texts(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.list_(pa.int64()))], ["id", "s"])
 
+    held: list[DataFrame] = []  # the sets made so far
+
     def exact(pairs: DataFrame) -> DataFrame:
         pairs = table(pairs)
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        wanted = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id")
-        own = table(wanted.mapInArrow(sets, "id long, s array<bigint>").dropDuplicates(["id"]))
+        for old in held:
+            ids = ids.join(old.select("id"), "id", "left_anti")
+        ids = table(ids)
+        if ids.limit(1).count():
+            rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+            wanted = among(rows, ids, "id").join(ids, "id")
+            held.append(table(wanted.mapInArrow(sets, "id long, s array<bigint>").dropDuplicates(["id"])))
+        drop(ids)
+        if not held:
+            return pairs
+        own = held[0]
+        for more in held[1:]:
+            own = own.unionByName(more)
         both = pairs.join(own.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(own.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
-        return both.filter(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+        out = table(both.filter(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+        drop(pairs)
+        return out
 
+    exact.held = held
     return exact
 
 
 def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, words: int = 4, recall: float = 0.95) -> DataFrame:
     """doc_id, component_id: documents linked at a Jaccard similarity of ``least`` of their shingle sets.
 
-    Fingerprints of ``words`` * 64 bits differ in a share acos(c) / pi of their bits, c the cosine that
-    belongs to that similarity. Pairs that share one of the sampled keys, pass the ring and the
-    Hamming bound are held against the sets themselves. The keys' width follows the number of
-    documents; their number makes a pair at ``least`` meet with probability ``recall``.
+    Fingerprints differ in a share acos(c) / pi of their bits, c the cosine that belongs to that
+    similarity. Pairs that share a key (sampled from ``words`` * 64 bits), pass the ring and the Hamming
+    bound (2.5 standard deviations above the mean) are held against the sets themselves; the last
+    round asks the bound of four times as many bits too. The keys' width follows the number of
+    documents, and their number makes a pair at ``least`` meet with probability ``recall``.
     """
     share = math.acos(2 * least / (1 + least)) / math.pi
-    bits = 64 * words
-    most = round(bits * share + 3.5 * math.sqrt(bits * share * (1 - share)))
-    prints = table(fingerprints(docs, size, words))
+    reach = lambda bits: round(bits * share + 2.5 * math.sqrt(bits * share * (1 - share)))
+    prints = table(fingerprints(docs, size, 4 * words))
     n = prints.count()
-    width = min(30, max(14, math.ceil(math.log2(max(2, n)))))
+    width = min(32, max(16, math.ceil(math.log2(max(2, n))) + 4))  # few meet under a key by chance
     number = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** width))
-    ring = Ring(words, most, 4)
-    return _grouped(prints, sampled_keys(words, width, number), ring, _jaccard(docs, size, least)).select("doc_id", "component_id")
+    near, wide = Ring(words, reach(64 * words), 4), Ring(4 * words, reach(256 * words), 1)
+    exact = _jaccard(docs, size, least)
+    out = _grouped(prints, sampled_keys(words, width, number), near, exact, wide).select("doc_id", "component_id")
+    drop(*exact.held)
+    return out
 
 
 def deduplicated(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
@@ -261,4 +289,6 @@ def deduplicated(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFram
     """
     groups = similar_groups(docs, size, least)
     gone = table(groups.filter("doc_id is not null and doc_id != component_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    settle(docs.sparkSession)
+    some = among(docs, gone, "doc_id").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return some.unionByName(among(docs, gone, "doc_id", inside=False))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, fold, sampled, ship, slices, texts
+from .common import Words, fold, sampled, ship, slices, text_of, texts
 
 #: Labelled rows of a class at most, each of at most so many characters.
 ROWS, LONGEST = 2500, 20_000
@@ -270,12 +270,13 @@ def score(docs: DataFrame, model: Network | None, keep: bool = False, doc_id: st
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.struct("*").alias("row") if keep else F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.struct("*").alias("row")) if keep else docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    text = text if keep else "text"
 
     def run(batches):
         net = sent.value
-        for b in slices(batches, "text", 500_000):
-            s = net.score(texts(b.column(1))) if net else np.zeros(b.num_rows)
+        for b in slices(batches, text, 500_000):
+            s = net.score(texts(text_of(b, text))) if net else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= CUT).astype(np.int32))], [b.schema.names[0], "score", "predicted"])
 
     first = rows.schema[0]
