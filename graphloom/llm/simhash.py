@@ -14,6 +14,7 @@ the last one compares, exactly, all that are outside a key's largest component w
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -198,10 +199,11 @@ def _open(members: DataFrame, linked: DataFrame, names: list[str]) -> DataFrame:
     return out
 
 
-def _grouped(prints: DataFrame, keys, ring: Ring, exact=None, wide: Ring | None = None) -> DataFrame:
-    """component_id for each row of (doc_id, f0, ...): equal words of ``ring`` share a node, their smallest id."""
-    names = [f"f{w}" for w in range(ring.words)]
-    more = [f"f{w}" for w in range(ring.words, wide.words if wide else 0)]
+def _grouped(prints: DataFrame, keys, ring: Ring, exact=None, wide: Ring | None = None, same: list[str] | None = None) -> DataFrame:
+    """component_id for each row of (doc_id, f0, ...): rows equal in ``same`` (all words of ``ring`` if not given) share a node, their smallest id."""
+    own = [f"f{w}" for w in range((wide or ring).words)]
+    names = same or own[: ring.words]
+    more = [x for x in own if x not in names]
     first = F.min(F.struct("doc_id", *more))
     nodes = table(prints.filter("doc_id is not null").groupBy(*names).agg(first.alias("n")).select(*names, F.col("n.doc_id").alias("node"), *(f"n.{m}" for m in more)))
     linked = components(nodes, keys, ring, exact, wide)
@@ -210,6 +212,26 @@ def _grouped(prints: DataFrame, keys, ring: Ring, exact=None, wide: Ring | None
     return prints.drop(*more).join(named, names, "left")
 
 
+def set_hash(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits of the set of the hashes, as two signed longs; repeats and order do not count."""
+    return struct.unpack("<qq", xxhash.xxh128_digest(np.unique(hashes).tobytes(), SEED))
+
+
+def _set_prints(docs: DataFrame, size: int, words: int) -> DataFrame:
+    """doc_id, h0, h1 (of the shingle set), f0, f1, ... of every whole text; null is the empty text."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+    def run(batches):
+        for b in slices(batches, "text"):
+            held = [shingle_hashes(t, size) for t in texts(b.column(1))]
+            h = np.array([set_hash(x) for x in held])
+            f = np.array([fingerprint(x, words) for x in held]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h[:, 0]), pa.array(h[:, 1]), *(pa.array(f[:, w]) for w in range(words))], ["doc_id", "h0", "h1", *(f"f{w}" for w in range(words))])
+
+    return rows.mapInArrow(run, "doc_id long, h0 long, h1 long, " + ", ".join(f"f{w} long" for w in range(words)))
+
+
 def near_duplicates(docs: DataFrame, size: int = 4, most: int = 4, segments: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document; exact.
 
@@ -264,20 +286,20 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, words: in
     """doc_id, component_id: documents linked at a Jaccard similarity of ``least`` of their shingle sets.
 
     Fingerprints differ in a share acos(c) / pi of their bits, c the cosine that belongs to that
-    similarity. Pairs that share a key (sampled from ``words`` * 64 bits), pass the ring and the Hamming
+    similarity. Only documents with equal sets are one node without a check. Pairs that share a key (sampled from ``words`` * 64 bits), pass the ring and the Hamming
     bound (2.5 standard deviations above the mean) are held against the sets themselves; the last
     round asks the bound of four times as many bits too. The keys' width follows the number of
     documents, and their number makes a pair at ``least`` meet with probability ``recall``.
     """
     share = math.acos(2 * least / (1 + least)) / math.pi
     reach = lambda bits: round(bits * share + 2.5 * math.sqrt(bits * share * (1 - share)))
-    prints = table(fingerprints(docs, size, 4 * words))
+    prints = table(_set_prints(docs, size, 4 * words))
     n = prints.count()
     width = min(32, max(16, math.ceil(math.log2(max(2, n))) + 4))  # few meet under a key by chance
     number = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** width))
     near, wide = Ring(words, reach(64 * words), 4), Ring(4 * words, reach(256 * words), 1)
     exact = _jaccard(docs, size, least)
-    out = _grouped(prints, sampled_keys(words, width, number), near, exact, wide).select("doc_id", "component_id")
+    out = _grouped(prints, sampled_keys(words, width, number), near, exact, wide, ["h0", "h1"]).select("doc_id", "component_id")
     drop(*exact.held)
     return out
 

@@ -239,6 +239,11 @@ def test_near_duplicate_stage_keeps_one_of_a_group_and_all_clean_ones(spark):
     assert simhash.deduplicated(frame(spark, half)).count() == 2
 
 
+def test_near_duplicate_stage_keeps_texts_whose_filler_is_their_print(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(100)) + " ---" * 120) for i in range(20)]
+    assert sorted(r.doc_id for r in simhash.deduplicated(frame(spark, rows)).collect()) == list(range(20))
+
+
 def test_components_of_edges(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(120)] + [(500, 500)]
