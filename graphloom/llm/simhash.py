@@ -224,7 +224,7 @@ def _set_prints(docs: DataFrame, size: int, words: int) -> DataFrame:
 
     def run(batches):
         for b in slices(batches, "text"):
-            held = [shingle_hashes(t, size) for t in texts(b.column(1))]
+            held = [np.unique(shingle_hashes(t, size)) for t in texts(b.column(1))]
             h = np.array([set_hash(x) for x in held])
             f = np.array([fingerprint(x, words) for x in held]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h[:, 0]), pa.array(h[:, 1]), *(pa.array(f[:, w]) for w in range(words))], ["doc_id", "h0", "h1", *(f"f{w}" for w in range(words))])

@@ -244,6 +244,12 @@ def test_near_duplicate_stage_keeps_texts_whose_filler_is_their_print(spark):
     assert sorted(r.doc_id for r in simhash.deduplicated(frame(spark, rows)).collect()) == list(range(20))
 
 
+def test_near_duplicate_stage_joins_equal_sets_whose_repeats_differ(spark):
+    words = " ".join(f"w{k}" for k in range(150))
+    rows = [(i, words + " and" * n) for i, n in enumerate((6, 60, 200))] + [(3, words + " and" * 60 + " or")]
+    assert [r.doc_id for r in simhash.deduplicated(frame(spark, rows)).collect()] == [0]
+
+
 def test_components_of_edges(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(120)] + [(500, 500)]
