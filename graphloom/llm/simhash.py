@@ -9,6 +9,10 @@ shares. Candidates under one key pass the chain test before the full Hamming dis
 Components need no list of all pairs. Under every key the members are first held against one
 centre; later rounds look only at keys whose members still belong to different components, and
 the last one compares, exactly, all that are outside a key's largest component with the others.
+
+Similar sets of shingles are linked the same way, but their keys are prefixes: with the shingles of
+all sets in one order, rare ones first, two sets of a similarity s share one of their first
+n - ceil(s * n) + 1 (n the size of each), so no pair is left to chance.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ SEED = 42
 WORK, ROUNDS = 40, 4
 #: Nodes whose keys one task makes.
 NODES = 20_000
+#: Documents about from which frequent shingles are learned, and how many of these are told to every task.
+SAMPLE, FREQUENT = 10_000, 1 << 17
 
 
 def _shingles(text: bytes, size: int) -> list[bytes]:
@@ -76,6 +82,7 @@ class Ring:
     def __init__(self, words: int, most: int, segments: int):
         """``segments``: of each word; they follow one another around the ring."""
         self.words, self.most = words, most
+        self.names = [f"f{w}" for w in range(words)]
         cuts = [round(64 * i / segments) for i in range(segments + 1)]
         self.parts = [(w, a, b - a) for w in range(words) for a, b in zip(cuts, cuts[1:])]
 
@@ -108,27 +115,46 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def sampled_keys(words: int, width: int, number: int) -> Callable[[np.ndarray], np.ndarray]:
-    """Keys of ``width`` bits, drawn from all bits of the ring ``number`` times in fixed ways."""
-    rng = np.random.default_rng(5)
-    picks = np.stack([rng.choice(64 * words, width, replace=False) for _ in range(number)])
+class Sets:
+    """Bounds on the similarity of sets, known by their sizes n and their parities f0, f1, ...
+
+    Bit i of the parity tells whether an odd number of elements fall on i. Each element that only one
+    of two sets holds flips one bit, so the bits that differ are no more than these elements, which at
+    a similarity of ``least`` are at most (1 - least) / (1 + least) of both sizes. No such pair fails.
+    """
+
+    def __init__(self, words: int, least: float):
+        self.words, self.least = words, least
+        self.names = ["n", *(f"f{w}" for w in range(words))]
 
-    def keys(f: np.ndarray) -> np.ndarray:
-        bits = np.unpackbits(np.ascontiguousarray(f).view(np.uint8).reshape(len(f), -1), axis=1, bitorder="little")
-        weight = np.uint64(1) << np.arange(width, dtype=np.uint64)
-        return np.stack([(bits[:, p] * weight).sum(axis=1, dtype=np.uint64) | np.uint64(i << 40) for i, p in enumerate(picks)], axis=1)
+    def parity(self, hashes: np.ndarray) -> np.ndarray:
+        bits = 64 * self.words
+        odd = np.bincount((mixed(hashes) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+        return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
-    return keys
+    def prefix(self, hashes: np.ndarray, frequent: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """The first of the distinct ``hashes``, by their ``times`` (0 unless among the sorted ``frequent``), then by value."""
+        n = len(hashes)
+        rank = np.zeros(n, dtype=np.int64)
+        if len(frequent):
+            at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+            rank = np.where(frequent[at] == hashes, times[at], 0)
+        return hashes[np.lexsort((hashes, rank))[: n - math.ceil(self.least * n - 1e-9) + 1]]
 
+    def near(self, a: Callable[[str], str], b: Callable[[str], str]) -> Column:
+        apart = " + ".join(f"bit_count({a(f'f{w}')} ^ {b(f'f{w}')})" for w in range(self.words))
+        n, m = a("n"), b("n")
+        share = (1 - self.least) / (1 + self.least)
+        return F.expr(f"least({n}, {m}) >= {self.least!r}D * greatest({n}, {m}) - 1e-6D and {apart} <= {share!r}D * ({n} + {m}) + 1e-6D")
 
-def components(nodes: DataFrame, keys: Callable[[np.ndarray], np.ndarray], ring: Ring, exact: Callable[[DataFrame], DataFrame] | None = None, wide: Ring | None = None) -> DataFrame:
-    """node, component for the nodes (node, f0, ...; distinct) that are linked to any other.
+
+def components(nodes: DataFrame, keys: Callable[[np.ndarray], np.ndarray] | str, ring: Ring | Sets, exact: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """node, component for the nodes (node, names of ``ring``; distinct) that are linked to any other.
 
     Two nodes are linked if they share a key and pass ``ring`` and, on the (a, b) pairs, ``exact``,
-    which returns a table. ``wide`` (a ring over more words of the nodes) is held against pairs of the
-    last round too, before ``exact``.
+    which returns a table. ``keys`` makes the keys of the words, or names an array of them in ``nodes``.
     """
-    names = [f"f{w}" for w in range(ring.words)]
+    names = ring.names
 
     def emit(batches):
         for b in batches:
@@ -138,8 +164,11 @@ def components(nodes: DataFrame, keys: Callable[[np.ndarray], np.ndarray], ring:
                 k = keys(f).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(np.asarray(part.column(0)), k.shape[1]))], ["key", "node"])
 
-    parts = max(8, -(-nodes.count() // NODES))
-    rows = nodes.select("node", *names).repartition(parts, "node").mapInArrow(emit, "key long, node long")
+    if isinstance(keys, str):
+        rows = nodes.select(F.explode(keys).alias("key"), "node")
+    else:
+        parts = max(8, -(-nodes.count() // NODES))
+        rows = nodes.select("node", *names).repartition(parts, "node").mapInArrow(emit, "key long, node long")
     several = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
     found = table(rows.join(several, "key"))
     members = table(found.join(nodes, "node").select("key", "node", *names, F.col("node").alias("component")))
@@ -163,12 +192,9 @@ def components(nodes: DataFrame, keys: Callable[[np.ndarray], np.ndarray], ring:
     if rows_left:
         sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
         largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-        if wide:
-            members = members.drop(*names).join(nodes.select("node", *(f"f{w}" for w in range(wide.words))), "node")
         marked = table(members.join(largest, "key"))
-        near = lambda a, b: ring.near(a, b) & wide.near(a, b) if wide else ring.near(a, b)
         small, every = marked.filter("component != largest").alias("s"), marked.alias("e")
-        pairs = small.join(every, F.expr("s.key = e.key and s.component != e.component and (e.component = e.largest or s.node < e.node)") & near("s.{}".format, "e.{}".format))
+        pairs = small.join(every, F.expr("s.key = e.key and s.component != e.component and (e.component = e.largest or s.node < e.node)") & ring.near("s.{}".format, "e.{}".format))
         edges.append(_checked(pairs.select(F.expr("least(s.node, e.node)").alias("a"), F.expr("greatest(s.node, e.node)").alias("b")).distinct(), exact))
         drop(marked)
         if edges[-1].limit(1).count():
@@ -199,14 +225,13 @@ def _open(members: DataFrame, linked: DataFrame, names: list[str]) -> DataFrame:
     return out
 
 
-def _grouped(prints: DataFrame, keys, ring: Ring, exact=None, wide: Ring | None = None, same: list[str] | None = None) -> DataFrame:
-    """component_id for each row of (doc_id, f0, ...): rows equal in ``same`` (all words of ``ring`` if not given) share a node, their smallest id."""
-    own = [f"f{w}" for w in range((wide or ring).words)]
-    names = same or own[: ring.words]
-    more = [x for x in own if x not in names]
+def _grouped(prints: DataFrame, keys, ring: Ring | Sets, exact=None, same: list[str] | None = None) -> DataFrame:
+    """component_id for each row of (doc_id, ...): rows equal in ``same`` (the names of ``ring`` if not given) share a node, their smallest id."""
+    names = same or ring.names
+    more = [x for x in prints.columns if x not in names and x != "doc_id"]
     first = F.min(F.struct("doc_id", *more))
     nodes = table(prints.filter("doc_id is not null").groupBy(*names).agg(first.alias("n")).select(*names, F.col("n.doc_id").alias("node"), *(f"n.{m}" for m in more)))
-    linked = components(nodes, keys, ring, exact, wide)
+    linked = components(nodes, keys, ring, exact)
     named = table(nodes.join(linked, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id")))
     drop(nodes, linked)
     return prints.drop(*more).join(named, names, "left")
@@ -217,19 +242,41 @@ def set_hash(hashes: np.ndarray) -> tuple[int, int]:
     return struct.unpack("<qq", xxhash.xxh128_digest(np.unique(hashes).tobytes(), SEED))
 
 
-def _set_prints(docs: DataFrame, size: int, words: int) -> DataFrame:
-    """doc_id, h0, h1 (of the shingle set), f0, f1, ... of every whole text; null is the empty text."""
+def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of shingles that several of a sample of documents hold, and how many do.
+
+    They only order the shingles: what is found does not depend on them.
+    """
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)) + 1).select(F.col("text").cast("string"))
+
+    def run(batches):
+        for b in slices(batches, "text"):
+            for t in texts(b.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, size)).view(np.int64))], ["h"])
+
+    found = part.mapInArrow(run, "h long").groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(FREQUENT).toArrow()
+    h, n = np.asarray(found["h"], dtype=np.int64).view(np.uint64), np.asarray(found["count"], dtype=np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _set_prints(docs: DataFrame, size: int, sets: Sets) -> DataFrame:
+    """doc_id, h0, h1 (of the shingle set), n, f0, f1, ... and prefix of every whole text; null is the empty text."""
     ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, size))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    names = ["doc_id", "h0", "h1", *sets.names, "prefix"]
 
     def run(batches):
         for b in slices(batches, "text"):
             held = [np.unique(shingle_hashes(t, size)) for t in texts(b.column(1))]
             h = np.array([set_hash(x) for x in held])
-            f = np.array([fingerprint(x, words) for x in held]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h[:, 0]), pa.array(h[:, 1]), *(pa.array(f[:, w]) for w in range(words))], ["doc_id", "h0", "h1", *(f"f{w}" for w in range(words))])
+            f = np.array([sets.parity(x) for x in held]).view(np.int64)
+            prefix = pa.array([sets.prefix(x, *sent.value).view(np.int64) for x in held], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([len(x) for x in held], pa.int64()), *(pa.array(f[:, w]) for w in range(sets.words)), prefix], names)
 
-    return rows.mapInArrow(run, "doc_id long, h0 long, h1 long, " + ", ".join(f"f{w} long" for w in range(words)))
+    return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names[:-1]) + ", prefix array<bigint>")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, most: int = 4, segments: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -282,24 +329,17 @@ def _jaccard(docs: DataFrame, size: int, least: float) -> Callable[[DataFrame],
     return exact
 
 
-def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, words: int = 4, recall: float = 0.95) -> DataFrame:
-    """doc_id, component_id: documents linked at a Jaccard similarity of ``least`` of their shingle sets.
+def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, words: int = 4) -> DataFrame:
+    """doc_id, component_id: documents linked at a Jaccard similarity of ``least`` of their shingle sets; exact.
 
-    Fingerprints differ in a share acos(c) / pi of their bits, c the cosine that belongs to that
-    similarity. Only documents with equal sets are one node without a check. Pairs that share a key (sampled from ``words`` * 64 bits), pass the ring and the Hamming
-    bound (2.5 standard deviations above the mean) are held against the sets themselves; the last
-    round asks the bound of four times as many bits too. The keys' width follows the number of
-    documents, and their number makes a pair at ``least`` meet with probability ``recall``.
+    Only documents with equal sets are one node without a check. Pairs that share a shingle of their
+    prefixes and pass the bounds of ``Sets`` (of ``words`` * 64 bits) are held against the sets
+    themselves; neither prefixes nor bounds lose a pair.
     """
-    share = math.acos(2 * least / (1 + least)) / math.pi
-    reach = lambda bits: round(bits * share + 2.5 * math.sqrt(bits * share * (1 - share)))
-    prints = table(_set_prints(docs, size, 4 * words))
-    n = prints.count()
-    width = min(32, max(16, math.ceil(math.log2(max(2, n))) + 4))  # few meet under a key by chance
-    number = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** width))
-    near, wide = Ring(words, reach(64 * words), 4), Ring(4 * words, reach(256 * words), 1)
+    sets = Sets(words, least)
+    prints = table(_set_prints(docs, size, sets))
     exact = _jaccard(docs, size, least)
-    out = _grouped(prints, sampled_keys(words, width, number), near, exact, wide, ["h0", "h1"]).select("doc_id", "component_id")
+    out = _grouped(prints, "prefix", sets, exact, ["h0", "h1"]).select("doc_id", "component_id")
     drop(*exact.held)
     return out
 

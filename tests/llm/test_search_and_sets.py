@@ -250,6 +250,34 @@ def test_near_duplicate_stage_joins_equal_sets_whose_repeats_differ(spark):
     assert [r.doc_id for r in simhash.deduplicated(frame(spark, rows)).collect()] == [0]
 
 
+def test_near_duplicate_stage_joins_every_pair_at_the_bound(spark):
+    rows = []
+    for i in range(150):
+        w = [f"p{i}x{k}" for k in range(8)]
+        rows += [(4 * i, " ".join(w)), (4 * i + 1, " ".join([*w, f"q{i}"]))]  # 4 of 5 shingles shared
+        w = [f"r{i}x{k}" for k in range(104)]
+        rows += [(4 * i + 2, " ".join(w)), (4 * i + 3, " ".join([*w, *(f"s{i}x{k}" for k in range(25))]))]  # 100 of 125
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert found == {i: i - i % 2 for i in range(600)}
+
+
+def test_bounds_of_sets_never_lose_a_pair(spark):
+    rng = np.random.default_rng(4)
+    sets = simhash.Sets(2, 0.8)
+    frequent = np.sort(rng.integers(0, 2**64, 300, dtype=np.uint64))
+    times = rng.integers(3, 9, 300)
+    held = []
+    for _ in range(200):
+        n = int(rng.integers(4, 300))
+        a = np.unique(np.concatenate((rng.choice(frequent, n // 2, replace=False), rng.integers(0, 2**64, n - n // 2, dtype=np.uint64))))
+        few = int(0.2 * len(a))
+        held.append((a, np.delete(a, rng.choice(len(a), few, replace=False))))
+    assert all(set(sets.prefix(a, frequent, times)) & set(sets.prefix(b, frequent, times)) for a, b in held)
+    rows = [(len(a), *sets.parity(a).view(np.int64).tolist(), len(b), *sets.parity(b).view(np.int64).tolist()) for a, b in held]
+    pairs = spark.createDataFrame(rows, "n long, f0 long, f1 long, m long, g0 long, g1 long")
+    assert pairs.filter(sets.near(str, {"n": "m", "f0": "g0", "f1": "g1"}.get)).count() == len(held)
+
+
 def test_components_of_edges(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(120)] + [(500, 500)]
