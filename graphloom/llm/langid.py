@@ -14,21 +14,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, ship, slices, text_of, texts
+from .common import SLICE_BYTES, fold, ship, slices, text_of, texts
 from .contexts import ContextModel, Scorer, training
 
 ORDER = 3
 UNKNOWN = "und"
-#: Training: rows of a language at most, each of at most so many characters, and languages at most
-#: (the most frequent ones; ties by name).
-ROWS, LONGEST, LANGUAGES = 400, 20_000, 64
+#: Training: rows of a language at most, each of at most so many characters.
+ROWS, LONGEST = 400, 20_000
+#: Bytes that all languages share evenly, and what each may have in any case; they bound the trees.
+BYTES, LEAST = 16_000_000, 40_000
+#: Languages whose rows one scan gathers; languages of one table of statistics.
+SCAN, GROUP = 64, 16
 #: Texts of fewer bytes are not judged by their code length.
 SHORT = 64
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def learn(docs: DataFrame, rows: int = ROWS, languages: int = LANGUAGES) -> tuple[list[str], Scorer, float] | None:
-    """Languages, their trees, and a bound on the code length (bits a byte) of texts in them.
+class Trees:
+    """The trees of any number of languages, in groups, so that a table has few columns."""
+
+    def __init__(self, data: list[list[bytes]]):
+        models = [ContextModel(training(x, ORDER), ORDER, "ppm") for x in data]
+        self.groups = [Scorer(models[at : at + GROUP]) for at in range(0, len(models), GROUP)]
+
+    def score(self, docs: list[bytes]) -> np.ndarray:
+        """One row a text, one column a language; a few texts at a time, so that values stay few."""
+        most = 4 * SLICE_BYTES // max(len(s.models) for s in self.groups)
+        part = np.cumsum([len(d) for d in docs]) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(docs)]
+        rows = [np.concatenate([s.score(docs[a:b]) for s in self.groups], axis=1) for a, b in zip(cuts, cuts[1:])]
+        return np.concatenate(rows)
+
+
+def learn(docs: DataFrame, rows: int = ROWS) -> tuple[list[str], Trees, float] | None:
+    """Every language with training rows, their trees, and a bound on the code length (bits a byte) of texts in them.
 
     The bound is halfway from the longest of any training text to the 8 bits of noise.
 
@@ -36,23 +55,23 @@ def learn(docs: DataFrame, rows: int = ROWS, languages: int = LANGUAGES) -> tupl
     """
     ship(docs.sparkSession)
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 2))
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not sizes:
-        return None
-    # one scan: the hash of a text is below its language's share; a tenth of the rows is left for chance
-    share = F.create_map(*(F.lit(x) for lang, n in sizes for x in (lang, int(min(1.0, 0.9 * rows / n) * (1 << 40)) + 1)))
-    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
-    part = usable.filter((F.length("text") <= LONGEST) & (chance < share[F.col("lang")])).select("lang", "text", chance.alias("h"))
+    sizes = sorted(usable.groupBy("lang").count().collect())
     own: dict[str, list[bytes]] = {}
-    for r in sorted(part.limit(2 * rows * len(sizes)).collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
-        found = own.setdefault(r["lang"], [])
-        if len(found) < rows and _LETTER.search(r["text"]):
-            found.append(r["text"].encode())
+    for at in range(0, len(sizes), SCAN):
+        some = sizes[at : at + SCAN]
+        # one scan: the hash of a text is below its language's share; a tenth of the rows is left for chance
+        share = F.create_map(*(F.lit(x) for lang, n in some for x in (lang, int(min(1.0, 0.9 * rows / n) * (1 << 40)) + 1)))
+        chance = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+        part = usable.filter(chance < share[F.col("lang")]).select("lang", F.substring("text", 1, LONGEST).alias("text"), chance.alias("h"))
+        for r in sorted(part.limit(2 * rows * len(some)).collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
+            found = own.setdefault(r["lang"], [])
+            if len(found) < rows and sum(map(len, found)) < max(LEAST, BYTES // len(sizes)) and _LETTER.search(r["text"]):
+                found.append(r["text"].encode())
     own = {lang: found for lang, found in own.items() if found}
     if not own:
         return None
     names = sorted(own)
-    scorer = Scorer([ContextModel(training(own[x], ORDER), ORDER, "ppm") for x in names])
+    scorer = Trees([own[x] for x in names])
     every = [d for x in names for d in own[x] if len(d) >= SHORT] or [b"x" * SHORT]
     bits = -scorer.score(every).max(axis=1) / np.log(2) / np.array([len(d) for d in every])
     return names, scorer, float((bits.max() + 8) / 2)

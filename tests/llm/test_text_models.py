@@ -220,6 +220,17 @@ def test_awkward_texts_get_a_language_row_each(spark):
     assert langid.predict(frame(spark, awkward())).count() == len(awkward())
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(80):
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(6)]
+        rows += [(100 * k + i, " ".join(rng.choices(own, k=12)), f"l{k:02}") for i in range(12)]
+    got = langid.predict(frame(spark, rows)).filter("held_out").collect()
+    assert {r.lang_pred for r in got} == {f"l{r.doc_id // 100:02}" for r in got}
+    assert sum(r.lang_pred == f"l{r.doc_id // 100:02}" for r in got) >= 0.95 * len(got)
+
+
 # --- toxicity
 
 
