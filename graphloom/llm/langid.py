@@ -55,15 +55,17 @@ def learn(docs: DataFrame, rows: int = ROWS) -> tuple[list[str], Trees, float] |
     """
     ship(docs.sparkSession)
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 2))
-    sizes = sorted(usable.groupBy("lang").count().collect())
+    h = F.xxhash64("text")
+    sizes = sorted(usable.groupBy("lang").agg(F.approx_count_distinct(h, 0.01)).collect())
     own: dict[str, list[bytes]] = {}
     for at in range(0, len(sizes), SCAN):
         some = sizes[at : at + SCAN]
-        # one scan: the hash of a text is below its language's share; a tenth of the rows is left for chance
-        share = F.create_map(*(F.lit(x) for lang, n in some for x in (lang, int(min(1.0, 0.9 * rows / n) * (1 << 40)) + 1)))
-        chance = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+        # one scan: the hash of a text is below its language's share; a tenth of the rows is left for chance.
+        # Copies of a text count once, so few more than ``rows`` of a language pass.
+        share = F.create_map(*(F.lit(x) for lang, n in some for x in (lang, int(min(1.0, 0.9 * rows / max(1, n)) * (1 << 40)) + 1)))
+        chance = F.pmod(h, F.lit(1 << 40))
         part = usable.filter(chance < share[F.col("lang")]).select("lang", F.substring("text", 1, LONGEST).alias("text"), chance.alias("h"))
-        for r in sorted(part.limit(2 * rows * len(some)).collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
+        for r in sorted(part.groupBy("lang", "h").agg(F.min("text").alias("text")).collect(), key=lambda r: (r["lang"], r["h"])):
             found = own.setdefault(r["lang"], [])
             if len(found) < rows and sum(map(len, found)) < max(LEAST, BYTES // len(sizes)) and _LETTER.search(r["text"]):
                 found.append(r["text"].encode())

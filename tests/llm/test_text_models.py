@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from fixtures import WORDS, awkward, frame, prose
 
 from graphloom.llm import bpe, contexts, langid, token_counts, toxicity, url_filter
@@ -231,6 +232,15 @@ def test_every_language_is_learned(spark):
     assert sum(r.lang_pred == f"l{r.doc_id // 100:02}" for r in got) >= 0.95 * len(got)
 
 
+def test_copies_of_a_text_leave_no_language_without_training(spark):
+    rng = random.Random(13)
+    own = [prose(rng, 15) for _ in range(40)]
+    copied = next(t for t in iter(lambda: prose(rng, 15), None) if xxhash.xxh64_intdigest(t.encode(), 42) % (1 << 40) < (1 << 40) // 100)
+    ids = [i for i in range(900) if not held(i)]
+    rows = [(i, copied, "en") for i in ids[:400]] + [(i, t, "en") for i, t in zip(ids[400:], own)] + [(i, prose(rng, 15, "fr"), "fr") for i in ids[450:500]]
+    assert langid.learn(frame(spark, rows), rows=20)[0] == ["en", "fr"]
+
+
 # --- toxicity
 
 
