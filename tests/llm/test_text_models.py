@@ -114,6 +114,13 @@ def test_url_verdicts(spark):
     assert {r.verdict for r in url_filter.judge(pages, rules={"ok/": "allow"}).collect()} == {"allow"}  # one side only
 
 
+def test_rare_ruled_urls_train_the_models(spark):
+    rows = [(i, f"http://plain{i}.info/page") for i in range(3000)]
+    rows += [(4000 + i, f"http://example.com/en/7{i}") for i in range(3)] + [(5000 + i, f"http://b.org/es/{i}") for i in range(3)]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), sample=20).collect()
+    assert len(got) == len(rows) and any(r.score for r in got)
+
+
 # --- byte-level BPE and token counts
 
 
