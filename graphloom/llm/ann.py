@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled, ship
+from .common import lean, sampled, ship
 from .vectors import Best, pieces, query_blocks, ranked, vectors
 
 #: Fitted on this many rows at most, into at most this many leaves.
@@ -152,7 +152,7 @@ def _scan(rows: DataFrame, trees, queries, visits, k: int) -> DataFrame:
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(q[dim][0][at]), pa.array(at), pa.array([dim] * len(at), pa.int64()), pa.array(key), pa.array(ids)], ["query_id", "copy", "dim", "key", "vec_id"])
 
-    return rows.mapInArrow(run, "query_id long, copy long, dim long, key double, vec_id long")
+    return rows.mapInArrow(lean(run), "query_id long, copy long, dim long, key double, vec_id long")
 
 
 def _widened(rows: DataFrame, trees, queries, k: int, recall: float, probes: int) -> dict[int, int]:

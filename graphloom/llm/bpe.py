@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices
+from .common import lean, ship, slices
 from .pretokens import OTHER, PATTERN, PIECE, Memory
 
 #: Texts are encoded in groups of at most this many characters, which bounds what the library holds.
@@ -129,7 +129,7 @@ def _mapped(docs: DataFrame, path: str, pattern: str, doc_id: str, text: str, sc
             out = [row(codec, ids, t) for ids, t in zip(codec.encode(docs), docs)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c)) for c in zip(*out))], ["doc_id", *(x.split()[0] for x in schema.split(", "))])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {schema}")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {schema}")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -157,7 +157,7 @@ def decode(tokens: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids
             data = [b"".join(map(table.value.__getitem__, x or ())) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in data], pa.string())], ["doc_id", "data", "text"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, data binary, text string")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, data binary, text string")
 
 
 def _digest(codec: Codec, ids: np.ndarray, text: str) -> tuple[int, str, str]:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
-import os
 import tempfile
 import uuid
 import zipfile
@@ -18,10 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A mapper works on slices of at most this many bytes of text at once (one row at least).
-SLICE_BYTES = 2_000_000
-#: Rows of an Arrow batch, which bounds what a worker and the JVM hold of long texts.
+SLICE_BYTES = 500_000
+#: Rows of an Arrow batch in the registered queries, which bounds what a worker and the JVM hold of long texts.
 ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,13 +28,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per Spark context.
-
-    Where a session has Spark's own size of Arrow batches, 10,000 rows, it is made ROWS: texts are long.
-    """
+    """Send this package to the Python workers, once per Spark context."""
     sc = spark.sparkContext
-    if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, str(ROWS))
     if getattr(sc, "_graphloom_shipped", False):
         return
     top = Path(__file__).resolve().parents[1]
@@ -47,11 +41,45 @@ def ship(spark: SparkSession) -> None:
     sc._graphloom_shipped = True
 
 
+def settings(spark: SparkSession) -> SparkSession:
+    """What the registered queries ask of a session: Arrow batches of ROWS texts, unless it has its own size."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":
+        spark.conf.set(batch, str(ROWS))
+    return spark
+
+
+def lean(mapper):
+    """A mapper of Arrow batches that gives back at its end what its Python worker holds for no one.
+
+    Workers are used again by later stages; what one stage leaves behind would count against the next.
+    """
+
+    def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from mapper(batches)
+        finally:
+            _powers.clear()
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # no glibc: nothing to trim
+                pass
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one under /tmp/checkpoints only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; in local mode, where that is unset, one under /tmp/checkpoints.
+
+    On a cluster an unset folder is an error: one machine's own folder would be lost with it.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"/tmp/checkpoints/{sc.applicationId}"
         sc.setCheckpointDir(found)
     return found
@@ -86,31 +114,40 @@ def drop(*frames: DataFrame) -> None:
         _remove(df.sparkSession, df._graphloom_path)
 
 
-#: Bits of the map that ``among`` sends to every task: 2 MB, whatever the number of ids.
+#: Bits of the map that ``marks`` makes for every task: 2 MB, whatever the number of values.
 MAP_BITS = 1 << 24
 
 
+def marks(values: DataFrame, name: str) -> np.ndarray:
+    """A bitmap of the low bits of the (hashed) longs in ``values``; it is of fixed size, and misses none."""
+    place = F.expr(f"{name} & {MAP_BITS - 1}L")
+    words = values.select(place.alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("m")).toArrow()
+    bitmap = np.zeros(MAP_BITS // 64, dtype=np.uint64)
+    bitmap[np.asarray(words["w"], dtype=np.int64)] = np.asarray(words["m"], dtype=np.int64).view(np.uint64)
+    return bitmap
+
+
+def marked(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value may be one of those that ``marks`` was given; false for no value that is."""
+    at = values.astype(np.uint64) & np.uint64(MAP_BITS - 1)
+    return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
 def among(rows: DataFrame, ids: DataFrame, name: str, inside: bool = True) -> DataFrame:
     """Rows whose ``name`` may be in the same column of ``ids``, or with ``inside=False`` the others, which are not.
 
     A bitmap of fixed size tells, so that a join moves few other rows. It never misses an id; the more
     ids there are, the more other rows it lets pass. ``ids`` should be a written table.
     """
-    sc = rows.sparkSession.sparkContext
-    place = F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(MAP_BITS))
-    words = ids.select(place.alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("m")).toArrow()
-    bitmap = np.zeros(MAP_BITS // 64, dtype=np.uint64)
-    bitmap[np.asarray(words["w"], dtype=np.int64)] = np.asarray(words["m"], dtype=np.int64).view(np.uint64)
-    sent = sc.broadcast(bitmap)
+    place = F.xxhash64(F.col(name).cast("long"))
+    sent = rows.sparkSession.sparkContext.broadcast(marks(ids.select(place.alias("h")), "h"))
 
     def run(batches):
         for b in batches:
-            at = np.asarray(b.column(b.num_columns - 1), dtype=np.int64)
-            there = (sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            part = b.filter(pa.array(there == inside))
+            part = b.filter(pa.array(marked(sent.value, np.asarray(b.column(b.num_columns - 1), dtype=np.int64).view(np.uint64)) == inside))
             yield pa.RecordBatch.from_arrays(part.columns[:-1], part.schema.names[:-1])
 
-    return rows.select(F.struct("*").alias("row"), place.alias("place")).mapInArrow(run, f"row {rows.select(F.struct('*').alias('row')).schema['row'].dataType.simpleString()}").select("row.*")
+    return rows.select(F.struct("*").alias("row"), place.alias("place")).mapInArrow(lean(run), f"row {rows.select(F.struct('*').alias('row')).schema['row'].dataType.simpleString()}").select("row.*")
 
 
 def settle(spark: SparkSession) -> None:
@@ -164,6 +201,9 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
 _MULT = 0x9E3779B97F4A7C15 | 1
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: Words as white space (0x20, 0x09-0x0D) leaves them.
+SOLID = np.ones(256, dtype=bool)
+SOLID[[32, *range(9, 14)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
@@ -198,11 +238,12 @@ class Words:
     first word, and the number of words at the end. origin: byte position of each text.
     """
 
-    def __init__(self, docs: list[bytes]):
+    def __init__(self, docs: list[bytes], within: np.ndarray = _WORD):
+        """within: of each byte, whether it is part of a word."""
         data = np.frombuffer(b" ".join(docs) + b" ", dtype=np.uint8)
         lengths = np.fromiter((len(d) + 1 for d in docs), dtype=np.int64, count=len(docs))
         self.origin = np.concatenate(([0], np.cumsum(lengths)))
-        inside = _WORD[data]
+        inside = within[data]
         step = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
         self.start, self.end = step[0::2], step[1::2]
         self.first = np.searchsorted(self.start, self.origin)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, fold, ship, slices, text_of, texts
+from .common import SLICE_BYTES, fold, lean, ship, slices, text_of, texts
 from .contexts import ContextModel, Scorer, training
 
 ORDER = 3
@@ -105,7 +105,7 @@ def identify(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([names[i] if s else UNKNOWN for i, s in zip(best, spoken)]), pa.array(np.where(spoken, share, 0.0)), pa.array(bits, mask=~spoken)], [b.schema.names[0], "lang_pred", "score", "bits"])
 
     first = rows.schema[0]
-    return rows.mapInArrow(run, f"{first.name} {first.dataType.simpleString()}, lang_pred string, score double, bits double")
+    return rows.mapInArrow(lean(run), f"{first.name} {first.dataType.simpleString()}, lang_pred string, score double, bits double")
 
 
 def predict(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices, table, texts
+from .common import lean, ship, slices, table, texts
 
 #: Words of a bin, and words dealt to one shard on average (in bins).
 CAPACITY, SHARD_BINS = 2048, 256
@@ -74,7 +74,7 @@ def items(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
             cluster = [np.int64(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(w)))) for w in words]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in words], pa.int64()), b.column(2), pa.array(cluster, pa.int64())], ["doc_id", "words", "source", "cluster"])
 
-    return rows.mapInArrow(run, "doc_id long, words long, source string, cluster long")
+    return rows.mapInArrow(lean(run), "doc_id long, words long, source string, cluster long")
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, shard_bins: int = SHARD_BINS) -> DataFrame:

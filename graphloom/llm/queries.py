@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, bpe, langid, packing, simhash, substring, token_counts, topk, toxicity, url_filter
-from .common import read
+from .common import read as _read
+from .common import settings
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return _read(settings(spark), sf_dir, table)
 
 
 def _tokenizer(name: str) -> str:

@@ -4,15 +4,15 @@ Fingerprints are cut into segments on a ring. If two differ in at most t bits ov
 some segment starts a chain in which the first l segments differ in at most l*t/m bits, for every
 l. With t < m that start is equal and its successor differs in one bit at most, so the start
 together with the successor, each of its bits left out in turn, is a key that every such pair
-shares. Candidates under one key pass the chain test before the full Hamming distance.
-
-Components need no list of all pairs. Under every key the members are first held against one
-centre; later rounds look only at keys whose members still belong to different components, and
-the last one compares, exactly, all that are outside a key's largest component with the others.
-
-Similar sets of shingles are linked the same way, but their keys are prefixes: with the shingles of
-all sets in one order, rare ones first, two sets of a similarity s share one of their first
-n - ceil(s * n) + 1 (n the size of each), so no pair is left to chance.
+shares. Candidates under one key pass the chain test before the full Hamming distance; ``buckets``
+says how a key's members are linked without a list of all their pairs.
+
+Similar sets of shingles are found the same way, with two differences. A majority fingerprint
+promises nothing at a Jaccard similarity of 0.8, but one of parities does: each shingle that only one
+text holds flips one bit, so the distance has a bound, to which chains and distance are held. And
+keys are prefixes: with the shingles of all sets in one order, rare ones first, two sets of a
+similarity s share one of their first n - ceil(s * n) + 1 (n the size of each). What passes is held
+against the sets themselves, so no pair is left to chance.
 """
 
 from __future__ import annotations
@@ -27,16 +27,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, drop, mixed, settle, ship, slices, table, texts
-from .graph import connect
+from . import buckets
+from .common import SOLID, Words, among, drop, lean, marked, marks, mixed, settle, ship, slices, table, texts
 
 SEED = 42
-#: Comparisons a key row that the exact last round may take on average before another centre is tried.
-WORK, ROUNDS = 40, 4
 #: Nodes whose keys one task makes.
 NODES = 20_000
 #: Documents about from which frequent shingles are learned, and how many of these are told to every task.
 SAMPLE, FREQUENT = 10_000, 1 << 17
+#: Sets that are held against one centre in one task.
+CHUNK = 2000
 
 
 def _shingles(text: bytes, size: int) -> list[bytes]:
@@ -50,65 +50,91 @@ def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     return np.array([h(s, SEED) for s in _shingles(text, size)], dtype=np.uint64)
 
 
-def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
-    """``words`` 64-bit words; a bit is 1 if over half of the hashes have it (no hashes: zero)."""
-    out = np.zeros(words, dtype=np.uint64)
-    for w in range(words if len(hashes) else 0):
-        count = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(hashes), 1 << 16):
-            part = hashes[at : at + (1 << 16)]
-            part = part if w == 0 else mixed(part + np.uint64((w * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)))
-            count += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[w] = np.packbits(2 * count > len(hashes), bitorder="little").view(np.uint64)[0]
-    return out
+def fingerprint(hashes: np.ndarray) -> np.uint64:
+    """64 bits; one is 1 if over half of the hashes have it (no hashes: zero)."""
+    count = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        count += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * count > len(hashes), bitorder="little").view(np.uint64)[0]
 
 
-def fingerprints(docs: DataFrame, size: int, words: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, f0, f1, ... of every whole text; null is the empty text."""
+def fingerprints(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and f0 of every whole text; null is the empty text."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
         for b in slices(batches, "text"):
-            f = np.array([fingerprint(shingle_hashes(t, size), words) for t in texts(b.column(1))]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, w]) for w in range(words))], ["doc_id", *(f"f{w}" for w in range(words))])
+            f = np.array([fingerprint(shingle_hashes(t, size)) for t in texts(b.column(1))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f.view(np.int64))], ["doc_id", "f0"])
+
+    return rows.mapInArrow(lean(run), "doc_id long, f0 long")
+
+
+def chained(parts: np.ndarray, most: np.ndarray | int) -> np.ndarray:
+    """Whether differences (rows) of the ring's segments (columns) have a chain within proportional budgets.
 
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"f{w} long" for w in range(words)))
+    Some start must keep its first l segments within l * most / m, for l up to 3.
+    """
+    m = parts.shape[1]
+    fits = np.ones(parts.shape, dtype=bool)
+    total = np.zeros(parts.shape, dtype=np.int64)
+    for n in range(1, min(3, m) + 1):
+        total += np.roll(parts, 1 - n, axis=1)
+        fits &= total * m <= n * np.asarray(most).reshape(-1, 1)
+    return fits.any(axis=1)
 
 
 class Ring:
-    """Segments of fingerprints of ``words`` 64-bit words, and the budgets of chains of them."""
+    """Segments of 64-bit fingerprints that link at ``most`` or fewer differing bits."""
+
+    names = ["f0"]
 
-    def __init__(self, words: int, most: int, segments: int):
-        """``segments``: of each word; they follow one another around the ring."""
-        self.words, self.most = words, most
-        self.names = [f"f{w}" for w in range(words)]
+    def __init__(self, most: int, segments: int):
+        if most >= segments:
+            raise ValueError("chains of so large a distance have no keys")
+        self.most = most
         cuts = [round(64 * i / segments) for i in range(segments + 1)]
-        self.parts = [(w, a, b - a) for w in range(words) for a, b in zip(cuts, cuts[1:])]
+        self.parts = list(zip(cuts, (b - a for a, b in zip(cuts, cuts[1:]))))
+        self.masks = [np.uint64(((1 << size) - 1) << at) for at, size in self.parts]
 
-    def budget(self, length: int) -> int:
-        return length * self.most // len(self.parts)
+    def successors(self) -> list[tuple[int, int, int]]:
+        """Segment, its successor and a bit of that: what the keys of a fingerprint are named by."""
+        m = len(self.parts)
+        return [(i, (i + 1) % m, at + j) for i in range(m) for at, size in [self.parts[(i + 1) % m]] for j in range(size)]
 
     def keys(self, f: np.ndarray) -> np.ndarray:
-        """The keys of each fingerprint (rows of words): every start with its successor less one bit."""
-        if self.budget(1) or self.budget(2) > 1:
-            raise ValueError("chains of so large a distance have no keys")
-        out = []
-        for i, (w, at, size) in enumerate(self.parts):
-            w2, at2, size2 = self.parts[(i + 1) % len(self.parts)]
-            seg = (f[:, w] >> np.uint64(at)) & np.uint64((1 << size) - 1)
-            nxt = (f[:, w2] >> np.uint64(at2)) & np.uint64((1 << size2) - 1)
-            for j in range(size2):
-                out.append(((seg << np.uint64(size2)) | (nxt & ~np.uint64(1 << j))) | np.uint64((i << 6 | j) << 40))
+        """The keys of each fingerprint: every start with its successor less one bit."""
+        out = [mixed((f & (self.masks[i] | self.masks[k]) & ~np.uint64(1 << bit)) + mixed(np.uint64(i << 8 | bit) + np.zeros(1, dtype=np.uint64))) for i, k, bit in self.successors()]
         return np.stack(out, axis=1)
 
-    def near(self, a: Callable[[str], str], b: Callable[[str], str], chain: int = 3) -> Column:
-        """Chain test, then the full distance, of fingerprints named by ``a`` and ``b``."""
-        xor = [f"({a(f'f{w}')} ^ {b(f'f{w}')})" for w in range(self.words)]
-        part = [f"bit_count({xor[w]} & {_signed(((1 << size) - 1) << at)}L)" for w, at, size in self.parts]
-        m = len(part)
-        starts = [" and ".join(f"{' + '.join(part[(i + k) % m] for k in range(n))} <= {self.budget(n)}" for n in range(1, min(chain, m) + 1)) for i in range(m)]
-        return F.expr("(" + " or ".join(f"({s})" for s in starts) + f") and {' + '.join(f'bit_count({x})' for x in xor)} <= {self.most}")
+    def free(self) -> np.ndarray:
+        """The bits that the members of each key may still differ in."""
+        return np.array([~(self.masks[i] | self.masks[k]) | np.uint64(1 << bit) for i, k, bit in self.successors()], dtype=np.uint64)
+
+    def whole(self) -> Column:
+        """Array of keys of a segment and its whole successor, by which most near copies meet."""
+        m = len(self.parts)
+        return F.array(*(F.xxhash64(F.expr(f"f0 & {_signed(int(self.masks[i] | self.masks[(i + 1) % m]))}L"), F.lit(i)) for i in range(m)))
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Chain test, then the full distance, of rows of fingerprints."""
+        x = a[:, 0] ^ b[:, 0]
+        ok = chained(np.stack([np.bitwise_count(x & mask) for mask in self.masks], axis=1).astype(np.int64), self.most)
+        ok[ok] = np.bitwise_count(x[ok]) <= self.most
+        return ok
+
+    def column(self, a: Callable[[str], str], b: Callable[[str], str]) -> Column:
+        """The same of fingerprints named by ``a`` and ``b``."""
+        xor, m = f"({a('f0')} ^ {b('f0')})", len(self.parts)
+        part = [f"bit_count({xor} & {_signed(int(mask))}L)" for mask in self.masks]
+        starts = [" and ".join(f"{' + '.join(part[(i + k) % m] for k in range(n))} <= {n * self.most // m}" for n in range(1, min(3, m) + 1)) for i in range(m)]
+        return F.expr("(" + " or ".join(f"({s})" for s in starts) + f") and bit_count({xor}) <= {self.most}")
+
+    def finer(self, free: np.ndarray) -> np.ndarray:
+        """Masks (one row each) that cut the free bits into most + 1 parts, of which near members share one."""
+        bits = [np.flatnonzero((int(x) >> np.arange(64, dtype=object)) & 1) for x in free.tolist()]
+        return np.array([[sum(1 << int(b) for b in part) for part in np.array_split(own, self.most + 1)] for own in bits], dtype=np.uint64)
 
 
 def _signed(x: int) -> int:
@@ -124,122 +150,119 @@ class Sets:
     """
 
     def __init__(self, words: int, least: float):
-        self.words, self.least = words, least
-        self.names = ["n", *(f"f{w}" for w in range(words))]
+        self.words, self.least, self.share = words, least, (1 - least) / (1 + least)
+        self.names = ["n_set", *(f"f{w}" for w in range(words))]
 
     def parity(self, hashes: np.ndarray) -> np.ndarray:
         bits = 64 * self.words
         odd = np.bincount((mixed(hashes) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
         return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
-    def prefix(self, hashes: np.ndarray, frequent: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """The first of the distinct ``hashes``, by their ``times`` (0 unless among the sorted ``frequent``), then by value."""
+    def prefix(self, hashes: np.ndarray, frequent: np.ndarray, times: np.ndarray, more: int = 0) -> np.ndarray:
+        """The first of the distinct ``hashes``, by their ``times`` (0 unless among the sorted ``frequent``), then by value.
+
+        Similar sets share one of them; with ``more``, so many beside it.
+        """
         n = len(hashes)
         rank = np.zeros(n, dtype=np.int64)
         if len(frequent):
             at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
             rank = np.where(frequent[at] == hashes, times[at], 0)
-        return hashes[np.lexsort((hashes, rank))[: n - math.ceil(self.least * n - 1e-9) + 1]]
-
-    def near(self, a: Callable[[str], str], b: Callable[[str], str]) -> Column:
-        apart = " + ".join(f"bit_count({a(f'f{w}')} ^ {b(f'f{w}')})" for w in range(self.words))
-        n, m = a("n"), b("n")
-        share = (1 - self.least) / (1 + self.least)
-        return F.expr(f"least({n}, {m}) >= {self.least!r}D * greatest({n}, {m}) - 1e-6D and {apart} <= {share!r}D * ({n} + {m}) + 1e-6D")
-
-
-def components(nodes: DataFrame, keys: Callable[[np.ndarray], np.ndarray] | str, ring: Ring | Sets, exact: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """node, component for the nodes (node, names of ``ring``; distinct) that are linked to any other.
-
-    Two nodes are linked if they share a key and pass ``ring`` and, on the (a, b) pairs, ``exact``,
-    which returns a table. ``keys`` makes the keys of the words, or names an array of them in ``nodes``.
-    """
-    names = ring.names
-
-    def emit(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                f = np.stack([np.asarray(part.column(1 + w)).view(np.uint64) for w in range(len(names))], axis=1)
-                k = keys(f).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(np.asarray(part.column(0)), k.shape[1]))], ["key", "node"])
-
-    if isinstance(keys, str):
-        rows = nodes.select(F.explode(keys).alias("key"), "node")
-    else:
-        parts = max(8, -(-nodes.count() // NODES))
-        rows = nodes.select("node", *names).repartition(parts, "node").mapInArrow(emit, "key long, node long")
-    several = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
-    found = table(rows.join(several, "key"))
-    members = table(found.join(nodes, "node").select("key", "node", *names, F.col("node").alias("component")))
-    drop(found)
-    kept = members
-    edges: list[DataFrame] = []
-    linked = None
-    for turn in range(ROUNDS):
-        centre = members.groupBy("key").agg(F.min_by(F.struct("node", "component", *names), F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("c"))
-        near = ring.near(str, "c.{}".format)
-        pairs = members.join(centre, "key").filter(F.expr("component != c.component")).filter(near)
-        edges.append(_checked(pairs.select(F.expr("least(node, c.node)").alias("a"), F.expr("greatest(node, c.node)").alias("b")).distinct(), exact))
-        if linked is not None:
-            drop(linked)
-        linked = connect(_union(edges))
-        members = kept = _open(members, linked, names)
-        shape = members.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
-        rows_left, work = shape.agg(F.sum("n"), F.sum(F.expr("cast(n - most as double) * n"))).collect()[0]
-        if not rows_left or work <= WORK * rows_left + 1e6:
-            break
-    if rows_left:
-        sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-        marked = table(members.join(largest, "key"))
-        small, every = marked.filter("component != largest").alias("s"), marked.alias("e")
-        pairs = small.join(every, F.expr("s.key = e.key and s.component != e.component and (e.component = e.largest or s.node < e.node)") & ring.near("s.{}".format, "e.{}".format))
-        edges.append(_checked(pairs.select(F.expr("least(s.node, e.node)").alias("a"), F.expr("greatest(s.node, e.node)").alias("b")).distinct(), exact))
-        drop(marked)
-        if edges[-1].limit(1).count():
-            drop(linked)
-            linked = connect(_union(edges))
-    drop(kept, *edges)
-    settle(nodes.sparkSession)
-    return linked
-
-
-def _union(edges: list[DataFrame]) -> DataFrame:
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.unionByName(e)
-    return out
-
-
-def _checked(pairs: DataFrame, exact) -> DataFrame:
-    return exact(pairs) if exact else table(pairs)
-
+        return hashes[np.lexsort((hashes, rank))[: n - math.ceil(self.least * n - 1e-9) + 1 + more]]
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sizes, then the chain test over the words of the parity, then the full distance, of rows of ``names``."""
+        n, m = a[:, 0].astype(np.float64), b[:, 0].astype(np.float64)
+        ok = np.minimum(n, m) >= self.least * np.maximum(n, m) - 1e-6
+        at = np.flatnonzero(ok)
+        most = np.floor(self.share * (n[at] + m[at]) + 1e-6).astype(np.int64)
+        parts = np.bitwise_count(a[at, 1:] ^ b[at, 1:]).astype(np.int64)
+        go = chained(parts, most)
+        go[go] = parts[go].sum(axis=1) <= most[go]
+        ok[at] = go
+        return ok
+
+    def column(self, a: Callable[[str], str], b: Callable[[str], str]) -> Column:
+        """The same of columns; its chains are of the single words."""
+        part = [f"bit_count({a(f'f{w}')} ^ {b(f'f{w}')})" for w in range(self.words)]
+        n, m = a("n_set"), b("n_set")
+        most = f"({self.share!r}D * ({n} + {m}) + 1e-6D)"
+        return F.expr(f"least({n}, {m}) >= {self.least!r}D * greatest({n}, {m}) - 1e-6D and least({', '.join(part)}) * {self.words} <= {most} and {' + '.join(part)} <= {most}")
+
+
+def _named(prints: DataFrame, nodes: DataFrame, linked: DataFrame, names: list[str]) -> DataFrame:
+    """The prints with the component_id of their node."""
+    found = nodes.join(linked, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
+    return prints.join(found, names, "left")
+
+
+def ring_components(nodes: DataFrame, ring: Ring, bucket: int | None = None) -> DataFrame:
+    """node, component (its smallest node) for the (node, f0) nodes, of different f0, that link to any other."""
+    parts = max(8, -(-nodes.count() // NODES))
+    free = ring.free()
+
+    def all_keys(wanted=None):
+        def run(batches):
+            for b in batches:
+                for at in range(0, b.num_rows, 4096):
+                    node, component, f0 = (np.asarray(c) for c in b.slice(at, 4096).columns)
+                    k = ring.keys(f0.view(np.uint64))
+                    row, which = np.nonzero(marked(wanted.value, k)) if wanted else (np.repeat(np.arange(len(k)), k.shape[1]), None)
+                    columns = [k[row, which] if wanted else k.ravel(), component[row]]
+                    if wanted:
+                        columns += [node[row], f0[row], free[which]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], ["key", "component", "node", "f0", "free"][: len(columns)])
+
+        return run
+
+    def rows_of(named: DataFrame) -> DataFrame:
+        dealt = named.select("node", "component", "f0").repartition(parts, "node")
+        counts = dealt.mapInArrow(lean(all_keys()), "key long, component long")
+        several = table(counts.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n"))
+        wanted = nodes.sparkSession.sparkContext.broadcast(marks(several, "key"))
+        out = table(dealt.mapInArrow(lean(all_keys(wanted)), "key long, component long, node long, f0 long, free long").join(several, "key"))
+        drop(several)
+        return out
 
-def _open(members: DataFrame, linked: DataFrame, names: list[str]) -> DataFrame:
-    """Members with their components, of the keys that still hold several; the old table goes."""
-    renewed = table(members.drop("component").join(linked, "node", "left").select("key", "node", *names, F.coalesce("component", "node").alias("component")))
-    several = renewed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    out = table(renewed.join(several, "key"))
-    drop(members, renewed)
-    return out
+    def refine(rows: DataFrame) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                key, node, component, f0, left = (np.asarray(b.column(b.schema.get_field_index(x))) for x in ("key", "node", "component", "f0", "free"))
+                kinds, which = np.unique(left.view(np.uint64), return_inverse=True)
+                masks = ring.finer(kinds)[which]
+                part = np.arange(masks.shape[1], dtype=np.uint64)
+                k = mixed(mixed((f0.view(np.uint64)[:, None] & masks) + mixed(key.view(np.uint64))[:, None]) + part)
+                row = np.repeat(np.arange(len(key)), masks.shape[1])
+                columns = [k.ravel(), node[row], component[row], f0[row], (left.view(np.uint64)[:, None] & ~masks).ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], ["key", "node", "component", "f0", "free"])
 
+        return rows.mapInArrow(lean(run), "key long, node long, component long, f0 long, free long")
 
-def _grouped(prints: DataFrame, keys, ring: Ring | Sets, exact=None, same: list[str] | None = None) -> DataFrame:
-    """component_id for each row of (doc_id, ...): rows equal in ``same`` (the names of ``ring`` if not given) share a node, their smallest id."""
-    names = same or ring.names
-    more = [x for x in prints.columns if x not in names and x != "doc_id"]
-    first = F.min(F.struct("doc_id", *more))
-    nodes = table(prints.filter("doc_id is not null").groupBy(*names).agg(first.alias("n")).select(*names, F.col("n.doc_id").alias("node"), *(f"n.{m}" for m in more)))
-    linked = components(nodes, keys, ring, exact)
-    named = table(nodes.join(linked, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id")))
-    drop(nodes, linked)
-    return prints.drop(*more).join(named, names, "left")
+    first = nodes.select(F.explode(ring.whole()).alias("key"), "node", "f0")
+    return buckets.linked_within(nodes.select("node", "f0"), first, rows_of, ring.names, ring.column, ring.near, refine, bucket=bucket)
 
 
 def set_hash(hashes: np.ndarray) -> tuple[int, int]:
-    """128 bits of the set of the hashes, as two signed longs; repeats and order do not count."""
-    return struct.unpack("<qq", xxhash.xxh128_digest(np.unique(hashes).tobytes(), SEED))
+    """128 bits of a set, given sorted, as two signed longs."""
+    return struct.unpack("<qq", xxhash.xxh128_digest(hashes.tobytes(), SEED))
+
+
+def shingle_sets(docs: list[bytes], size: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles of lower-cased (A-Z) words; a shorter text is one shingle."""
+    words = Words(docs, SOLID)
+    h, count = words.hashes(), np.diff(words.first)
+    n = np.where(count >= size, count - size + 1, np.minimum(count, 1))
+    text = np.repeat(np.arange(len(docs)), n)
+    at = words.first[text] + np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    run = h[at]
+    for j in range(1, size):
+        on = at + j < words.first[text + 1]
+        run[on] = mixed(run[on] + h[at[on] + j])
+    order = np.lexsort((run, text))
+    text, run = text[order], run[order]
+    new = np.ones(len(run), dtype=bool)
+    new[1:] = (run[1:] != run[:-1]) | (text[1:] != text[:-1])
+    return np.split(run[new], np.searchsorted(text[new], np.arange(1, len(docs))))
 
 
 def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -252,33 +275,14 @@ def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches):
         for b in slices(batches, "text"):
-            for t in texts(b.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, size)).view(np.int64))], ["h"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(texts(b.column(0)), size)).view(np.int64))], ["h"])
 
-    found = part.mapInArrow(run, "h long").groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(FREQUENT).toArrow()
+    found = part.mapInArrow(lean(run), "h long").groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(FREQUENT).toArrow()
     h, n = np.asarray(found["h"], dtype=np.int64).view(np.uint64), np.asarray(found["count"], dtype=np.int64)
     order = np.argsort(h)
     return h[order], n[order]
 
 
-def _set_prints(docs: DataFrame, size: int, sets: Sets) -> DataFrame:
-    """doc_id, h0, h1 (of the shingle set), n, f0, f1, ... and prefix of every whole text; null is the empty text."""
-    ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, size))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    names = ["doc_id", "h0", "h1", *sets.names, "prefix"]
-
-    def run(batches):
-        for b in slices(batches, "text"):
-            held = [np.unique(shingle_hashes(t, size)) for t in texts(b.column(1))]
-            h = np.array([set_hash(x) for x in held])
-            f = np.array([sets.parity(x) for x in held]).view(np.int64)
-            prefix = pa.array([sets.prefix(x, *sent.value).view(np.int64) for x in held], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([len(x) for x in held], pa.int64()), *(pa.array(f[:, w]) for w in range(sets.words)), prefix], names)
-
-    return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names[:-1]) + ", prefix array<bigint>")
-
-
 def near_duplicates(docs: DataFrame, size: int = 4, most: int = 4, segments: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document; exact.
 
@@ -287,60 +291,139 @@ def near_duplicates(docs: DataFrame, size: int = 4, most: int = 4, segments: int
     any other. Rows with a null id get the component of their fingerprint (null if no row with an
     id is in it) and link nothing. Repeated rows are kept; an empty table gives an empty result.
     """
-    ring = Ring(1, most, segments)
-    prints = table(fingerprints(docs, size, 1, doc_id, text))
-    out = _grouped(prints, ring.keys, ring)
-    return out.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
+    prints = table(fingerprints(docs, size, doc_id, text))
+    nodes = table(prints.filter("doc_id is not null").groupBy("f0").agg(F.min("doc_id").alias("node")))
+    # an id that several texts bear is one node for each of them, so the nodes are numbered by their fingerprints
+    linked = ring_components(nodes.select(F.col("f0").alias("node"), "f0"), Ring(most, segments))
+    least = nodes.join(linked.withColumnRenamed("node", "f0"), "f0", "left").withColumn("component", F.coalesce("component", "f0"))
+    least = table(least.groupBy("component").agg(F.min("node").alias("component_id")).join(least.select("f0", "component"), "component").select("f0", "component_id"))
+    drop(nodes, linked)
+    settle(docs.sparkSession)
+    return prints.join(least, "f0", "left").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
+
 
+def _similar(docs: DataFrame, size: int, least: float) -> Callable[[DataFrame], DataFrame]:
+    """A table of the (a, b) pairs of ids whose texts' shingle sets have that similarity, exactly.
 
-def _jaccard(docs: DataFrame, size: int, least: float) -> Callable[[DataFrame], DataFrame]:
-    """A table of the (a, b) pairs of ids whose texts' shingle sets have that similarity, exactly."""
+    The sets of the b of an a come to one task, CHUNK at a time, and pass by the set of a. An id that
+    several texts bear is similar if one of them is.
+    """
 
     def sets(batches):
         for b in slices(batches, "text"):
-            held = [np.unique(shingle_hashes(t, size)).astype(np.int64) for t in texts(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.list_(pa.int64()))], ["id", "s"])
+            held = shingle_sets(texts(b.column(1)), size)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.view(np.int64) for x in held], pa.list_(pa.int64()))], ["id", "s"])
 
-    held: list[DataFrame] = []  # the sets made so far
+    def held_against(batches):
+        place, own = None, []
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            at, s = b.column(4), b.column(4).values
+            ends = np.asarray(at.offsets)
+            for i, (a, salt, follows, name) in enumerate(zip(*(b.column(c).to_pylist() for c in range(4)))):
+                one = np.asarray(s[ends[i] : ends[i + 1]])
+                if (a, salt) != place:
+                    place, own = (a, salt), []
+                if not follows:
+                    own.append(one)
+                    continue
+                for x in own:
+                    shared = len(np.intersect1d(x, one, assume_unique=True))
+                    if shared >= least * (len(x) + len(one) - shared):
+                        out.append((a, name))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def exact(pairs: DataFrame) -> DataFrame:
         pairs = table(pairs)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        for old in held:
-            ids = ids.join(old.select("id"), "id", "left_anti")
-        ids = table(ids)
-        if ids.limit(1).count():
-            rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-            wanted = among(rows, ids, "id").join(ids, "id")
-            held.append(table(wanted.mapInArrow(sets, "id long, s array<bigint>").dropDuplicates(["id"])))
-        drop(ids)
-        if not held:
-            return pairs
-        own = held[0]
-        for more in held[1:]:
-            own = own.unionByName(more)
-        both = pairs.join(own.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(own.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        out = table(both.filter(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
-        drop(pairs)
+        crowd = pairs.groupBy("a").agg(F.expr(f"count(*) div {CHUNK} + 1").alias("salts"))
+        salted = pairs.join(crowd, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
+        wanted = table(salted.select(F.col("a").alias("centre"), "salt", F.explode(F.expr("array(struct(0 follows, a id), struct(1 follows, b id))")).alias("x")).select("centre", "salt", "x.*").distinct())
+        rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+        found = among(rows, wanted, "id").mapInArrow(lean(sets), "id long, s array<bigint>").join(wanted, "id")
+        sorted_ = found.select("centre", "salt", "follows", "id", "s").repartition("centre", "salt").sortWithinPartitions("centre", "salt", "follows", "id")
+        out = table(sorted_.mapInArrow(lean(held_against), "a long, b long").distinct())
+        drop(pairs, wanted)
         return out
 
-    exact.held = held
     return exact
 
 
-def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, words: int = 4) -> DataFrame:
+def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, words: int = 4, bucket: int | None = None) -> DataFrame:
     """doc_id, component_id: documents linked at a Jaccard similarity of ``least`` of their shingle sets; exact.
 
     Only documents with equal sets are one node without a check. Pairs that share a shingle of their
     prefixes and pass the bounds of ``Sets`` (of ``words`` * 64 bits) are held against the sets
-    themselves; neither prefixes nor bounds lose a pair.
+    themselves; neither prefixes nor bounds lose a pair. Null and empty texts have equal, empty sets.
+    Rows of one id are one document, alike to what any of them is alike to; rows with a null id get
+    the component of their set (null if no row with an id has it). An empty table gives an empty result.
     """
+    spark = docs.sparkSession
+    ship(spark)
     sets = Sets(words, least)
-    prints = table(_set_prints(docs, size, sets))
-    exact = _jaccard(docs, size, least)
-    out = _grouped(prints, "prefix", sets, exact, ["h0", "h1"]).select("doc_id", "component_id")
-    drop(*exact.held)
+    order = spark.sparkContext.broadcast(_frequent(docs, size))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints_names = ["doc_id", "h0", "h1", *sets.names]
+
+    def prints_of(batches):
+        for b in slices(batches, "text"):
+            held = shingle_sets(texts(b.column(1)), size)
+            h = np.array([set_hash(x) for x in held])
+            f = np.array([sets.parity(x) for x in held]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([len(x) for x in held], pa.int64()), *(pa.array(f[:, w]) for w in range(words))], prints_names)
+
+    def keys_of(wanted=None, pairs: bool = False):
+        """(key, set) of the prefixes; with ``wanted``, (key, doc_id) of those marked; of these and another one with ``pairs``."""
+
+        def run(batches):
+            for b in slices(batches, "text"):
+                held = [sets.prefix(x, *order.value, int(pairs)) for x in shingle_sets(texts(b.column(1)), size)]
+                if not wanted:
+                    h = np.array([set_hash(np.sort(x))[0] for x in held])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.repeat(h, [len(x) for x in held]))], ["key", "owner"])
+                    continue
+                found = []
+                for x in held:
+                    hit = x[marked(wanted.value, x)]
+                    if pairs:
+                        both = [mixed(mixed(np.minimum(h, x)) + np.maximum(h, x))[x != h] for h in hit]
+                        hit = np.unique(np.concatenate(both)) if both else hit
+                    found.append(hit)
+                ids = b.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), ids], ["key", "node"])
+
+        return run
+
+    def keyed(named: DataFrame, keys: DataFrame, pairs: bool) -> DataFrame:
+        wanted = spark.sparkContext.broadcast(marks(keys, "key"))
+        found = rows.filter("doc_id is not null").mapInArrow(lean(keys_of(wanted, pairs)), "key long, node long")
+        return found.join(named, "node")
+
+    prints = table(rows.mapInArrow(lean(prints_of), ", ".join(f"{x} long" for x in prints_names)))
+    first = F.min(F.struct("doc_id", *sets.names)).alias("x")
+    groups = table(prints.filter("doc_id is not null").groupBy("h0", "h1").agg(first).select("h0", "h1", F.col("x.doc_id").alias("node"), *(F.col(f"x.{n}").alias(n) for n in sets.names)))
+    nodes = groups.select("node", *sets.names)
+    owners = rows.mapInArrow(lean(keys_of()), "key long, owner long").groupBy("key").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"))
+    several = table(owners.filter("lo < hi").select("key"))
+    all_rows = table(keyed(nodes, several, False))
+    drop(several)
+    finest = False
+
+    def rows_of(named: DataFrame) -> DataFrame:
+        return buckets.opened(all_rows.join(named.select("node", "component").distinct(), "node"))
+
+    def refine(large: DataFrame) -> DataFrame | None:
+        nonlocal finest
+        if finest:
+            return None
+        finest = True
+        members = large.select("node", "component", *sets.names).distinct()
+        return keyed(members, large.select("key").distinct(), True)
+
+    linked = buckets.linked_within(nodes, all_rows, rows_of, sets.names, sets.column, sets.near, refine, _similar(docs, size, least), bucket)
+    out = table(_named(prints.select("doc_id", "h0", "h1"), groups.select("node", "h0", "h1"), linked, ["h0", "h1"]).select("doc_id", "component_id"))
+    drop(prints, groups, all_rows, linked)
+    settle(spark)
     return out
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import ship, slices
+from .common import lean, ship, slices
 from .pretokens import OTHER, PIECE, Memory
 
 #: Merged pre-tokens that a worker remembers before it starts anew.
@@ -93,4 +93,4 @@ def count(docs: DataFrame, path: str, limit: int = 1024, doc_id: str = "doc_id",
             tokens = counter.count(docs)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(d.encode()) for d in docs], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens])], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import lean, ship
 from .vectors import Best, pieces, query_blocks, ranked, vectors
 
 BINS = 64
@@ -56,7 +56,7 @@ def _count(rows: DataFrame, queries, low, width, offset, scale: int):
         if len(i):
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], ["q", "bin", "n"])
 
-    found = rows.mapInArrow(run, "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.mapInArrow(lean(run), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((len(low), BINS + 1), dtype=np.int64)  # one row a query of this block
     out[np.asarray(found["q"]), np.asarray(found["bin"])] = np.asarray(found["n"])
     sent.unpersist()
@@ -118,7 +118,7 @@ def _bound(rows: DataFrame, queries, scale: int) -> int:
                 most = max(most, float(np.sqrt((grid(m, scale) ** 2).sum(axis=1)).max()))
         yield pa.RecordBatch.from_arrays([pa.array([most])], ["most"])
 
-    most = rows.mapInArrow(run, "most double").agg(F.max("most")).collect()[0][0] or 0.0
+    most = rows.mapInArrow(lean(run), "most double").agg(F.max("most")).collect()[0][0] or 0.0
     longest = max(float(np.sqrt((grid(m, scale) ** 2).sum(axis=1)).max()) for _, m in queries.values())
     return int(min(most * longest * 1.0001 + 2, float(_LONG[1])))
 
@@ -144,4 +144,4 @@ def _filtered(rows: DataFrame, queries, low, offset, scale: int, k: int) -> Data
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(at), pa.array(-1 - key.astype(np.int64)), pa.array(ids)], ["query_id", "copy", "s", "vec_id"])
 
-    return rows.mapInArrow(run, "query_id long, copy long, s long, vec_id long").select("query_id", "copy", (-F.col("s").cast("decimal(20,0)")).alias("key"), "vec_id")
+    return rows.mapInArrow(lean(run), "query_id long, copy long, s long, vec_id long").select("query_id", "copy", (-F.col("s").cast("decimal(20,0)")).alias("key"), "vec_id")

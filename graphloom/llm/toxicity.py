@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, fold, sampled, ship, slices, text_of, texts
+from .common import Words, fold, lean, sampled, ship, slices, text_of, texts
 
 #: Labelled rows of a class at most, each of at most so many characters.
 ROWS, LONGEST = 2500, 20_000
@@ -280,7 +280,7 @@ def score(docs: DataFrame, model: Network | None, keep: bool = False, doc_id: st
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= CUT).astype(np.int32))], [b.schema.names[0], "score", "predicted"])
 
     first = rows.schema[0]
-    return rows.mapInArrow(run, f"{first.name} {first.dataType.simpleString()}, score double, predicted int")
+    return rows.mapInArrow(lean(run), f"{first.name} {first.dataType.simpleString()}, score double, predicted int")
 
 
 def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from fixtures import awkward, frame, prose
 
-from graphloom.llm import ann, graph, packing, simhash, substring, topk
+from graphloom.llm import ann, buckets, graph, packing, simhash, substring, topk
 
 VECTORS = "vec_id long, embedding array<float>, rank int, score string"
 
@@ -190,28 +190,52 @@ def test_simhash_components(spark):
 
 def test_ring_keys_meet_every_pair_in_reach():
     rng = np.random.default_rng(0)
-    ring = simhash.Ring(1, 4, 5)
+    ring = simhash.Ring(4, 5)
     for _ in range(400):
         a = rng.integers(0, 2**64, dtype=np.uint64)
         b = a
         for bit in rng.choice(64, rng.integers(0, 5), replace=False):
             b ^= np.uint64(1) << np.uint64(bit)
-        x, y = ring.keys(np.array([[a], [b]]))
+        x, y = ring.keys(np.array([a, b]))
         assert set(x.tolist()) & set(y.tolist())
 
 
-def test_exact_round_links_what_centres_miss(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "ROUNDS", 1)
+def signed(f):
+    return f - (1 << 64) if f >> 63 else f
+
+
+@pytest.mark.parametrize("bucket", [40, None])
+def test_ring_components_whatever_the_size_of_a_bucket(spark, bucket):
     rng = random.Random(9)
-    prints = {i: rng.choice([0, (1 << 64) - 1, 0x00FF00FF00FF00FF]) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 7))) for i in range(150)}
-    ring = simhash.Ring(1, 4, 5)
-    signed = [(i, f - (1 << 64) if f >> 63 else f) for i, f in prints.items()]
-    nodes = spark.createDataFrame(signed, "node long, f0 long").dropDuplicates(["f0"])
-    kept = {r.node for r in nodes.collect()}
-    nodes = spark.createDataFrame([x for x in signed if x[0] in kept], "node long, f0 long")
-    linked = {r.node: r.component for r in simhash.components(nodes, ring.keys, ring).collect()}
-    want = brute_components({i: f for i, f in prints.items() if i in kept})
-    assert {i: linked.get(i, i) for i in want} == want
+    prints = {rng.choice([0, (1 << 64) - 1, 0x00FF00FF00FF00FF]) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 8))) for _ in range(160)}
+    nodes = spark.createDataFrame([(signed(f), signed(f)) for f in prints], "node long, f0 long")
+    linked = {r.node: r.component for r in simhash.ring_components(nodes, simhash.Ring(4, 5), bucket).collect()}
+    want = brute_components({signed(f): f for f in prints})
+    least = {}
+    for i, c in want.items():
+        least[c] = min(least.get(c, i), i)
+    assert {i: linked.get(i, i) for i in want} == {i: least[c] for i, c in want.items()}
+
+
+def test_rows_of_joins_grow_with_a_hot_group_of_near_copies_and_no_faster(spark, monkeypatch):
+    made = []
+
+    def counting(df, keep=simhash.table):
+        out = keep(df)
+        made.append(out.count())
+        return out
+
+    for module in (simhash, buckets, graph):
+        monkeypatch.setattr(module, "table", counting)
+    total = []
+    for n in (500, 2000):
+        rng = random.Random(n)
+        base = rng.getrandbits(64)
+        prints = {base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 9))) for _ in range(n)} | {rng.getrandbits(64) for _ in range(500)}
+        made.clear()
+        simhash.ring_components(spark.createDataFrame([(signed(f), signed(f)) for f in prints], "node long, f0 long"), simhash.Ring(4, 5))
+        total.append(sum(made) / n)
+    assert max(total) < 80  # a node has 64 keys
 
 
 def shingles(text, n=5):
@@ -273,9 +297,41 @@ def test_bounds_of_sets_never_lose_a_pair(spark):
         few = int(0.2 * len(a))
         held.append((a, np.delete(a, rng.choice(len(a), few, replace=False))))
     assert all(set(sets.prefix(a, frequent, times)) & set(sets.prefix(b, frequent, times)) for a, b in held)
-    rows = [(len(a), *sets.parity(a).view(np.int64).tolist(), len(b), *sets.parity(b).view(np.int64).tolist()) for a, b in held]
-    pairs = spark.createDataFrame(rows, "n long, f0 long, f1 long, m long, g0 long, g1 long")
-    assert pairs.filter(sets.near(str, {"n": "m", "f0": "g0", "f1": "g1"}.get)).count() == len(held)
+    x, y = (np.array([[len(h), *sets.parity(h).tolist()] for h in side], dtype=np.uint64) for side in zip(*held))
+    assert sets.near(x, y).all()
+    pairs = spark.createDataFrame([(*p, *q) for p, q in zip(x.view(np.int64).tolist(), y.view(np.int64).tolist())], "n_set long, f0 long, f1 long, m long, g0 long, g1 long")
+    assert pairs.filter(sets.column(str, {"n_set": "m", "f0": "g0", "f1": "g1"}.get)).count() == len(held)
+
+
+@pytest.mark.parametrize("bucket", [16, None])
+def test_similar_groups_equal_brute_force(spark, bucket):
+    rng = random.Random(17)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(rng.randrange(20, 90))]
+        for _ in range(rng.randrange(2, 14)):
+            w = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    common = " ".join(f"line{k}" for k in range(12))
+    rows += [(500 + i, common + " " + " ".join(f"own{i}x{k}" for k in range(3))) for i in range(30)]  # one bucket, few alike
+    sets_ = {i: shingles(t) for i, t in rows}
+    parent = {i: i for i in sets_}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sets_:
+        for j in sets_:
+            if i < j and len(sets_[i] & sets_[j]) >= 0.8 * len(sets_[i] | sets_[j]):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, rows), bucket=bucket).collect()}
+    assert got == {i: find(i) for i in sets_}
+    assert simhash.similar_groups(frame(spark, [])).count() == 0
 
 
 def test_components_of_edges(spark):
