@@ -158,6 +158,20 @@ class Sets:
         odd = np.bincount((mixed(hashes) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
         return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
+    def wide(self, hashes: np.ndarray) -> bytes:
+        """A parity of 2 to 4 bits an element (256 at least, a power of two), which tells large sets apart, too."""
+        bits = max(256, 1 << max(0, 2 * len(hashes) - 1).bit_length())
+        odd = np.bincount((mixed(hashes + np.uint64(1)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+    def may(self, n: int, a: bytes, m: int, b: bytes) -> bool:
+        """Whether sets of n and m elements with these wide parities can be similar; the larger parity is folded to the smaller."""
+        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        if len(x) < len(y):
+            x, y = y, x
+        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+        return int(np.bitwise_count(x ^ y).sum()) <= self.share * (n + m) + 1e-6
+
     def prefix(self, hashes: np.ndarray, frequent: np.ndarray, times: np.ndarray, more: int = 0) -> np.ndarray:
         """The first of the distinct ``hashes``, by their ``times`` (0 unless among the sorted ``frequent``), then by value.
 
@@ -302,13 +316,21 @@ def near_duplicates(docs: DataFrame, size: int = 4, most: int = 4, segments: int
     return prints.join(least, "f0", "left").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _similar(docs: DataFrame, size: int, least: float) -> Callable[[DataFrame], DataFrame]:
+def _similar(docs: DataFrame, groups: DataFrame, size: int, sets_: Sets) -> Callable[[DataFrame], DataFrame]:
     """A table of the (a, b) pairs of ids whose texts' shingle sets have that similarity, exactly.
 
-    The sets of the b of an a come to one task, CHUNK at a time, and pass by the set of a. An id that
+    Wide parities of ``groups`` (node, n_set, wide) leave few other pairs. The sets of the b of an a come to one task, CHUNK at a time, and pass by the set of a. An id that
     several texts bear is similar if one of them is.
     """
 
+    least = sets_.least
+
+    def possible(batches):
+        for b in batches:
+            ok = [sets_.may(*r) for r in zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)))]
+            part = b.filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"])
+
     def sets(batches):
         for b in slices(batches, "text"):
             held = shingle_sets(texts(b.column(1)), size)
@@ -335,7 +357,8 @@ def _similar(docs: DataFrame, size: int, least: float) -> Callable[[DataFrame],
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def exact(pairs: DataFrame) -> DataFrame:
-        pairs = table(pairs)
+        pairs = pairs.join(groups.selectExpr("node a", "n_set n", "wide wa"), "a").join(groups.selectExpr("node b", "n_set m", "wide wb"), "b")
+        pairs = table(pairs.select("a", "b", "n", "wa", "m", "wb").mapInArrow(lean(possible), "a long, b long").distinct())
         crowd = pairs.groupBy("a").agg(F.expr(f"count(*) div {CHUNK} + 1").alias("salts"))
         salted = pairs.join(crowd, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
         wanted = table(salted.select(F.col("a").alias("centre"), "salt", F.explode(F.expr("array(struct(0 follows, a id), struct(1 follows, b id))")).alias("x")).select("centre", "salt", "x.*").distinct())
@@ -370,7 +393,7 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, words: in
             held = shingle_sets(texts(b.column(1)), size)
             h = np.array([set_hash(x) for x in held])
             f = np.array([sets.parity(x) for x in held]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([len(x) for x in held], pa.int64()), *(pa.array(f[:, w]) for w in range(words))], prints_names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([len(x) for x in held], pa.int64()), *(pa.array(f[:, w]) for w in range(words)), pa.array([sets.wide(x) for x in held], pa.binary())], [*prints_names, "wide"])
 
     def keys_of(wanted=None, pairs: bool = False):
         """(key, set) of the prefixes; with ``wanted``, (key, doc_id) of those marked; of these and another one with ``pairs``."""
@@ -399,9 +422,9 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, words: in
         found = rows.filter("doc_id is not null").mapInArrow(lean(keys_of(wanted, pairs)), "key long, node long")
         return found.join(named, "node")
 
-    prints = table(rows.mapInArrow(lean(prints_of), ", ".join(f"{x} long" for x in prints_names)))
-    first = F.min(F.struct("doc_id", *sets.names)).alias("x")
-    groups = table(prints.filter("doc_id is not null").groupBy("h0", "h1").agg(first).select("h0", "h1", F.col("x.doc_id").alias("node"), *(F.col(f"x.{n}").alias(n) for n in sets.names)))
+    prints = table(rows.mapInArrow(lean(prints_of), ", ".join(f"{x} long" for x in prints_names) + ", wide binary"))
+    first = F.min(F.struct("doc_id", *sets.names, "wide")).alias("x")
+    groups = table(prints.filter("doc_id is not null").groupBy("h0", "h1").agg(first).select("h0", "h1", F.col("x.doc_id").alias("node"), *(F.col(f"x.{n}").alias(n) for n in [*sets.names, "wide"])))
     nodes = groups.select("node", *sets.names)
     owners = rows.mapInArrow(lean(keys_of()), "key long, owner long").groupBy("key").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"))
     several = table(owners.filter("lo < hi").select("key"))
@@ -420,7 +443,7 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, words: in
         members = large.select("node", "component", *sets.names).distinct()
         return keyed(members, large.select("key").distinct(), True)
 
-    linked = buckets.linked_within(nodes, all_rows, rows_of, sets.names, sets.column, sets.near, refine, _similar(docs, size, least), bucket)
+    linked = buckets.linked_within(nodes, all_rows, rows_of, sets.names, sets.column, sets.near, refine, _similar(docs, groups, size, sets), bucket)
     out = table(_named(prints.select("doc_id", "h0", "h1"), groups.select("node", "h0", "h1"), linked, ["h0", "h1"]).select("doc_id", "component_id"))
     drop(prints, groups, all_rows, linked)
     settle(spark)

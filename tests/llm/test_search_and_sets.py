@@ -134,6 +134,21 @@ def test_packing_keeps_every_word_and_every_rule(spark):
     assert packing.pack(packing.items(frame(spark, []))).count() == 0
 
 
+def test_packing_does_not_depend_on_how_files_are_split(spark):
+    rows = packing.items(frame(spark, awkward() + awkward()[:9] * 3))
+    found = [sorted((r.bin_id or -1, r.slot, r.doc_id or -1, r.piece, r.length) for r in packing.pack(rows.repartition(n), capacity=100, shard_bins=10, shard_pieces=40).collect()) for n in (1, 5)]
+    assert found[0] == found[1]
+
+
+def test_a_dominant_source_is_skipped_in_runs():
+    rng = random.Random(4)
+    n = 1500
+    lengths = sorted((rng.randrange(1, 60) for _ in range(n)), reverse=True)
+    sources = [0 if rng.random() < 0.7 else rng.randrange(1, 30) for _ in range(n)]
+    bins = packing.best_fit(lengths, sources, [-1] * n, 100)
+    assert bins == plain_best_fit(lengths, sources, [-1] * n, 100)
+
+
 # --- SimHash
 
 
@@ -299,6 +314,9 @@ def test_bounds_of_sets_never_lose_a_pair(spark):
     assert all(set(sets.prefix(a, frequent, times)) & set(sets.prefix(b, frequent, times)) for a, b in held)
     x, y = (np.array([[len(h), *sets.parity(h).tolist()] for h in side], dtype=np.uint64) for side in zip(*held))
     assert sets.near(x, y).all()
+    assert all(sets.may(len(a), sets.wide(a), len(b), sets.wide(b)) for a, b in held)
+    strangers = rng.integers(0, 2**64, (2, 3000), dtype=np.uint64)
+    assert not sets.may(3000, sets.wide(strangers[0]), 3000, sets.wide(strangers[1]))
     pairs = spark.createDataFrame([(*p, *q) for p, q in zip(x.view(np.int64).tolist(), y.view(np.int64).tolist())], "n_set long, f0 long, f1 long, m long, g0 long, g1 long")
     assert pairs.filter(sets.column(str, {"n_set": "m", "f0": "g0", "f1": "g1"}.get)).count() == len(held)
 
@@ -417,6 +435,54 @@ def test_repeated_passages(spark):
     assert substring.repeats(frame(spark, [])).count() == 0
 
 
+def test_every_exact_repeat_is_found_whoever_held_its_parts_first(spark):
+    """A passage whose every part of 30 words stood in another document before it was whole."""
+    rng = random.Random(31)
+    passage = [f"p{k}" for k in range(120)]
+    rows = [(i, prose(rng, 40) + " " + " ".join(passage[at : at + 30]) + " " + prose(rng, 40)) for i, at in enumerate(range(0, 91, 10))]
+    rows += [(50, prose(rng, 33) + " " + " ".join(passage) + " " + prose(rng, 20)), (51, prose(rng, 7) + " " + " ".join(passage[30:85]) + " " + prose(rng, 60)), (52, " ".join(passage[61:113]))]
+    rows += [(60 + i, prose(rng, 30) + " " + " ".join(f"s{k}" for k in range(9 * i, 9 * i + 24)) + " " + prose(rng, 30)) for i in range(6)]
+    words = {i: t.split() for i, t in rows}
+    want = {}
+    for i, own in words.items():
+        before = {tuple(w[k : k + 50]) for j, w in words.items() if j < i for k in range(len(w) - 49)}
+        hit = {p for k in range(len(own) - 49) if tuple(own[k : k + 50]) in before for p in range(k, k + 50)}
+        if hit:
+            want[i] = hit
+    assert set(want) == {51, 52}
+    got = defaultdict(set)
+    for r in substring.repeats(frame(spark, rows)).collect():
+        got[r.doc_id] |= set(range(r.start, r.end))
+    assert all(want[i] <= got[i] for i in want)
+    assert set(got) <= {50, 51, 52, *range(61, 66)}
+
+
+def test_texts_of_one_id_each_have_their_passages(spark):
+    rng = random.Random(12)
+    one, two = prose(rng, 80), prose(rng, 80)
+    rows = [(1, prose(rng, 20) + " " + one), (2, two + " " + prose(rng, 30)), (3, prose(rng, 15) + " " + one), (3, two + " " + prose(rng, 25)), (3, prose(rng, 40)), (4, prose(rng, 50))]
+    for parts in (1, 3):
+        df = frame(spark, rows).repartition(parts)
+        got = sorted((r.doc_id, r.start, r.end) for r in substring.repeats(df).collect())
+        assert len(got) == 2 and [x[0] for x in got] == [3, 3] and got[0][1] == 0 and abs(got[1][1] - 15) <= 2
+        left = [r.text for r in substring.cleaned(df).collect() if r.doc_id == 3]
+        assert len(left) == 3 and rows[4][1] in left and not any(one in t or two in t for t in left)
+
+
+def test_long_runs_are_those_about_marked_seeds():
+    docs = [prose(random.Random(i), 150).encode() for i in range(3)]
+    t, p, h = substring.seeds(docs)
+    some = h[(t == 1)][3:5]
+    bitmap = np.zeros(substring.marks.__globals__["MAP_BITS"] // 64, dtype=np.uint64)
+    for x in (some & np.uint64(substring.marks.__globals__["MAP_BITS"] - 1)).tolist():
+        bitmap[x >> 6] |= np.uint64(1 << (x & 63))
+    rt, rp, _ = substring.long_runs(docs, bitmap)
+    at = p[t == 1][3:5]
+    assert set(rt.tolist()) == {1}
+    words = len(substring.Words([docs[1]]).start)
+    assert set(rp.tolist()) == {q for a in at.tolist() for q in range(max(0, a - 14), min(a, words - 20) + 1)}
+
+
 def test_cleaned_documents_lose_the_passages_alone(spark):
     rows, p = passage_rows()
     df = frame(spark, rows)
