@@ -25,10 +25,13 @@ def folded(c: Column) -> Column:
 
 
 def _sized(text: Column, number: Column) -> list[Column]:
-    """Fields that order numbers exactly: as a double first, then as a decimal, then (beyond 20 whole digits) as digits."""
+    """Fields that order numbers exactly: as a double first, then as a decimal, then (beyond 20 whole or 18 other digits) as digits."""
     plain = F.when(number, text)
-    exact = plain.try_cast("decimal(38,18)")
-    rest = F.when(number & exact.isNull(), F.regexp_replace(text, r"^[+-]?0*", "")).when(number, F.lit("")).otherwise(folded(text))
+    long = F.length(text) > 19
+    exact = F.when(long, F.regexp_replace(plain, r"(\.\d{18})\d+$", "$1")).otherwise(plain).try_cast("decimal(38,18)")
+    tail = F.when(long, F.regexp_extract(text, r"\.\d{18}(\d*?)0*$", 1)).otherwise("")
+    tail = F.when(text.startswith("-"), F.concat(F.translate(tail, _DIGITS, _FLIPPED), F.lit("~"))).otherwise(tail)
+    rest = F.when(number & exact.isNull(), F.regexp_replace(text, r"^[+-]?0*", "")).when(number, tail).otherwise(folded(text))
     kind = F.when(number, 0).otherwise(1)
     return [kind.alias("kind"), plain.try_cast("double").alias("about"), exact.alias("exact"), rest.alias("text")]
 
