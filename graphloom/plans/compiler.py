@@ -2,9 +2,10 @@
 
 Every constraint is a filtered scan of primitives. A child is aggregated by the link that ties it to
 its parent and joined once: inner if something of it is wanted, left if it may be missing, semi or
-anti if only its existence counts. Ordering within a parent is a window whose limit Spark pushes
+anti if only its existence counts. A child that is of its parent's own physical row is not joined
+at all: it becomes columns of the parent's scan. Ordering within a parent is a window whose limit Spark pushes
 below the sort; samples without an order are ``min_by`` over ids, which combine before the shuffle.
-Nothing here starts a job.
+Compiling starts no job, but for an ``asof`` that is a timestamp (one id is looked up).
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ class Scope:
     variables: dict[str, Column] = field(default_factory=dict)
     contents: list[str] = field(default_factory=list)  # columns with the children's results
     meta_back: bool = False  # the row is a link seen from its right end
+    origin: str | None = None  # the physical table of the row, if its columns are there
 
 
 def all_of(parts: list[Column]) -> Column:
@@ -50,9 +52,11 @@ class Compiler:
     # --- one constraint's rows
 
     def matches(self, c: Constraint, wanted: frozenset[str], contents: bool) -> tuple[DataFrame, Scope]:
-        df = self.store.scan(self.types(c), self.before)
-        scope = Scope(meta_back=c.linkage == ("from", "right"))
-        conditions = self.intrinsic(c)
+        types = self.types(c)
+        origin = self.store.origin(types)
+        df = self.store.wide(types, self.before) if origin else self.store.scan(types, self.before)
+        scope = Scope(meta_back=c.linkage == ("from", "right"), origin=origin)
+        conditions = [*(self.implied(c, types) if origin else []), *self.intrinsic(c)]
         if conditions:
             df = df.filter(all_of(conditions))
         df = self.related(df, c)
@@ -135,6 +139,13 @@ class Compiler:
                     out.append(F.col(column) >= lo if hi is None else F.col(column).between(lo, hi))
         return out
 
+    def implied(self, c: Constraint, types: frozenset[int]) -> list[Column]:
+        """What the conditions on the value imply for the column it is made of."""
+        default = collate.named((c.comparators.get("comparator") or ["default"])[0])
+        comparator = collate.named((c.comparators.get("value-comparator") or [default])[0])
+        known = [(p.op, p.values[0]) for p in c.predicates if p.name == "value" and len(p.values) == 1 and p.values[0] is not None]
+        return [x for op, text in known for x in self.store.implied(types, op, text, comparator)]
+
     @staticmethod
     def text(c: Column, op: str, values: list[str | None], comparator: str) -> Column:
         if op == "=":
@@ -189,6 +200,10 @@ class Compiler:
         lo = 0 if child.optional else lo
         exported = frozenset(wanted) & self.exports(child)
         result = contents and not (child.result.kind == "list" and not child.result.items)
+        if scope.origin and not start and not any(p.op == "~=" and p.name not in ("name", "value") for p in child.predicates):
+            name = self.store.same_row(scope.origin, self.types(child), child.linkage)
+            if name:
+                return self.fused(df, scope, child, name, wanted, exported, contents, result, required, lo, hi)
         n = self.fresh()
         k = f"k{n}"
         joined = F.col(near) == F.col(k)
@@ -212,6 +227,43 @@ class Compiler:
             return (df.filter(ok) if hi is not None or lo > 1 else df), F.lit(True)
         return df, ok
 
+    def fused(self, df: DataFrame, scope: Scope, child: Constraint, name: str, wanted, exported, contents: bool, result: bool, required: bool, lo: int, hi: int | None) -> tuple[DataFrame, Column]:
+        """``attach`` of a child that is of its parent's own row: its columns take the parent's place while it is worked out."""
+        n = self.fresh()
+        there, cells = self.store.lifted(name)
+        parent = list(cells)
+        df = df.withColumnsRenamed({x: f"p{n}_{x}" for x in parent}).withColumns(cells)
+        own = Scope(meta_back=child.linkage == ("from", "right"), origin=scope.origin)
+        conditions = [there, *self.intrinsic(child)]
+        if self.before is not None:
+            conditions.append(F.col("id") < self.before)
+        must = required and lo == 1 and (hi is None or hi >= 1)
+        if must:
+            df = df.filter(all_of([*self.implied(child, self.types(child)), *conditions]))
+        ok = F.lit(True) if must else all_of(conditions)
+        below = set(wanted) | used(child)
+        for x in child.children:
+            df, part = self.attach(df, own, x, below, contents and "contents" in self.names(child), required=must)
+            ok = ok & part
+        for head, tail in child.choices:
+            df, part = self.choice(df, own, head, tail, below, contents)
+            if must:
+                df = df.filter(part)
+            ok = ok & part
+        df = df.withColumn(f"n{n}", F.when(F.coalesce(ok, F.lit(False)), F.lit(1).cast("long")))
+        for x, p in self.ordered(child):
+            own.variables[x] = self.row(p, own)
+        made = self.alone(own, child, n, exported, result)
+        df = df.withColumns({x: F.when(F.col(f"n{n}").isNotNull(), c) for x, c in made.items()})
+        df = df.drop(*parent).withColumnsRenamed({f"p{n}_{x}": x for x in parent})
+        for x in exported:
+            scope.variables[x] = F.col(f"x{n}_{x[1:]}")
+        if result:
+            scope.contents.append(f"r{n}")
+        count = F.coalesce(F.col(f"n{n}"), F.lit(0))
+        ok = (count >= lo) if hi is None else count.between(lo, hi)
+        return (df if must else df.filter(ok), F.lit(True)) if required else (df, ok)
+
     @staticmethod
     def names(c: Constraint) -> set[str]:
         out = c.result.names("field") if c.result else set()
@@ -225,7 +277,7 @@ class Compiler:
         """The first branch that holds counts; variables of the others stay null."""
         found = []
         for branch in (head, tail):
-            own = Scope(meta_back=scope.meta_back)
+            own = Scope(meta_back=scope.meta_back, origin=scope.origin)
             if branch is None:
                 found.append((F.lit(False), own))
                 continue
@@ -322,8 +374,8 @@ class Compiler:
     def sorted_by(keys: list[tuple[Column, bool]]) -> list[Column]:
         return [k.desc_nulls_first() if down else k.asc_nulls_last() for k, down in keys]
 
-    def single(self, df: DataFrame, scope: Scope, c: Constraint, n: int, exported: frozenset[str], result: bool) -> DataFrame:
-        """What ``grouped`` makes, for a child that the parent points to: ids are unique, so nothing is aggregated."""
+    def alone(self, scope: Scope, c: Constraint, n: int, exported: frozenset[str], result: bool) -> dict[str, Column]:
+        """r and x_<variable> of a child with a single match."""
         limit = page(c, self.default_page)[2]
 
         def built(p: Pattern, depth: int) -> Column:
@@ -338,12 +390,16 @@ class Compiler:
             return self.row(p, scope)
 
         own = {name: p for name, p in c.variables}
-        cells = [built(c.result, 0).alias(f"r{n}")] if result else []
+        cells = {f"r{n}": built(c.result, 0)} if result else {}
         for name in sorted(exported):
             p = own.get(name)
-            value = built(p, 0) if p is not None and p.depth() == 2 else scope.variables[name]
-            cells.append(value.alias(f"x{n}_{name[1:]}"))
-        return df.select(F.col("id").alias(f"k{n}"), F.lit(1).cast("long").alias(f"n{n}"), *cells)
+            cells[f"x{n}_{name[1:]}"] = built(p, 0) if p is not None and p.depth() == 2 else scope.variables[name]
+        return cells
+
+    def single(self, df: DataFrame, scope: Scope, c: Constraint, n: int, exported: frozenset[str], result: bool) -> DataFrame:
+        """What ``grouped`` makes, for a child that the parent points to: ids are unique, so nothing is aggregated."""
+        cells = self.alone(scope, c, n, exported, result)
+        return df.select(F.col("id").alias(f"k{n}"), F.lit(1).cast("long").alias(f"n{n}"), *(x.alias(name) for name, x in cells.items()))
 
     def grouped(self, df: DataFrame, scope: Scope, c: Constraint, key: str | None, n: int, exported: frozenset[str], result: bool, counted: bool) -> DataFrame:
         """k, n, r and x_<variable> columns of a constraint's matches, one row for each value of ``key``."""
@@ -378,16 +434,20 @@ class Compiler:
         placed = bool(c.sort or start or lists or marked)
         base = df.filter(F.col(key).isNotNull()).withColumn(k, F.col(key)) if key else df.withColumn(k, F.lit(0))
         cells = [x.alias(f"s{i}") for i, x in enumerate(samples)] + [x.alias(f"l{i}") for i, x in enumerate(lists)]
+        # counts are aggregated apart from a page, so that a page never needs all rows of a key in one task
+        counts = base.groupBy(k).agg(F.count("*").alias("_all")) if placed and uses_count and size is not None else None
         if placed:
             keys = self.sorted_by(self.order(c, scope))
             alone = len(samples) == 1 and not (lists or start or uses_count)
             if alone:  # of one sample the first that there is will do
                 keys = [samples[0].isNull(), *keys]
+            if key is None and size is not None:
+                base = base.orderBy(*keys).limit(start + max(size, 1))
             w = Window.partitionBy(k).orderBy(*keys)
             base = base.select(k, F.row_number().over(w).alias("rn"), *cells, *([F.col("id").alias("_last")] if marked else []))
             if alone:
                 base = base.filter("rn = 1")
-            elif not uses_count and size is not None:
+            elif size is not None:
                 base = base.filter(F.col("rn") <= start + max(size, 1))
             rank = F.when(F.col("rn") > start, F.col("rn"))
         else:
@@ -402,6 +462,10 @@ class Compiler:
         if marked:
             parts.append(F.max_by("_last", F.when(shown, F.col("rn"))).alias("_last"))
         out = base.groupBy(k).agg(*parts)
+        if counts is not None and key is None:
+            out = out.withColumn(f"n{n}", counts.select("_all").scalar())
+        elif counts is not None:
+            out = out.drop(f"n{n}").join(counts.withColumnRenamed("_all", f"n{n}"), k)
         cut = F.least(F.col(f"n{n}"), F.lit(limit).cast("long")) if limit is not None else F.col(f"n{n}")
 
         def built(how) -> Column:

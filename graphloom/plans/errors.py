@@ -29,3 +29,11 @@ class AlreadyThere(RequestError):
 
 class Superseded(RequestError):
     code = "OUTDATED"
+
+
+class NotYet(RequestError):
+    code = "AGAIN"
+
+
+class TooDear(RequestError):
+    code = "COST"

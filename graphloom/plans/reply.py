@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
-from .compiler import compile_read
-from .errors import NotFound, RequestError
+from .compiler import compile_read, dateline
+from .errors import NotFound, NotYet, RequestError, SemanticFault
 from .parser import parse
 from .semantic import bounds
 from .tree import Constraint, Pattern, Request
@@ -118,12 +121,51 @@ def read(store, request: Request) -> str:
     return Writer(root).result(root, rows[0]["r"])
 
 
+#: Cost abbreviations: time (real, user, system, end to end), pages, primitives, index, values, and the file marks.
+COSTS = ("tr", "tu", "ts", "te", "pr", "pf", "dr", "dw", "ir", "iw", "in", "va", "fm", "mm", "ft", "mt")
+
+
+def allowed(text: str) -> dict[str, int]:
+    """A ``cost`` modifier: name=number pairs; times are milliseconds."""
+    out = {}
+    for word in text.split():
+        name, _, n = word.partition("=")
+        if name.lower() not in COSTS or not n.isdigit():
+            raise SemanticFault(f"{word!r} is no cost")
+        out[name.lower()] = int(n)
+    return out
+
+
+def checked(request: Request, horizon: int | None) -> None:
+    """Raise unless the modifiers make sense; a ``dateline`` must not be beyond ``horizon`` (None: not known)."""
+    allowed(request.modifiers.get("cost", ""))
+    asked = request.modifiers.get("dateline", "")
+    if asked and horizon is not None and dateline(asked) > horizon:
+        raise NotYet(f"this store ends at {horizon}")
+
+
+def marks(request: Request, horizon: int | None, began: float) -> str:
+    """What stands between ``ok`` and the result: the request's id, the store's dateline and the time spent, as asked."""
+    asked = request.modifiers
+    parts = [f'id="{asked["id"]}"'] if "id" in asked else []
+    if "dateline" in asked and horizon is not None:
+        parts.append(f'dateline="db.{horizon}"')
+    if "cost" in asked:
+        parts.append(f'cost="te={round(1000 * (time.monotonic() - began))}"')
+    return "".join(" " + p for p in parts)
+
+
 def session(store, text: str) -> str:
     """The reply to one read request: ``ok`` and the result, or ``error`` and its code."""
-    mark = ""
+    mark, began = "", time.monotonic()
     try:
         request = parse(text)
         mark = f' id="{request.modifiers["id"]}"' if "id" in request.modifiers else ""
-        return f"ok{mark} {read(store, request)}"
+        horizon = None
+        if "dateline" in request.modifiers:
+            horizon = (store.primitives.agg(F.max("id")).collect()[0][0] or -1) + 1
+        checked(request, horizon)
+        body = read(store, request)
+        return f"ok{marks(request, horizon, began)} {body}"
     except RequestError as e:
         return f'error {e.code}{mark} "{e}"'

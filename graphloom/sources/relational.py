@@ -2,11 +2,13 @@
 
 A row is a node; a column is a link from it (``left``) with the column's text as value; a foreign key
 is a link without a value that points to the other row's node (``right``). Nothing is unpivoted: each
-attribute is a frame of its own, and a template that names types reads only their columns.
+attribute is a frame of its own, and a template that names types reads only their columns. A template
+that asks a row for its attributes gets them from the same scan (``wide`` and ``lifted``), without a join.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -52,6 +54,10 @@ EVENTS = "event"
 _NUMBERS = {name: n for n, name in enumerate([*TABLES, EVENTS], 1)}
 _LINKS = {f"{t}.{a.column}": n for n, (t, a) in enumerate(((t, a) for t, x in TABLES.items() for a in x.attributes), _ATTRIBUTES)}
 TYPES = _NUMBERS | _LINKS
+_NAMES = {n: x for x, n in TYPES.items()}
+#: Rows of a table without a key are numbered through its files, in the order of their names.
+_RAW, _KEY = "_raw_", "_raw_key"
+_DECIMAL = re.compile(r"[+-]?\d+(\.\d+)?")
 
 
 def node_id(table: str, key: Column) -> Column:
@@ -62,6 +68,9 @@ def node_number(table: str, key: int) -> int:
     return (_NUMBERS[table] << SHIFT) + key
 
 
+COLUMNS = ["id", "typeguid", "right", "left", "scope", "prev", "name", "value", "valuetype", "live", "archival", "txstart", "ts_raw", "lineage", "generation", "from_latest", "prev_id", "next_id"]
+
+
 class TableStore(Store):
     """A store whose primitives are derived from ``sf_dir/<table>.parquet`` when they are scanned."""
 
@@ -72,6 +81,14 @@ class TableStore(Store):
     def primitives(self) -> DataFrame:
         return self.scan(None)
 
+    def check_keys(self) -> None:
+        """Raise if a key is negative or has no room below the type's number: ids would collide."""
+        for name, t in TABLES.items():
+            if t.key:
+                lo, hi = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").agg(F.min(t.key), F.max(t.key)).collect()[0]  # from the footers
+                if lo is not None and (lo < 0 or hi >= 1 << SHIFT):
+                    raise ValueError(f"{name}.{t.key}: {lo} to {hi} has no room in an id")
+
     def scan(self, types: frozenset[int] | None, before: int | None = None) -> DataFrame:
         names = [n for n, i in TYPES.items() if (types is None or i in types) and n != EVENTS] or ["region"]
         out = reduce(DataFrame.unionByName, [self.link(n) if n in _LINKS else self.node(n) for n in names])
@@ -79,45 +96,102 @@ class TableStore(Store):
             out = out.filter(F.lit(False))
         return out.filter(F.col("id") < before) if before is not None else out
 
+    # --- a row and its attributes as columns of one scan
+
+    def origin(self, types: frozenset[int] | None) -> str | None:
+        """The table, if all candidates are its nodes or all are one of its attributes."""
+        name = _NAMES.get(next(iter(types))) if types is not None and len(types) == 1 else None
+        return name.partition(".")[0] if name and name != EVENTS else None
+
+    def wide(self, types: frozenset[int], before: int | None = None) -> DataFrame:
+        """``scan`` with the columns of the table beside the primitives' own."""
+        name = _NAMES[next(iter(types))]
+        table = name.partition(".")[0]
+        df, key = self.rows(table)
+        columns = dict.fromkeys([a.column for a in TABLES[table].attributes] + [TABLES[table].name] * bool(TABLES[table].name))
+        raw = df.select(key.alias(_KEY), *(F.col(c).alias(_RAW + c) for c in columns))
+        there, cells = self.lifted(name)
+        out = raw.filter(there).select("*", *(c.alias(n) for n, c in cells.items()))
+        return out.filter(F.col("id") < before) if before is not None else out
+
+    def same_row(self, table: str, types: frozenset[int] | None, linkage: tuple[str, str]) -> str | None:
+        """The attribute (or node) that a child of these types is, if it is of its parent's own row."""
+        name = _NAMES.get(next(iter(types)), "") if types is not None and len(types) == 1 else ""
+        return name if linkage == ("from" if "." in name else "to", "left") and name.partition(".")[0] == table else None
+
+    def lifted(self, name: str) -> tuple[Column, dict[str, Column]]:
+        """Whether a row of ``wide`` has the node or attribute, and its primitive's columns."""
+        table, _, column = name.partition(".")
+        key = F.col(_KEY)
+        if not column:
+            label = TABLES[table].name
+            return F.lit(True), self.cells(_NUMBERS[table], key, **({"name": F.col(_RAW + label)} if label else {}))
+        attribute = next(a for a in TABLES[table].attributes if a.column == column)
+        c, left = F.col(_RAW + column), node_id(table, key)
+        if attribute.kind in TABLES:
+            return c.isNotNull(), self.cells(_LINKS[name], key, left=left, right=node_id(attribute.kind, c))
+        text = {"number": c.cast("decimal(18,2)"), "date": F.date_format(c, "yyyy-MM-dd")}.get(attribute.kind, c)
+        return F.lit(True), self.cells(_LINKS[name], key, left=left, value=text)
+
+    def implied(self, types: frozenset[int] | None, op: str, text: str, comparator: str) -> list[Column]:
+        """Plain comparisons of the column of ``wide`` that ``value op text`` implies; they reach the Parquet scan."""
+        name = _NAMES.get(next(iter(types)), "") if types is not None and len(types) == 1 else ""
+        table, _, column = name.partition(".")
+        kind = next((a.kind for a in TABLES[table].attributes if a.column == column), "") if column else ""
+        c = F.col(_RAW + column)
+        low, high = op in (">", ">=", "="), op in ("<", "<=", "=")
+        if kind in ("number", "whole") and comparator in ("number", "default") and _DECIMAL.fullmatch(text):
+            bound = float(text)
+            slack = 0.01 + abs(bound) * 1e-12  # values are rounded to two decimals
+            return [c >= bound - slack] * low + [c <= bound + slack] * high
+        if kind == "date" and comparator == "datetime" and re.fullmatch(r"\d{4}(-\d\d){0,2}", text):
+            day = F.lit((text + "-01-01")[:10]).cast("date")
+            return [c >= day.cast("timestamp_ntz")] * low + [c < F.add_months(day, 13).cast("timestamp_ntz")] * high
+        return []
+
     def rows(self, table: str) -> tuple[DataFrame, Column]:
         df = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
         if TABLES[table].key:
             return df, F.col(TABLES[table].key)
-        files = sorted(df.inputFiles())
         df = df.withColumns({"_row": F.col("_metadata.row_index"), "_file": F.col("_metadata.file_path")})
-        if len(files) == 1:
+        if len(df.inputFiles()) == 1:
             return df, F.col("_row")
-        order = self.spark.createDataFrame([(f.rpartition("/")[2], n) for n, f in enumerate(files)], "_name string, _n long")
-        df = df.withColumn("_name", F.substring_index("_file", "/", -1)).join(order, "_name")
-        return df, F.col("_n") * (1 << 26) + F.col("_row")
-
-    def primitive(self, df: DataFrame, number: int, key: Column, **fields: Column) -> DataFrame:
+        return df.join(self.starts(table), "_file"), F.col("_start") + F.col("_row")
+
+    def starts(self, table: str) -> DataFrame:
+        """(_file, _start): rows in the files before each one, from counts that read no column; worked out once."""
+        held = self.__dict__.setdefault("_starts", {})
+        if table not in held:
+            df = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+            sizes = df.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count("*").alias("n")).collect()  # a row a file
+            total, found = 0, []
+            for r in sorted(sizes):
+                found.append((r[0], total))
+                total += r[1]
+            if total >= 1 << SHIFT:
+                raise ValueError(f"{table} has more rows than ids have room for")
+            held[table] = self.spark.createDataFrame(found, "_file string, _start long")
+        return held[table]
+
+    @staticmethod
+    def cells(number: int, key: Column, **fields: Column) -> dict[str, Column]:
+        """The columns of a primitive."""
         none = F.lit(None)
-        link = lambda n: fields.get(n, none).cast("long").alias(n)
+        link = lambda n: fields.get(n, none).cast("long")
         value = fields.get("value", none).cast("string")
         ident = key.cast("long") + (number << SHIFT)
-        return df.select(
-            ident.alias("id"), F.lit(number).cast("long").alias("typeguid"), link("right"), link("left"), link("scope"), none.cast("long").alias("prev"),
-            fields.get("name", none).cast("string").alias("name"), value.alias("value"), F.when(value.isNull(), 1).otherwise(2).cast("short").alias("valuetype"),
-            F.lit(True).alias("live"), F.lit(True).alias("archival"), F.lit(True).alias("txstart"), ident.alias("ts_raw"), ident.alias("lineage"),
-            F.lit(0).alias("generation"), F.lit(0).alias("from_latest"), none.cast("long").alias("prev_id"), none.cast("long").alias("next_id"),
-        )
+        return {
+            "id": ident, "typeguid": F.lit(number).cast("long"), "right": link("right"), "left": link("left"), "scope": link("scope"), "prev": none.cast("long"),
+            "name": fields.get("name", none).cast("string"), "value": value, "valuetype": F.when(value.isNull(), 1).otherwise(2).cast("short"),
+            "live": F.lit(True), "archival": F.lit(True), "txstart": F.lit(True), "ts_raw": ident, "lineage": ident,
+            "generation": F.lit(0), "from_latest": F.lit(0), "prev_id": none.cast("long"), "next_id": none.cast("long"),
+        }
 
     def node(self, table: str) -> DataFrame:
-        df, key = self.rows(table)
-        name = TABLES[table].name
-        return self.primitive(df, _NUMBERS[table], key, **({"name": F.col(name)} if name else {}))
+        return self.wide(frozenset([_NUMBERS[table]])).select(*COLUMNS)
 
     def link(self, name: str) -> DataFrame:
-        table, _, column = name.partition(".")
-        attribute = next(a for a in TABLES[table].attributes if a.column == column)
-        df, key = self.rows(table)
-        c = F.col(column)
-        left = node_id(table, key)
-        if attribute.kind in TABLES:
-            return self.primitive(df.filter(c.isNotNull()), _LINKS[name], key, left=left, right=node_id(attribute.kind, c))
-        text = {"number": c.cast("decimal(18,2)"), "date": F.date_format(c, "yyyy-MM-dd")}.get(attribute.kind, c)
-        return self.primitive(df, _LINKS[name], key, left=left, value=text)
+        return self.wide(frozenset([_LINKS[name]])).select(*COLUMNS)
 
 
 class EventStore(Store):
