@@ -1,12 +1,13 @@
 """Writes: batches against a store, and the write requests of the template language.
 
-``absent``, ``keyed`` and ``anchored`` are set-at-a-time forms for bulk loads. ``Session`` keeps a
+``absent``, ``keyed`` and ``anchored`` plan bulk loads; ``appended`` writes one onto a store at rest. ``Session`` keeps a
 store and applies write requests one by one; each appends one batch of numbered primitives.
 """
 
 from __future__ import annotations
 
 import threading
+import time
 import uuid
 from dataclasses import dataclass, field
 
@@ -17,11 +18,12 @@ from pyspark.sql import functions as F
 from ..functions.render import datatype_number, guid_number, guid_text, timestamp_number
 from ..plans import reply
 from ..plans.compiler import compile_read
-from ..plans.errors import AlreadyThere, NotFound, RequestError, SemanticFault, Superseded, TooMany
+from ..plans.errors import AlreadyThere, NotFound, RequestError, SemanticFault, Superseded, TooDear, TooMany
 from ..plans.parser import parse
 from ..plans.semantic import completed
 from ..plans.tree import LINKAGES, Constraint, Request
-from ..sources.primitives import Store, dump, frame, restore
+from ..sources.primitives import FORMATS, SCHEMA, Store, dump, frame, restore, written
+from ..sources.stored import Saved, save_more
 from .verify import counts, verify
 
 
@@ -65,6 +67,57 @@ def numbered(batch: DataFrame, first: int, order: list[str]) -> DataFrame:
     return own.withColumn("id", offset + F.col("_at")).drop("_part", "_at")
 
 
+def appended(saved: Saved, path: str, batch: DataFrame, key: list[str] | None = None, unique: list[str] | None = None, anchor: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """Write a batch of primitives (without ids) onto the store at ``path``; the numbered rows, as a table at rest.
+
+    The batch has the schema's columns but id, prev and lineage, which are made here. ``anchor``: fields
+    by which each row must find exactly one live primitive that its ``left`` then is. ``unique``: no
+    live primitive may have the same of these fields, nor two rows of the batch. ``key``: a row that
+    finds a live primitive by these fields is left out if it says nothing new, and is its next version
+    otherwise. Ends must be there already. All checks are joins over the batch; the first that fails
+    ends the write with its code before anything is written.
+    """
+    live = saved.scan(None).filter("from_latest = 0 and live")
+    rest = [f for f in ("typeguid", "right", "left", "scope", "name", "value", "valuetype", "archival") if f not in (key or [])]
+    if anchor:
+        held = live.groupBy(*(F.col(c).alias(f"_{c}") for c in anchor)).agg(F.count("*").alias("_n"), F.min("id").alias("_at"))
+        batch = batch.join(held, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in anchor], "left")
+        worst = batch.agg(F.min(F.coalesce("_n", F.lit(0))), F.max("_n")).collect()[0]
+        if worst[0] == 0:
+            raise NotFound("nothing matches what is anchored")
+        if worst[1] is not None and worst[1] > 1:
+            raise TooMany("several primitives match what is anchored")
+        batch = batch.withColumn("left", F.col("_at")).drop("_n", "_at", *(f"_{c}" for c in anchor))
+    ends = [batch.select(F.col(x).alias("id")) for x in LINKAGES]
+    if saved.types:  # types that the store knows by name need no primitive
+        ends = [e.filter(~F.col("id").isin(*saved.types.values())) if x == "typeguid" else e for x, e in zip(LINKAGES, ends)]
+    asked = ends[0].unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3]).filter("id is not null").distinct()
+    if asked.join(saved.primitives.select("id"), "id", "left_anti").limit(1).count():
+        raise SemanticFault("an end of the batch is not there")
+    if unique:
+        if batch.groupBy(*unique).count().filter("count > 1").limit(1).count() or batch.count() > absent(batch, live, unique).count():
+            raise AlreadyThere("a primitive with these unique fields is there already")
+    if key:
+        if batch.groupBy(*key).count().filter("count > 1").limit(1).count():
+            raise SemanticFault("two rows of a batch have one key")
+        old = live.groupBy(*(F.col(c).alias(f"_{c}") for c in key)).agg(F.min_by(F.struct("id", "lineage", *rest), "id").alias("_old"))
+        batch = batch.join(old, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key], "left")
+        same = F.lit(True)
+        for c in rest:
+            same = same & F.col(c).eqNullSafe(F.col(f"_old.{c}"))
+        batch = batch.filter(F.col("_old").isNull() | ~same)
+        batch = batch.withColumns({"prev": F.col("_old.id"), "lineage": F.col("_old.lineage")}).drop("_old", *(f"_{c}" for c in key))
+    else:
+        none = F.lit(None).cast("long")
+        batch = batch.withColumns({"prev": none, "lineage": none})
+    first = (saved.primitives.agg(F.max("id")).collect()[0][0] or -1) + 1
+    names = [f.name for f in SCHEMA]
+    rows = numbered(written(batch), first, order or [c for c in ("typeguid", "left", "right", "name", "value") if c in batch.columns])
+    rows = written(rows.withColumn("lineage", F.coalesce("lineage", "id")).select(*(F.col(f.name).cast(f.dataType) for f in SCHEMA)))
+    save_more(rows, path, saved)
+    return rows.select(*names)
+
+
 @dataclass
 class Session:
     """A store that requests read and change. Ids and timestamps are consecutive from 0."""
@@ -87,27 +140,38 @@ class Session:
             mark = f' id="{request.modifiers["id"]}"' if "id" in request.modifiers else ""
         except RequestError as e:
             return f'error {e.code} "{e}"'
+        began = time.monotonic()
         try:
+            reply.checked(request, self.next_id)
             body = getattr(self, f"on_{request.verb}")(request)
-            return f"ok{mark} {body}".rstrip()
+            return f"ok{reply.marks(request, self.next_id, began)} {body}".rstrip()
         except RequestError as e:
             return f'error {e.code}{mark} "{e}"'
 
     def on_read(self, request: Request) -> str:
-        """``timeout`` (seconds) cancels the jobs of the request; ``heatmap`` answers with the plan."""
+        """``timeout`` (seconds) and ``cost`` (te or tr, milliseconds) cancel the jobs of the request; ``heatmap`` answers with the plan."""
         if "heatmap" in request.modifiers:
             compiler, root = compile_read(self.store(), request)
             return compiler.reply(root)._jdf.queryExecution().simpleString()
-        if "timeout" not in request.modifiers:
+        costs = reply.allowed(request.modifiers.get("cost", ""))
+        limits = [(n / 1000, TooDear("the request cost more than it may")) for x, n in costs.items() if x in ("te", "tr")]
+        if "timeout" in request.modifiers:
+            limits.append((float(request.modifiers["timeout"]), RequestError("timeout")))
+        if not limits:
             return reply.read(self.store(), request)
+        limit, fault = min(limits, key=lambda x: x[0])
         sc, group = self.spark.sparkContext, uuid.uuid4().hex
         sc.setJobGroup(group, "read", interruptOnCancel=True)
-        alarm = threading.Timer(float(request.modifiers["timeout"]), sc.cancelJobGroup, [group])
+        alarm = threading.Timer(limit, sc.cancelJobGroup, [group])
         alarm.start()
+        began = time.monotonic()
         try:
-            return reply.read(self.store(), request)
+            body = reply.read(self.store(), request)
+            if time.monotonic() - began > limit:  # done before the alarm could end a job
+                raise fault
+            return body
         except Py4JError as e:
-            raise RequestError("timeout") from e
+            raise fault from e
         finally:
             alarm.cancel()
             sc.setLocalProperty("spark.jobGroup.id", None)
@@ -137,16 +201,16 @@ class Session:
         return f'("6" {start} {end} (' + " ".join(r[0] for r in records.orderBy("id").select("record").collect()) + "))"
 
     def on_restore(self, request: Request) -> str:
-        """``("6" start end (record) ...)`` (or "5"); the records must go on where the store ends, or start at 0."""
+        """``("6" start end (record) ...)`` (or "1", "2", "5"); the records must go on where the store ends, or start at 0."""
         version, start, end, *records = request.arguments
-        if version not in ("5", "6"):
+        if version not in FORMATS:
             raise SemanticFault(f"can't restore version {version!r}")
         if len(records) == 1 and all(isinstance(r, list) for r in records[0]):
             records = records[0]
         if len(records) != int(end) - int(start):
             raise SemanticFault(f"expected {int(end) - int(start)} records, got {len(records)}")
-        lines = [_record(r) for r in records]
-        new = restore(self.spark.createDataFrame([(x,) for x in lines], "record string")) if lines else frame(self.spark, [])
+        lines = [_record(r, (1, 2, 4) if FORMATS[version][0] else (2, 4)) for r in records]
+        new = restore(self.spark.createDataFrame([(x,) for x in lines], "record string"), version=version) if lines else frame(self.spark, [])
         found = [r.asDict() for r in new.orderBy("id").collect()]
         if [r["id"] for r in found] != list(range(int(start), int(end))) or int(start) not in (0, self.next_id):
             raise SemanticFault("records don't follow one another")
@@ -192,6 +256,9 @@ class Session:
     def write(self, request: Request) -> str:
         root = completed(request.root, "write")
         saved = (len(self.rows), dict(self.types), self.next_id)
+        named = {guid_number(v) for c in _every(root) for p in c.predicates if p.name in LINKAGES or p.name == "guid" for v in p.values if v is not None}
+        if missing := self.missing(named):
+            raise SemanticFault(f"no primitive {', '.join(map(guid_text, sorted(missing)))}")
         try:
             plan: dict[int, int] = {}
             self.place(root, None, None, plan)
@@ -201,6 +268,16 @@ class Session:
             self.types, self.next_id = saved[1], saved[2]
             raise
 
+    def missing(self, ids: set[int]) -> set[int]:
+        """Those of the ids that no primitive has."""
+        far = {n for n in ids if n >= self.next_id}
+        near = sorted(ids - far)
+        if not near or self.base is None:
+            return far
+        kept = {r["id"] for r in self.rows}
+        asked = [n for n in near if n not in kept]
+        return far | set(asked) - {r[0] for r in self.base.filter(F.col("id").isin(*asked)).select("id").collect()} if asked else far
+
     def told(self, c: Constraint, plan: dict[int, int]) -> str:
         parts = [guid_text(plan[id(c)]), *(self.told(x, plan) for x in c.children)]
         return "(" + " ".join(parts) + ")"
@@ -246,19 +323,47 @@ class Session:
             out["live"] = c.flags["live"] != "false"
         return out, version
 
-    def place(self, c: Constraint, parent: int | None, back: str | None, plan: dict[int, int]) -> int:
-        """Write what ``c`` points to, then ``c``, then what points to it; existing clusters are reused."""
+    def keyed_row(self, c: Constraint, own: dict) -> dict | None:
+        """The row that a key's own fields name; ends that children state are not known yet."""
+        names = ["typeguid" if k == "type" else k for k in c.key]
+        if any(child.linkage == ("to", k) for child in c.children for k in names):
+            return None
+        found = self.found({k: own.get(k) for k in names})
+        return found[0] if found else None
+
+    def kept(self, c: Constraint, n: int | None) -> dict | None:
+        """Row ``n``, if ``c`` (and all that it points to) states nothing else than what is there: a pointed cluster."""
+        if n is None or c.key is not None or c.unique is not None or c.anchor is not None:
+            return None
+        rows = self.store().primitives.filter(F.col("id") == n).collect()
+        own, version = self.fields(c)
+        if not rows or version or not all(_same(rows[0][k], v) for k, v in own.items()):
+            return None
+        row = rows[0].asDict()
+        outward = [x for x in c.children if x.linkage[0] == "to"]
+        return row if all(self.kept(x, row[x.linkage[1]]) for x in outward) else None
+
+    def place(self, c: Constraint, parent: int | None, back: str | None, plan: dict[int, int], held: dict | None = None) -> int:
+        """Write what ``c`` points to, then ``c``, then what points to it; existing clusters are reused.
+
+        held: the row that ``c`` is, where a keyed match points to it and nothing of it changes.
+        """
         own, version = self.fields(c)
         if back:
             own[back] = parent
+        held = self.keyed_row(c, own) if c.key is not None and c.anchor is None else held
         for child in c.children:
             if child.linkage[0] == "to":
-                own[child.linkage[1]] = self.place(child, None, None, plan)
-        n = self.existing(c, own)
+                kept = self.kept(child, held[child.linkage[1]]) if held else None
+                own[child.linkage[1]] = self.place(child, None, None, plan, kept)
+        if held and c.key is None:  # what a keyed match points to, unchanged
+            plan[id(c)] = n = held["id"]
+        else:
+            n = self.existing(c, own)
         if n is None:
             old = self.latest(*version) if version else None
             if c.unique is not None and self.found({"typeguid" if f == "type" else f: own.get("typeguid" if f == "type" else f) for f in c.unique}):
-                raise AlreadyThere("primitive tagged as unique already exist")
+                raise AlreadyThere("a primitive with these unique fields is there already")
             n = self.append(own, old)
         plan[id(c)] = n
         for child in c.children:
@@ -271,9 +376,9 @@ class Session:
         if c.anchor in ("true", "local"):
             found = self.found(own)
             if not found:
-                raise NotFound("anchor constraint not found")
+                raise NotFound("nothing matches what is anchored")
             if len(found) > 1:
-                raise TooMany("anchor constraint found several times")
+                raise TooMany("several primitives match what is anchored")
             return found[0]["id"]
         if c.key is None:
             return None
@@ -314,9 +419,12 @@ class Session:
         return rows[0].asDict()
 
 
-def _record(fields: list) -> str:
-    """A parsed record as the line it came from."""
-    texts = (2, 4)
+def _every(c: Constraint) -> list[Constraint]:
+    return [c, *(y for x in c.children for y in _every(x))]
+
+
+def _record(fields: list, texts: tuple[int, ...]) -> str:
+    """A parsed record as the line it came from; ``texts``: which fields are quoted."""
     quote = lambda x: '"' + x.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"'
     return "(" + " ".join("null" if f is None else quote(f) if i in texts else f for i, f in enumerate(fields)) + ")"
 

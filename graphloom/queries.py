@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,8 @@ from .functions.render import DATABASE, guid, guid_text
 from .operators import idsets, verify, writes
 from .plans.compiler import compile_read
 from .plans.parser import parse
-from .sources import primitives
-from .sources.relational import EVENTS, SHIFT, TYPES, EventStore, TableStore, node_id, node_number
+from .sources import primitives, stored
+from .sources.relational import EVENTS, SHIFT, TABLES, TYPES, EventStore, TableStore, node_id, node_number
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Query, str]] = {}
@@ -245,15 +246,66 @@ def q_verify_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(guid(F.col("id")).alias("guid"), "linkage", guid(F.col("target")).alias("target"))
 
 
-@_frame("q_status_database", f"SELECT count(*) * 2 AS primitives, count(*) * 2 AS live, count(*) AS links, count(*) AS nodes, CAST(max({_id('nation.n_regionkey', 'n_nationkey')}) + 1 AS BIGINT) AS next_id FROM nation")
+_NODES = " + ".join(f"(SELECT count(*) FROM {t})" for t in TABLES)
+_LINK_COUNT = " + ".join(f"(SELECT count({a.column if a.kind in TABLES else '*'}) FROM {t})" for t, x in TABLES.items() for a in x.attributes)
+
+
+@_frame("q_status_database", f"SELECT CAST({_NODES} + {_LINK_COUNT} AS BIGINT) AS primitives, CAST({_NODES} + {_LINK_COUNT} AS BIGINT) AS live, CAST({_LINK_COUNT} AS BIGINT) AS links, CAST({_NODES} AS BIGINT) AS nodes, (SELECT max({_id('documents.lang', 'doc_id')}) + 1 FROM documents) AS next_id")
 def q_status_database(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.counts(TableStore(spark, sf_dir).scan(frozenset([TYPES["nation"], TYPES["nation.n_regionkey"]])))
+    return verify.counts(TableStore(spark, sf_dir).primitives)
+
+
+def _primitive_sql(table: str, column: str | None) -> str:
+    """The primitives of a keyed table's nodes or of one of its attributes, all columns."""
+    x = TABLES[table]
+    key, null = x.key, "CAST(NULL AS BIGINT)"
+    ident = _id(f"{table}.{column}" if column else table, key)
+    a = next((a for a in x.attributes if a.column == column), None)
+    far = a is not None and a.kind in TABLES
+    value = "CAST(NULL AS VARCHAR)" if a is None or far else {"number": _money(column), "date": f"strftime({column}, '%Y-%m-%d')"}.get(a.kind, f"CAST({column} AS VARCHAR)")
+    return f"""SELECT {ident} AS id, CAST({TYPES[f"{table}.{column}" if column else table]} AS BIGINT) AS typeguid, {_id(a.kind, column) if far else null} AS "right", {_id(table, key) if a else null} AS "left", {null} AS scope, {null} AS prev,
+        {f"CAST({x.name} AS VARCHAR)" if x.name and not a else "CAST(NULL AS VARCHAR)"} AS name, {value} AS value, CAST(CASE WHEN {value} IS NULL THEN 1 ELSE 2 END AS SMALLINT) AS valuetype, true AS live, true AS archival, true AS txstart, {ident} AS ts_raw, {ident} AS lineage
+        FROM {table}{f" WHERE {column} IS NOT NULL" if far else ""}"""
+
+
+_KEYED = [t for t, x in TABLES.items() if x.key]
 
 
-@_frame("q_dump_restore", f"""SELECT {_id("nation", "n_nationkey")} AS id, CAST({TYPES["nation"]} AS BIGINT) AS typeguid, n_name AS name FROM nation""")
+@_frame("q_dump_restore", " UNION ALL ".join(_primitive_sql(t, c) for t in _KEYED for c in (None, *(a.column for a in TABLES[t].attributes))))
 def q_dump_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dumped = primitives.dump(TableStore(spark, sf_dir).scan(frozenset([TYPES["nation"]])))
-    return primitives.restore(dumped).select("id", "typeguid", "name")
+    """Every node and attribute of the tables with a key (DuckDB cannot number the rows of others as files do), through text and back."""
+    kinds = frozenset(TYPES[n] for n in TYPES if n.partition(".")[0] in _KEYED)
+    return primitives.restore(primitives.dump(TableStore(spark, sf_dir).scan(kinds)))
+
+
+@_frame("q_append_keyed", f"""WITH old AS (SELECT {_id("supplier.s_acctbal", "s_suppkey")} AS id, {_id("supplier", "s_suppkey")} AS "left", {_money("s_acctbal")} AS value, s_suppkey % 3 = 1 AS changed FROM supplier),
+    new AS (SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY "left") AS id, "left", '0.00' AS value, id AS prev FROM old WHERE changed AND value <> '0.00')
+  SELECT old.id, old."left", old.value, CAST(NULL AS BIGINT) AS prev, 0 AS generation, CASE WHEN new.id IS NULL THEN 0 ELSE 1 END AS from_latest FROM old LEFT JOIN new ON prev = old.id
+  UNION ALL SELECT id, "left", value, prev, 1, 0 FROM new""")
+def q_append_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of balances, keyed by supplier, appended to those at rest: a third is new, the others say what is there."""
+    path = f"{primitives.shared(spark)}/stores/{uuid.uuid4().hex}"
+    nodes, links = (TableStore(spark, sf_dir).scan(frozenset([TYPES[n]])) for n in ("supplier", "supplier.s_acctbal"))
+    stored.save(nodes.unionByName(links), path, single=True)
+    saved = stored.Saved(spark, path, TYPES)
+    value = F.when(F.col("left") % 3 == (node_number("supplier", 0) + 1) % 3, "0.00").otherwise(F.col("value"))
+    batch = links.select(*[f.name for f in primitives.SCHEMA if f.name not in ("id", "prev", "lineage")]).withColumn("value", value)
+    writes.appended(saved, path, batch, key=["typeguid", "left"], order=["left"])
+    after = stored.Saved(spark, path, TYPES).scan(frozenset([TYPES["supplier.s_acctbal"]]))
+    return after.select("id", "left", "value", "prev", "generation", "from_latest")
+
+
+# --- filters by ends, sets of bounds, neighbours in a lineage
+
+_template("q_range_set", 'read ("orders.o_orderpriority" value>("1" "3") result=((left value)))', f"""SELECT {_ORDER} AS "left", o_orderpriority AS value FROM orders WHERE o_orderpriority >= '3'""")
+_template("q_left_in", f'read ("customer.c_acctbal" left=({" ".join(guid_text(node_number("customer", k)) for k in (2, 3, 9999999))}) result=((left value)))', f"""SELECT {_CUSTOMER} AS "left", {_money("c_acctbal")} AS value FROM customer WHERE c_custkey IN (2, 3)""")
+_template("q_right_not", f'read ("customer.c_nationkey" right!={guid_text(node_number("nation", 4))} result=((left right)))', f"""SELECT {_CUSTOMER} AS "left", {_guid("nation", "c_nationkey")} AS "right" FROM customer WHERE c_nationkey <> 4""")
+_template("q_typeguid", f'read (typeguid={guid_text(TYPES["region"])} result=((guid name typeguid)))', f"SELECT {_guid('region', 'r_regionkey')} AS guid, r_name AS name, {guid_text(TYPES['region'])!r} AS typeguid FROM region")
+_template("q_scope", f'read ("event" newest>=0 live=dontcare scope={guid_text(node_number("customer", 5))} result=((guid scope)))', f"SELECT {_EVENT} AS guid, {_guid('customer', 'user_id')} AS scope FROM events WHERE user_id = 5", store=EventStore)
+_template("q_previous", f'read ("event" newest>=0 live=dontcare previous={guid_text(node_number(EVENTS, 3))} result=((guid generation)))', f"SELECT {_EVENT} AS guid, CAST(generation AS BIGINT) AS generation FROM {_VERSIONS % ''} WHERE p = 3", store=EventStore)
+_template("q_next", f'read ("event" newest>=0 live=dontcare next!=null result=((guid)))', f"SELECT {_EVENT} AS guid FROM {_VERSIONS % ''} WHERE n IS NOT NULL", store=EventStore)
+_template("q_false", 'read ("nation" false result=((name)))', "SELECT n_name AS name FROM nation WHERE false")
+_template("q_any_node", f'read (any node typeguid={guid_text(TYPES["nation"])} name>="x" result=((name)))'.replace(' name>="x"', ' name!=("CHINA" null)'), "SELECT n_name AS name FROM nation WHERE n_name <> 'CHINA'")
 
 
 FLAGSHIP = """read ("customer" sort=-$price sort-comparator="number" pagesize=100 result=((name $price $part))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,6 +61,10 @@ class Store:
         out = versioned(raw)
         return out.filter(F.col("typeguid").isin(*types)) if types is not None else out
 
+    def origin(self, types: frozenset[int] | None) -> str | None:
+        """The physical table that candidates of these types are rows of, if a child may be of the same row."""
+        return None
+
     def type_ids(self, name: str) -> int:
         """The id of a type name; -1, which no primitive has, for an unknown one."""
         return self.types.get(name, -1)
@@ -101,39 +107,102 @@ def dump(primitives: DataFrame, start: int = 0, end: int | None = None) -> DataF
     return rows.select("id", F.concat(F.lit("("), F.concat_ws(" ", *parts), F.lit(")")).alias("record"))
 
 
-_TEXT = r'(null|"(?:[^"\\]|\\.)*")'
-_HEAD, _TAIL = rf"^\((\w+) (\w+) {_TEXT} (\w+) {_TEXT} (\w+) (\w+) (\w+) ", r"(\d\S+Z?) (\w+) (\w+) (\w+)\)$"
-_RECORD = _HEAD + r"(\w+) " + _TAIL
+_TEXT = r'(null|"(?:[^"\\]++|\\.)*+")'  # possessive, so that long texts take no stack
+_ID, _WORD = r"(\w+)", r"(\w+)"
+#: Of each format, whether the type stands as its name and whether there is a first-of-write flag.
+FORMATS = {"1": (True, False), "2": (False, False), "5": (False, False), "6": (False, True)}
+
+
+def _pattern(version: str) -> str:
+    by_name, first = FORMATS[version]
+    head = [_ID, _TEXT if by_name else _ID, _TEXT, _WORD, _TEXT, _ID, _WORD, _WORD, *([_WORD] if first else [])]
+    return r"(?s)^\(" + " ".join([*head, r"(\d\S+Z?)", _ID, _ID, _ID]) + r"\)$"
+
+
+def unescaped(c: Column) -> Column:
+    """What a quoted text stands for: each escape is taken as it is met, from left to right."""
+    bits = F.regexp_extract_all(c, F.lit(r"(?s)\\.|[^\\]+"), F.lit(0))
+    return F.array_join(F.transform(bits, lambda b: F.when(b == "\\n", "\n").when(b.startswith("\\"), F.substring(b, 2, 1)).otherwise(b)), "")
 
 
-def restore(lines: DataFrame, record: str = "record") -> DataFrame:
-    """Primitives from dump records; a record that does not parse stops the job. Lineages follow ``prev``.
+def restore(lines: DataFrame, record: str = "record", version: str | None = None) -> DataFrame:
+    """Primitives from dump records of a format (None: 5 or 6, each record by its fields).
 
-    Records of format 5, which lack the first-of-write flag, count as first of their write.
-    A successor's lineage is that of its predecessor; chains are followed by doubling.
+    A record that does not parse stops the job. Without a first-of-write flag a record is the first
+    of its write. A type given by name is the first record without a type that has this name (null if
+    there is none). Lineages follow ``prev``: chains are
+    followed by doubling, each turn from a written table, so the plan never grows.
     """
-    lines = lines.withColumn(record, F.regexp_replace(record, _HEAD + _TAIL, "($1 $2 $3 $4 $5 $6 $7 $8 true $9 $10 $11 $12)"))
-    part = lambda i: F.regexp_extract(record, _RECORD, i)
-    number = lambda i: F.when(part(i) != "null", F.conv(F.right(part(i), F.lit(15)), 16, 10).cast("long"))
-    body = lambda i: F.substring(part(i), F.lit(2), F.length(part(i)) - 2)
-    plain = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("\\\\"), F.lit("\x00")), F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"')), F.lit("\x00"), F.lit("\\"))
-    text = lambda i: F.when(part(i) != "null", plain(body(i)))
-    flag = lambda i: part(i) == "true"
-    kinds = F.coalesce(*[F.when(part(4) == x, F.lit(n)) for n, x in enumerate(DATATYPES, 1)], part(4).try_cast("int")).cast("short")
-    stamp = F.shiftleft(F.unix_timestamp(F.to_timestamp(F.substring(part(10), 1, 19), "yyyy-MM-dd'T'HH:mm:ss")), 16) + F.regexp_extract(part(10), r"\.(\d+)Z?$", 1).cast("long")
-    checked = lines.filter(F.trim(record) != "").withColumn("_ok", F.assert_true(F.col(record).rlike(_RECORD), F.lit("not a dump record")))
-    rows = checked.filter(F.col("_ok").isNull()).select(
-        number(1).alias("id"), number(2).alias("typeguid"), number(12).alias("right"), number(11).alias("left"), number(6).alias("scope"), number(13).alias("prev"), text(3).alias("name"), text(5).alias("value"),
-        kinds.alias("valuetype"), flag(7).alias("live"), flag(8).alias("archival"), flag(9).alias("txstart"), stamp.alias("ts_raw"),
-    )
-    chains = rows.select("id", F.coalesce("prev", "id").alias("root"))
+    rows = None
+    given = lines.filter(F.trim(record) != "")
+    for v in [version] if version else ["6", "5"]:
+        by_name, first = FORMATS[v]
+        regex = _pattern(v)
+        names = ["id", "typeguid", "name", "kind", "value", "scope", "live", "archival", *(["txstart"] if first else []), "stamp", "left", "right", "prev"]
+        part = {n: F.regexp_extract(record, regex, i) for i, n in enumerate(names, 1)}
+        number = lambda n: F.when(part[n] != "null", F.conv(F.right(part[n], F.lit(15)), 16, 10).cast("long"))  # noqa: B023, E731
+        text = lambda n: F.when(part[n] != "null", unescaped(F.substring(part[n], F.lit(2), F.length(part[n]) - 2)))  # noqa: B023, E731
+        kind = F.coalesce(*[F.when(part["kind"] == x, F.lit(n)) for n, x in enumerate(DATATYPES, 1)], part["kind"].try_cast("int"))
+        stamp = F.shiftleft(F.unix_timestamp(F.to_timestamp(F.substring(part["stamp"], 1, 19), "yyyy-MM-dd'T'HH:mm:ss")), 16) + F.regexp_extract(part["stamp"], r"\.(\d+)Z?$", 1).cast("long")
+        fits = F.col(record).rlike(regex)
+        own = given.filter(fits) if not version and v == "6" else given.filter(~F.col(record).rlike(_pattern("6"))) if not version else given
+        checked = own.withColumn("_ok", F.assert_true(fits, F.lit("not a dump record")))
+        made = checked.filter(F.col("_ok").isNull()).select(
+            number("id").alias("id"), (text if by_name else number)("typeguid").alias("typeguid"), number("right").alias("right"), number("left").alias("left"), number("scope").alias("scope"), number("prev").alias("prev"), text("name").alias("name"), text("value").alias("value"),
+            kind.cast("short").alias("valuetype"), (part["live"] == "true").alias("live"), (part["archival"] == "true").alias("archival"), (part["txstart"] == "true" if first else F.lit(True)).alias("txstart"), stamp.alias("ts_raw"),
+        )
+        rows = made if rows is None else rows.unionByName(made)
+    spark = lines.sparkSession
+    rows = written(rows)
+    if version and FORMATS[version][0]:
+        types = rows.filter("typeguid is null and name is not null").groupBy(F.col("name").alias("typeguid")).agg(F.min("id").alias("_type"))
+        rows = rows.join(types, "typeguid", "left").drop("typeguid").withColumnRenamed("_type", "typeguid")
+    alone = rows.filter("prev is null").select("id", F.col("id").alias("lineage"))
+    chains = written(rows.filter("prev is not null").select("id", F.col("prev").alias("root")))
     while True:
         up = chains.select(F.col("id").alias("root"), F.col("root").alias("up"))
-        after = chains.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("next"), "root")
-        if after.filter("next != root").limit(1).count() == 0:
+        after = written(chains.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")))
+        discard(spark, chains)
+        chains = after
+        if not after.filter("moved").limit(1).count():
             break
-        chains = after.select("id", F.col("next").alias("root"))
-    return rows.join(chains.withColumnRenamed("root", "lineage"), "id").select(*[f.name for f in SCHEMA])
+    lineages = alone.unionByName(chains.select("id", F.col("root").alias("lineage")))
+    return rows.join(lineages, "id").select(*[f.name for f in SCHEMA])
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; in local mode, where that is unset, one under /tmp/checkpoints."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    return found
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, cut off from its plan; it goes at exit or by ``discard``."""
+    spark = df.sparkSession
+    path = f"{shared(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
+
+
+def discard(spark: SparkSession, df: DataFrame) -> None:
+    """Remove a ``written`` table that nothing reads any more."""
+    _remove(spark, df._path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the context may be gone at exit; the folder is then the cluster's to clear
+        pass
 
 
 __all__ = ["SCHEMA", "Store", "dump", "frame", "guid_number", "restore", "timestamp_number", "unversioned", "versioned"]

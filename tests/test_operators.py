@@ -55,6 +55,25 @@ def test_restore_of_the_older_format(spark):
     assert (row.id, row.name, row.value, row.live, row.archival, row.txstart, row.ts_raw, row.lineage) == (7, "a b", 'v "q"', True, False, True, 7, 7)
 
 
+@pytest.mark.parametrize("text", ["x\0y", "\\\\0", "a\\nb", 'q"\\"', "line\n\nbreak\\", "", "\t tab", "\U0001f600 \\\0\n"])
+def test_any_text_survives_dump_and_restore(spark, text):
+    raw = frame(spark, [{"id": 0, "name": text, "value": text[::-1]}, {"id": 1, "prev": 0, "lineage": 0, "name": None, "value": text * 2}])
+    back = primitives.restore(primitives.dump(raw))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, raw.select(*back.columns).collect()))
+
+
+def test_long_lineages_are_followed(spark):
+    rows = [{"id": i, "prev": i - 1 if i % 40 else None, "lineage": i - i % 40, "name": str(i)} for i in range(120)]
+    back = primitives.restore(primitives.dump(frame(spark, rows)))
+    assert {(r.id, r.lineage) for r in back.collect()} == {(r["id"], r["lineage"]) for r in rows}
+
+
+def test_restore_of_types_by_name(spark):
+    lines = ['(%s null "fruit" null null null true true 1970-01-01T00:00:00.0000Z null null null)' % guid(0), '(%s "fruit" "fig" string "ripe" null true true 1970-01-01T00:00:00.0001Z null null null)' % guid(1)]
+    rows = primitives.restore(spark.createDataFrame([(x,) for x in lines], "record string"), version="1").orderBy("id").collect()
+    assert [(r.id, r.typeguid, r.name, r.value) for r in rows] == [(0, None, "fruit", None), (1, 0, "fig", "ripe")]
+
+
 def test_restore_rejects_other_text(spark):
     lines = spark.createDataFrame([("(nonsense)",)], "record string")
     with pytest.raises(Exception, match="not a dump record"):
@@ -105,6 +124,64 @@ def test_session_subgraphs_unique_key_anchor(spark):
     assert s.ask("dump (start=9 end=0)").startswith("error SEMANTICS")
 
 
+@pytest.mark.parametrize("text", [
+    "write (value=\"z\" left=%s)" % guid(77), 'write (type="t" typeguid=%s)' % guid(0), "write (left=%s left->(value=\"q\"))" % guid(0), 'write (value="p" (<-left left=%s))' % guid(0),
+    'write (left->(value="a") left->(value="b"))', 'write (dateline<"db.3")', "write (guid~=%s name=\"x\")" % guid(78),
+])
+def test_writes_that_make_no_sense(spark, text):
+    s = writes.Session(spark)
+    s.ask('write (value="there")')
+    assert s.ask(text).startswith("error SEMANTICS"), s.ask(text)
+    assert s.next_id == 1
+
+
+def test_a_keyed_match_keeps_what_it_points_to(spark):
+    s = writes.Session(spark)
+    assert s.ask('write (name="shelf" key=(name) right->(value="oak" left->(value="wood")))') == f"ok ({guid(2)} ({guid(1)} ({guid(0)})))"
+    assert s.ask('write (name="shelf" key=(name) right->(value="oak" left->(value="wood")))') == f"ok ({guid(2)} ({guid(1)} ({guid(0)})))"
+    assert s.next_id == 3
+    assert s.ask('write (name="shelf" key=(name) right->(value="oak" left->(value="tree")))').endswith("))")
+    assert s.next_id == 6  # tree, oak above it, and the shelf's next version
+
+
+def test_dateline_and_cost_of_a_request(spark):
+    s = writes.Session(spark)
+    s.ask('write (value="a")')
+    assert s.ask('read dateline="" (result=value)') == 'ok dateline="db.1" "a"'
+    assert s.ask('read dateline="db.9" (result=value)').startswith("error AGAIN")
+    assert s.ask('read dateline="nonsense" (result=value)').startswith("error S")
+    assert s.ask('read id="7" cost="te=60000" (result=value)').startswith('ok id="7" cost="te=')
+    assert s.ask('read cost="zz=1" (result=value)').startswith("error SEMANTICS")
+    assert s.ask('read cost~="te=0" (result=value)').startswith("error COST")
+
+
+def test_batches_are_appended_at_rest(spark, tmp_path):
+    from graphloom.plans.errors import AlreadyThere, NotFound, SemanticFault, TooMany
+    from graphloom.sources.stored import Saved, save
+
+    path = str(tmp_path / "store")
+    save(frame(spark, [{"id": 0, "name": "a", "value": "1"}, {"id": 1, "name": "b", "value": "2"}, {"id": 2, "name": "b", "value": "3"}]), path)
+    names = [f.name for f in primitives.SCHEMA if f.name not in ("id", "prev", "lineage")]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in primitives.SCHEMA if f.name in names)
+    row = lambda name, value, left=None: tuple({"name": name, "value": value, "left": left, "valuetype": 2, "live": True, "archival": True, "txstart": True, "ts_raw": 9}.get(n) for n in names)
+    batch = lambda *rows: spark.createDataFrame(list(rows), kinds)
+    store = lambda: Saved(spark, path, {})
+    made = writes.appended(store(), path, batch(row("a", "1"), row("c", "9"), row("z", "5", 0)), key=["name"], order=["name"])
+    assert sorted((r.id, r.name, r.prev) for r in made.collect()) == [(3, "c", None), (4, "z", None)]
+    writes.appended(store(), path, batch(row("a", "7"), row("z", "5", 0)), key=["name"])
+    after = {r.id: (r.name, r.value, r.generation, r.from_latest, r.prev) for r in store().scan(None).collect()}
+    assert after == {0: ("a", "1", 0, 1, None), 1: ("b", "2", 0, 0, None), 2: ("b", "3", 0, 0, None), 3: ("c", "9", 0, 0, None), 4: ("z", "5", 0, 0, None), 5: ("a", "7", 1, 0, 0)}
+    with pytest.raises(AlreadyThere):
+        writes.appended(store(), path, batch(row("c", "1")), unique=["name"])
+    with pytest.raises(SemanticFault):
+        writes.appended(store(), path, batch(row("q", "1", 50)))
+    with pytest.raises(NotFound):
+        writes.appended(store(), path, batch(row("nobody", "1")), anchor=["name"])
+    with pytest.raises(TooMany):
+        writes.appended(store(), path, batch(row("b", "1")), anchor=["name"])
+    assert store().scan(None).count() == 6
+
+
 def test_session_load(spark):
     s = writes.Session(spark)
     s.ask('write (name="a" value="v")')
@@ -156,6 +233,29 @@ def test_filters_and_columns_reach_the_scan(spark, capsys):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+@pytest.mark.parametrize("name,scans,joins", [("q_flagship", {"orders": 1, "lineitem": 1, "customer": 1, "part": 1}, 3), ("q_anti", {"lineitem": 1, "part": 1}, 1), ("q_sample_min", {"lineitem": 1, "orders": 1}, 1), ("q_or_vars", {"part": 1}, 0), ("q_or_subcon", {"part": 1}, 0), ("q_sort_var", {"orders": 1}, 0), ("q_optional", {"part": 1}, 0)])
+def test_a_row_is_read_once(spark, name, scans, joins):
+    from collections import Counter
+
+    from graphloom.queries import queries
+
+    plan = queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("== Initial Plan ==")[-1]
+    import re
+
+    assert Counter(re.findall(r"FileScan parquet.*?/(\w+)\.parquet", initial)) == scans
+    assert len(re.findall(r"(?:SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin|NestedLoopJoin)", initial)) == joins
+
+
+def test_number_ranges_reach_the_scan(spark):
+    from graphloom.queries import queries
+
+    plan = queries()["q_value_range_number"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(p_retailprice" in plan and "p_retailprice#" in plan.split("DataFilters")[1].split("<=")[0]
+    plan = queries()["q_datetime_range"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(o_orderdate" in plan
+
+
 def test_queries_match_their_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     from graphloom import queries
