@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, sampled, ship
-from .vectors import Best, pieces, query_blocks, ranked, vectors
+from .vectors import Best, Blocks, pieces, query_blocks, ranked, vectors
 
 #: Fitted on this many rows at most, into at most this many leaves.
 SAMPLE, LEAVES, BRANCH = 20_000, 16_384, 16
@@ -119,8 +119,30 @@ class Nearest:
             self.best.add(i, np.sqrt(((rows[j] - self.m[i]) ** 2).sum(axis=1)), names[j])
 
 
-def _scan(rows: DataFrame, trees, queries, visits, k: int) -> DataFrame:
-    """query_id, copy, key, vec_id, leaf of the k best of every task; visits None: all leaves."""
+def _walked(rows: DataFrame, trees, queries, wide: dict[int, int]) -> dict[int, list[np.ndarray]]:
+    """The leaves that each query of a block visits, walked on the executors."""
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast((trees, {d: m for d, (_, m) in queries.items()}, wide))
+    places = [(d, i) for d, (ids, _) in queries.items() for i in range(len(ids))]
+
+    def run(batches):
+        tree, vecs, most = sent.value
+        for b in batches:
+            dims, at = (c.to_pylist() for c in b.columns)
+            found = [np.asarray(tree[d].visits(vecs[d][i], most[d]), dtype=np.int32) for d, i in zip(dims, at)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int32()))], ["dim", "at", "leaves"])
+
+    parts = max(1, min(spark.sparkContext.defaultParallelism, len(places) // 16))
+    found = spark.createDataFrame(places, "dim long, at long").repartition(parts).mapInArrow(lean(run), "dim long, at long, leaves array<int>").toArrow()
+    out: dict[int, list[np.ndarray]] = {d: [np.zeros(0, dtype=np.int64)] * len(ids) for d, (ids, _) in queries.items()}
+    for d, i, leaves in zip(found["dim"].to_pylist(), found["at"].to_pylist(), found["leaves"]):
+        out[d][i] = np.asarray(leaves.values, dtype=np.int64)
+    sent.unpersist()
+    return out
+
+
+def _scan(rows: DataFrame, trees, queries, visits, k: int):
+    """query_id, copy, key, vec_id of the k best of every task, and the broadcast it needs; visits None: all leaves."""
     sent = rows.sparkSession.sparkContext.broadcast((trees, queries, visits))
 
     def run(batches):
@@ -152,7 +174,7 @@ def _scan(rows: DataFrame, trees, queries, visits, k: int) -> DataFrame:
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(q[dim][0][at]), pa.array(at), pa.array([dim] * len(at), pa.int64()), pa.array(key), pa.array(ids)], ["query_id", "copy", "dim", "key", "vec_id"])
 
-    return rows.mapInArrow(lean(run), "query_id long, copy long, dim long, key double, vec_id long")
+    return rows.mapInArrow(lean(run), "query_id long, copy long, dim long, key double, vec_id long"), sent
 
 
 def _widened(rows: DataFrame, trees, queries, k: int, recall: float, probes: int) -> dict[int, int]:
@@ -161,8 +183,10 @@ def _widened(rows: DataFrame, trees, queries, k: int, recall: float, probes: int
     for dim, (ids, m) in queries.items():
         pick = np.unique(np.linspace(0, len(ids) - 1, probes).astype(np.int64))
         some[dim] = ids[pick], m[pick]
-    truth = ranked(_scan(rows, trees, some, None, k).withColumn("copy", F.col("copy") * 100_000 + F.col("dim")), k, "key", lambda c: c)
-    near = truth.join(F.broadcast(truth.select("vec_id").distinct()), "vec_id").select("query_id", "vec_id").toArrow()  # probes times k rows
+    scanned, sent = _scan(rows, trees, some, None, k)
+    truth = ranked(scanned.withColumn("copy", F.col("copy") * 100_000 + F.col("dim")), k, "key", lambda c: c)
+    near = truth.select("query_id", "vec_id").toArrow()  # probes times k rows
+    sent.unpersist()
     ids = sorted(set(near["vec_id"].to_pylist()))
     found = rows.filter(F.col("vec_id").isin(ids)).toArrow() if ids else None
     leaf_of: dict[int, dict[int, int]] = {}
@@ -206,13 +230,12 @@ def search(table: DataFrame, k: int = 10, divisor: int = 100, recall: float = 0.
     for dim, parts in sample.items():
         m = np.vstack(parts)
         fitted[dim] = Tree(m, max(4, len(m) // leaves))
-    out = None
+    out = Blocks()
     for queries in query_blocks(rows, divisor, zero=False):
         trees = {d: fitted.get(d) or Tree(m, max(4, len(m) // 8)) for d, (_, m) in queries.items()}
         wide = _widened(rows, trees, queries, k, recall, probes)
-        visits = {d: [trees[d].visits(v, wide[d]) for v in m] for d, (_, m) in queries.items()}
-        part = _scan(rows, trees, queries, visits, k)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+        out.add(*_scan(rows, trees, queries, _walked(rows, trees, queries, wide), k))
+    found = out.all()
+    if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return ranked(out.withColumn("copy", F.col("copy") * 100_000 + F.col("dim")), k, "key", lambda c: c)
+    return ranked(found.withColumn("copy", F.col("copy") * 100_000 + F.col("dim")), k, "key", lambda c: c)

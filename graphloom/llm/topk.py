@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, ship
-from .vectors import Best, pieces, query_blocks, ranked, vectors
+from .vectors import Best, Blocks, pieces, query_blocks, ranked, vectors
 
 BINS = 64
 _EXACT = 2.0**53
@@ -75,7 +75,7 @@ def search(table: DataFrame, k: int = 10, divisor: int = 100, scale: int = 1024,
     spark = table.sparkSession
     ship(spark)
     rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
-    out = None
+    out = Blocks()
     for queries in query_blocks(rows, divisor, zero=True):
         queries = {d: (i, m) for d, (i, m) in queries.items()}
         sizes = {d: len(i) for d, (i, _) in queries.items()}
@@ -101,11 +101,11 @@ def search(table: DataFrame, k: int = 10, divisor: int = 100, scale: int = 1024,
                     high[i] = low[i]
             busy &= (width > 1) & full & (above[np.arange(n), reach] > 4 * k)
             high = np.where(busy, high, low + BINS - 1)
-        part = _filtered(rows, queries, low, offset, scale, k)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+        out.add(*_filtered(rows, queries, low, offset, scale, k))
+    found = out.all()
+    if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return ranked(out, k, "key", lambda c: (-c).cast("long"))
+    return ranked(found, k, "key", lambda c: (-c).cast("long"))
 
 
 def _bound(rows: DataFrame, queries, scale: int) -> int:
@@ -123,8 +123,8 @@ def _bound(rows: DataFrame, queries, scale: int) -> int:
     return int(min(most * longest * 1.0001 + 2, float(_LONG[1])))
 
 
-def _filtered(rows: DataFrame, queries, low, offset, scale: int, k: int) -> DataFrame:
-    """What reaches each query's threshold; of ties a task sends the k smallest ids."""
+def _filtered(rows: DataFrame, queries, low, offset, scale: int, k: int):
+    """What reaches each query's threshold, and the broadcast it needs; of ties a task sends the k smallest ids."""
     sent = rows.sparkSession.sparkContext.broadcast((queries, low, offset))
 
     def run(batches):
@@ -144,4 +144,4 @@ def _filtered(rows: DataFrame, queries, low, offset, scale: int, k: int) -> Data
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(at), pa.array(-1 - key.astype(np.int64)), pa.array(ids)], ["query_id", "copy", "s", "vec_id"])
 
-    return rows.mapInArrow(lean(run), "query_id long, copy long, s long, vec_id long").select("query_id", "copy", (-F.col("s").cast("decimal(20,0)")).alias("key"), "vec_id")
+    return rows.mapInArrow(lean(run), "query_id long, copy long, s long, vec_id long").select("query_id", "copy", (-F.col("s").cast("decimal(20,0)")).alias("key"), "vec_id"), sent

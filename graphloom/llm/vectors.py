@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import table
+
 #: Queries that are searched at once; more are searched block by block.
 BLOCK = 4096
 
@@ -59,6 +61,25 @@ def query_blocks(rows: DataFrame, divisor: int, zero: bool) -> Iterator[dict[int
             yield {d: (i[np.lexsort((i,))], m[np.lexsort((i,))]) for d, (i, m) in joined.items()}
 
 
+class Blocks:
+    """Results of query blocks, each written as it is done, so that plan, broadcasts and driver don't grow with their number."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def add(self, part: DataFrame, *sent) -> None:
+        self.tables.append(table(part))
+        for x in sent:
+            x.unpersist()
+
+    def all(self) -> DataFrame | None:
+        """One scan of all of them; None if there was no block."""
+        if not self.tables:
+            return None
+        first = self.tables[0]
+        return first.sparkSession.read.schema(first.schema).parquet(*(t._graphloom_path for t in self.tables))
+
+
 class Best:
     """The k smallest (key, id) of each query so far; memory follows queries times k."""
 
