@@ -15,14 +15,21 @@ OTHER = re.compile("[^\u0000-\u001b -ɏΆ-ҁҊ-ԣ‐-‧‰-⁞]")
 
 
 class Memory:
-    """Values of pre-tokens, worked out in batches; begins anew beyond ``limit`` of them."""
+    """Values of pre-tokens, worked out in batches; begins anew beyond ``limit`` of them.
+
+    Pre-tokens of over LONG characters are forgotten at the next call, so the bytes held are bounded, too.
+    """
+
+    LONG = 64
 
     def __init__(self, compute: Callable[[list[str]], list], limit: int, fixed: dict | None = None):
         self.compute, self.limit, self.fixed = compute, limit, fixed or {}
-        self.known = dict(self.fixed)
+        self.known, self.long = dict(self.fixed), []
 
     def of(self, lists: list[list[str]]) -> dict:
-        """A table that has every piece of ``lists``."""
+        """A table that has every piece of ``lists``, good until the next call."""
+        for piece in self.long:
+            self.known.pop(piece, None)
         missing = set().union(*lists).difference(self.known)
         if len(self.known) + len(missing) > len(self.fixed) + self.limit:
             self.known = dict(self.fixed)
@@ -31,4 +38,5 @@ class Memory:
         for at in range(0, len(names), 5000):
             part = names[at : at + 5000]
             self.known.update(zip(part, self.compute(part)))
+        self.long = [x for x in names if len(x) > self.LONG]
         return self.known

@@ -31,7 +31,7 @@ def whole_tokens(library) -> frozenset[str]:
             found.append(bytes(back[c] for c in token).decode())
         except (KeyError, UnicodeDecodeError):  # part of a character: no pre-token
             continue
-    found = [t for t in found if not OTHER.search(t) and PIECE.findall(t) == [t]]
+    found = [t for t in found if len(library.pre_tokenizer.pre_tokenize_str(t)) == 1]
     return frozenset(t for t, e in zip(found, library.encode_batch_fast(found, add_special_tokens=False)) if len(e.ids) == 1)
 
 
@@ -51,21 +51,17 @@ class Counter:
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.memory = Memory(lambda x: [len(e.ids) for e in self.library.encode_batch_fast(x, add_special_tokens=False)], REMEMBERED, dict.fromkeys(whole, 1))
 
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special strings; where Python can't tell them, the library does."""
+        if not OTHER.search(text):
+            return PIECE.findall(text)
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
     def count(self, docs: list[str]) -> list[int]:
-        split: list[list[str]] = []
-        added = [0] * len(docs)  # special strings, and the tokens of texts that the library counts as a whole
-        for i, d in enumerate(docs):
-            if OTHER.search(d):
-                added[i] = len(self.library.encode_batch_fast([d], add_special_tokens=False)[0].ids)
-                split.append([])
-            elif self.special and self.special.search(d):
-                parts = self.special.split(d)
-                added[i] = len(parts) - 1
-                split.append(list(chain.from_iterable(map(PIECE.findall, parts))))
-            else:
-                split.append(PIECE.findall(d))
+        parts = [self.special.split(d) if self.special else [d] for d in docs]
+        split = [self.pieces(p[0]) if len(p) == 1 else list(chain.from_iterable(map(self.pieces, p))) for p in parts]
         known = self.memory.of(split).__getitem__
-        return [n + sum(map(known, s)) for n, s in zip(added, split)]
+        return [len(p) - 1 + sum(map(known, s)) for p, s in zip(parts, split)]
 
 
 def count(docs: DataFrame, path: str, limit: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
