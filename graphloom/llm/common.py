@@ -171,6 +171,13 @@ def sampled(df: DataFrame, limit: int, total: int, *by: str) -> DataFrame:
     return df.withColumn("_h", h).filter(F.col("_h") < int(share * (1 << 40)) + 1).orderBy("_h", *by).limit(limit).drop("_h")
 
 
+def evenly(text: str, longest: int, parts: int = 10) -> Column:
+    """A text, or of one beyond ``longest`` characters so many from ``parts`` places spread evenly over all of it."""
+    size = longest // parts
+    cut = F.concat_ws(" ", *(F.substring(F.col(text), (F.lit(i) * (F.length(text) - size) / (parts - 1)).cast("int") + 1, F.lit(size)) for i in range(parts)))
+    return F.when(F.length(text) <= longest, F.col(text)).otherwise(cut)
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

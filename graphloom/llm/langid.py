@@ -2,7 +2,8 @@
 
 Each language has a byte context tree (orders 0 to 3, escape method C with exclusions) whose
 statistics are frozen after training. A text's exact code length under every tree decides: the
-shortest wins, and the score is its share of probability among the languages.
+shortest wins, and the score is its share of probability among the languages. Texts are read with
+case, digits and ASCII signs folded (``contexts.folded``); code lengths are those of the folded bytes.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, fold, lean, ship, slices, text_of, texts
+from .common import SLICE_BYTES, evenly, fold, lean, ship, slices, text_of, texts
 from .contexts import ContextModel, Scorer, training
 
 ORDER = 3
 UNKNOWN = "und"
-#: Training: rows of a language at most, each of at most so many characters.
+#: Training: rows of a language at most; characters of one (a longer text is there by evenly spread parts).
 ROWS, LONGEST = 400, 20_000
 #: Bytes that all languages share evenly, and what each may have in any case; they bound the trees.
 BYTES, LEAST = 16_000_000, 40_000
@@ -64,7 +65,7 @@ def learn(docs: DataFrame, rows: int = ROWS) -> tuple[list[str], Trees, float] |
         # Copies of a text count once, so few more than ``rows`` of a language pass.
         share = F.create_map(*(F.lit(x) for lang, n in some for x in (lang, int(min(1.0, 0.9 * rows / max(1, n)) * (1 << 40)) + 1)))
         chance = F.pmod(h, F.lit(1 << 40))
-        part = usable.filter(chance < share[F.col("lang")]).select("lang", F.substring("text", 1, LONGEST).alias("text"), chance.alias("h"))
+        part = usable.filter(chance < share[F.col("lang")]).select("lang", evenly("text", LONGEST).alias("text"), chance.alias("h"))
         for r in sorted(part.groupBy("lang", "h").agg(F.min("text").alias("text")).collect(), key=lambda r: (r["lang"], r["h"])):
             found = own.setdefault(r["lang"], [])
             if len(found) < rows and sum(map(len, found)) < max(LEAST, BYTES // len(sizes)) and _LETTER.search(r["text"]):
@@ -109,7 +110,11 @@ def identify(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text",
 
 
 def predict(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, bits for documents, learned from their training folds."""
+    """doc_id, held_out, lang_pred, score, bits for documents, learned from their training folds.
+
+    Null texts and those without a letter are ``und`` with score 0; without training rows all are.
+    Repeated rows are judged alike; an empty table gives an empty result.
+    """
     found = identify(docs, learn(docs))
     return found.select("doc_id", (fold() == 2).alias("held_out"), "lang_pred", "score", "bits")
 

@@ -4,6 +4,8 @@ A word is the sum of hashed embeddings of itself and of two of its prefixes, bes
 carries the log-odds of its hash in labelled texts. Filters of several widths slide over the words;
 their maxima over the text and over its four quarters feed a logistic layer. Thresholds are
 calibrated by language, which hashed words tell, so that a score of 0.3 is the decision everywhere.
+A score is made of the text alone: the lang of training rows names the languages whose words are
+learned and whose thresholds are set, and no lang is looked at when a text is scored.
 """
 
 from __future__ import annotations
@@ -15,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, fold, lean, sampled, ship, slices, text_of, texts
+from .common import Words, evenly, fold, lean, sampled, ship, slices, text_of, texts
 
-#: Labelled rows of a class at most, each of at most so many characters.
+#: Labelled rows of a class at most; characters of one (a longer text is there by evenly spread parts).
 ROWS, LONGEST = 2500, 20_000
 WIDTHS, FILTERS, DIM, QUARTERS, PAD = (1, 2, 3), 8, 8, 4, 4
 BUCKETS, PREFIXES = 1 << 16, (5, 7)
 CUT = 0.3
-_LANGUAGES = 32
+#: Training rows from which a language has a threshold of its own; the sample bounds their number.
+SPOKEN = 40
 
 
 @dataclass
@@ -201,7 +204,7 @@ def _log_odds(batches: list[Batch], labels: np.ndarray, weight: np.ndarray, prio
 
 def _speech(batches: list[Batch], langs: list[str | None]) -> np.ndarray:
     """log-probability of word buckets by language; one column at least."""
-    names = sorted({x for x in langs if x is not None}, key=lambda x: (-langs.count(x), x))[:_LANGUAGES]
+    names = sorted(x for x in {x for x in langs if x is not None} if langs.count(x) >= SPOKEN)
     count = np.full((BUCKETS + 1, max(1, len(names))), 0.1)
     for b, lang in zip(batches, langs):
         if lang in names:
@@ -237,7 +240,7 @@ def fit(docs: list[bytes], labels: np.ndarray, weight: np.ndarray, langs: list[s
 def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Network | None:
     """Train on at most ``rows`` labelled documents of each class, of crc32 folds other than 2.
 
-    Null labels and null texts do not count; None unless both classes occur. Each sampled row is
+    Null labels and null texts do not count, a repeated id counts once; None unless both classes occur. Each sampled row is
     weighted so that the classes keep their shares.
     """
     ship(docs.sparkSession)
@@ -251,8 +254,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Network | Non
         chosen = part if chosen is None else chosen.unionByName(part)
     spark = docs.sparkSession
     local = spark.createDataFrame(chosen.toArrow())  # 2 * rows ids and labels at most
-    usable = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & (F.length("text") <= LONGEST))
-    got = usable.join(F.broadcast(local), "doc_id").select("doc_id", "toxic", "lang", "text").limit(4 * rows).toArrow().to_pylist()
+    usable = docs.select("doc_id", "lang", "text").filter(F.col("text").isNotNull())
+    # of an id that several texts bear, the first by hash; so there are no more rows than ids
+    one = usable.join(F.broadcast(local), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by(F.struct("lang", evenly("text", LONGEST).alias("text")), F.struct(F.xxhash64("text"), "text")).alias("x"))
+    got = one.select("doc_id", "toxic", "x.*").toArrow().to_pylist()
     got.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"]))
     if not got:
         return None
@@ -284,7 +289,11 @@ def score(docs: DataFrame, model: Network | None, keep: bool = False, doc_id: st
 
 
 def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
+    """doc_id, held_out, score, predicted for every document.
+
+    Null and empty texts are scored as the empty text; without labels of both kinds every score is 0.
+    Repeated rows are judged alike; an empty table gives an empty result; other columns are not read.
+    """
     found = score(docs, learn(docs, labels))
     return found.select("doc_id", (fold() == 2).alias("held_out"), "score", "predicted")
 

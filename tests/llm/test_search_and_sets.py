@@ -74,6 +74,25 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_blocks_of_queries_find_what_one_block_does(spark, monkeypatch):
+    from graphloom.llm import vectors
+
+    rows = vector_rows(n=900)
+    df = spark.createDataFrame([(*r, 0, "x") for r in rows], VECTORS)
+    one = sorted(map(tuple, topk.search(df).collect()))
+    monkeypatch.setattr(vectors, "BLOCK", 4)
+    assert sorted(map(tuple, topk.search(df).collect())) == one
+    found = Counter((r.query_id, r.vec_id) for r in ann.search(df).collect())
+    true = Counter((q, i) for q, _, i, _ in brute(rows, False, lambda a, b: float(np.sqrt(((b - a) ** 2).sum()))))
+    assert sum((true & found).values()) >= 0.9 * sum(true.values())
+
+
+def test_ties_at_the_last_place_go_to_smaller_ids(spark):
+    rows = [(0, [1.0, 0.0])] + [(i, [2.0, 0.0]) for i in range(30, 0, -1)]
+    df = spark.createDataFrame([(*r, 0, "x") for r in rows], VECTORS)
+    assert [r.vec_id for r in ann.search(df).orderBy("rank").collect()] == list(range(1, 11))
+
+
 def test_tree_puts_every_vector_in_a_leaf_it_can_visit():
     m = np.random.default_rng(1).normal(size=(500, 6))
     tree = ann.Tree(m, 10)
@@ -538,6 +557,10 @@ def test_pipeline_stages_on_a_small_table(spark, tmp_path):
     assert {900, 903}.isdisjoint(seen["language_id"]) and len(seen["toxicity"]) - len(seen["language_id"]) == 2
     assert not {901, 902} & set(seen["simhash_near_dedup"])
     assert set(seen["best_fit_packing"]) == set(seen["substring_dedup"])
+    empty = spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, str(tmp_path))
+        assert out.count() == 0 and (name == corpus_pipeline.STAGES[-1][0] or out.columns == columns)
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r.doc_id for r in whole.collect()) == sorted(seen["best_fit_packing"])
 

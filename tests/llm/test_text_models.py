@@ -114,6 +114,23 @@ def test_url_verdicts(spark):
     assert {r.verdict for r in url_filter.judge(pages, rules={"ok/": "allow"}).collect()} == {"allow"}  # one side only
 
 
+def test_thresholds_and_verdicts_are_those_of_all_cuts_tried():
+    rng = random.Random(3)
+    urls = [f"http://{rng.choice(['library', 'garden', 'casino'])}{i}.ok/{rng.choice(['book', 'win'])}" for i in range(60)] + [f"http://{rng.choice(['casino', 'pills', 'library'])}{i}.no/{rng.choice(['win', 'book'])}" for i in range(60)]
+    book = url_filter.Rules({"ok/": "allow", "no/": "block"})
+    scorer, cut = url_filter.fit(urls, book, 2)
+    keys = ["".join(url_filter.parts(u)).encode() for u in urls]
+    plain = lambda d: np.frombuffer(d, dtype=np.uint8).copy()
+    good, bad = (url_filter.ratio(scorer, side[::4]) for side in (keys[:60], keys[60:]))
+    right = lambda c: (good <= c).mean() + (bad > c).mean()
+    every = sorted({*good.tolist(), *bad.tolist()})
+    assert right(cut) == pytest.approx(max(right(c) for c in [*every, *((a + b) / 2 for a, b in zip(every, every[1:]))]))
+    sides = [contexts.training([k for i, k in enumerate(x) if i % 4], 2, plain).tobytes() for x in (keys[:60], keys[60:])]
+    for k in keys[:3]:
+        want = (brute_mixed(sides[1], 2, k) - brute_mixed(sides[0], 2, k)) / len(k)
+        assert url_filter.ratio(scorer, [k])[0] == pytest.approx(want, rel=1e-3, abs=1e-3)
+
+
 def test_rare_ruled_urls_train_the_models(spark):
     rows = [(i, f"http://plain{i}.info/page") for i in range(3000)]
     rows += [(4000 + i, f"http://example.com/en/7{i}") for i in range(3)] + [(5000 + i, f"http://b.org/es/{i}") for i in range(3)]
@@ -171,6 +188,28 @@ def test_token_counts_equal_the_library(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected))
 
 
+def test_the_shortcut_counts_other_scripts_too():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path(JSON))
+    whole = token_counts.whole_tokens(library)
+    counter = token_counts.Counter(open(P.path(JSON), encoding="utf-8").read(), whole)
+    rng = random.Random(8)
+    docs = ["".join(rng.choice(["日本", "語", "🙂", "€", " the", "the", "  ", "\n", "é", "ا", "क", "<|endoftext|>", "'s", " 12", "\u200d", "\u3000", "Ａ", "x\x00"]) for _ in range(50)) for _ in range(150)]
+    assert counter.count(docs) == [len(library.encode(d, add_special_tokens=False).ids) for d in docs]
+    assert any(token_counts.OTHER.search(t) for t in whole)
+
+
+def test_long_pre_tokens_are_not_remembered():
+    from graphloom.llm.pretokens import Memory
+
+    memory = Memory(lambda x: [len(t) for t in x], 10)
+    assert memory.of([["a", "b" * 100]])["b" * 100] == 100
+    assert memory.of([["a", "c" * 70]])["c" * 70] == 70 and set(memory.known) == {"a", "c" * 70}
+    memory.of([["d"]])
+    assert set(memory.known) == {"a", "d"}
+
+
 def test_fast_pieces_are_the_librarys_pieces():
     import tiktoken
 
@@ -212,6 +251,28 @@ def test_language_id(spark):
     assert set(ids).isdisjoint({5000, 5001, 5002}) and len(ids) == len(rows) - 3
 
 
+def test_predictions_are_the_shortest_codes_by_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randrange(2, 9), lang), lang) for i, lang in ((i, list(WORDS)[i % 3]) for i in range(60))]
+    got = {r.doc_id: r for r in langid.predict(frame(spark, rows)).collect()}
+    trained = {}
+    for lang in WORDS:
+        own = sorted({t for i, t, x in rows if x == lang and not held(i)})
+        names, trees, _ = langid.learn(frame(spark, [r for r in rows if r[2] == lang]))
+        assert names == [lang]
+        trained[lang] = own
+    order = {}
+    for lang, own in trained.items():  # texts stand in the order of their hashes, which only the spaces between them see
+        order[lang] = contexts.training([t.encode() for t in own], langid.ORDER).tobytes()
+    for i, t, _ in rows[:20]:
+        text = contexts.folded(t.encode()).tobytes()
+        logs = {lang: brute_ppm(data, langid.ORDER, text) for lang, data in order.items()}
+        best = max(logs.values())
+        assert logs[got[i].lang_pred] == pytest.approx(best, abs=0.2)
+        assert got[i].score == pytest.approx(1 / sum(math.exp(x - best) for x in logs.values()), abs=0.05)
+        assert got[i].bits == pytest.approx(-best / math.log(2) / len(t.encode()), abs=0.05)
+
+
 def test_language_id_without_training(spark):
     df = frame(spark, [(1, "some text", None), (2, None, "en")])
     assert {(r.doc_id, r.lang_pred, r.score) for r in langid.predict(df).collect()} == {(1, "und", 0.0), (2, "und", 0.0)}
@@ -282,6 +343,55 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.count() == sum(r.predicted == 0 for r in got)
 
 
+def test_the_network_equals_its_definition():
+    """Embedding sums, filters of each width, maxima over quarters and text, logistic layer: by loops."""
+    rng = np.random.default_rng(5)
+    net = toxicity.Network(rng.normal(size=(3, toxicity.BUCKETS + 1)), np.zeros((toxicity.BUCKETS + 1, 1)))
+    net.bias, net.top = rng.normal(size=net.bias.shape).astype(np.float32), rng.normal(size=net.top.shape).astype(np.float32)
+    docs = [b"one two three four five six seven", b"alpha", b"", b"x y z " * 9]
+    batch = toxicity.Batch.of(docs)
+    got = net.logits(batch)
+    for d in range(len(docs)):
+        ids = batch.ids[batch.start[d] : batch.start[d + 1]]
+        x = [[float(net.odds[c][r[c]]) for c in range(3)] + [sum(float(net.table[c][r[c]][k]) for c in range(3)) for k in range(toxicity.DIM)] for r in ids]
+        following = batch.ids[batch.start[d + 1] : batch.start[d + 1] + 2]
+        tail = [[float(net.odds[c][r[c]]) for c in range(3)] + [sum(float(net.table[c][r[c]][k]) for c in range(3)) for k in range(toxicity.DIM)] for r in following]
+        n = len(x)
+        features = []
+        for w, f in enumerate(net.filters):
+            for j in range(toxicity.FILTERS):
+                at = [sum(float(np.dot((x + tail)[p + k], f[k][:, j])) for k in range(len(f)) if p + k < len(x + tail)) for p in range(n)]
+                quarters = [max(at[n * q // 4 : n * (q + 1) // 4]) for q in range(4)]
+                features.append([max(v + float(net.bias[w * toxicity.FILTERS + j]), 0) for v in quarters])
+        h = [sum(q) / 4 for q in features] + [max(q) for q in features]
+        assert got[d] == pytest.approx(float(np.dot(h, net.top)) + float(net.offset), rel=1e-3, abs=1e-3)
+
+
+def test_the_network_learns_without_the_log_odds_channel(spark, monkeypatch):
+    keep = toxicity._log_odds
+
+    def none(*a):
+        whole, own = keep(*a)
+        return whole * 0, [x * 0 for x in own]
+
+    monkeypatch.setattr(toxicity, "_log_odds", none)
+    rows, labels = labelled(spark, 400)
+    learn = [i for i in range(400) if not held(i)]
+    net = toxicity.fit([rows[i][1].encode() for i in learn], np.array([labels[i][2] for i in learn]), np.ones(len(learn)), [rows[i][2] for i in learn], rounds=6)
+    tested = [i for i in range(400) if held(i)]
+    score = net.score([rows[i][1].encode() for i in tested])
+    assert np.mean([(s >= 0.3) == labels[i][2] for s, i in zip(score, tested)]) >= 0.9
+
+
+def test_repeated_labels_and_long_texts_train_once(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 30) + (" vilewordx" * 2 if i % 2 else ""), "en", None) for i in range(120)]
+    rows += [(2, "another text of this id", "en", None)] * 3 + [(500, prose(rng, 9000) + " vilewordx " + prose(rng, 9000), "en", None)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(120)] * 2 + [(500, 1, 1)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.predict(frame(spark, rows), labels).collect()}
+    assert sum(got[i] == i % 2 for i in range(3, 120)) >= 110
+
+
 def test_toxicity_without_both_labels(spark):
     df = frame(spark, [(1, "a b"), (2, None)])
     none = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
