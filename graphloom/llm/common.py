@@ -62,10 +62,7 @@ def lean(mapper):
         finally:
             _powers.clear()
             gc.collect()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # no glibc: nothing to trim
-                pass
+            _trim()
 
     return run
 
@@ -151,11 +148,20 @@ def among(rows: DataFrame, ids: DataFrame, name: str, inside: bool = True) -> Da
 
 
 def settle(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished jobs, which it does when their plans are collected."""
+    """Let the driver give up what finished jobs left: shuffle files (Spark removes them when their plans are collected) and memory."""
     gc.collect()
+    _trim()
     spark.sparkContext._jvm.System.gc()
 
 
+def _trim() -> None:
+    """Give free memory of this process back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 4 (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 4

@@ -367,6 +367,7 @@ def _similar(docs: DataFrame, groups: DataFrame, size: int, sets_: Sets) -> Call
         sorted_ = found.select("centre", "salt", "follows", "id", "s").repartition("centre", "salt").sortWithinPartitions("centre", "salt", "follows", "id")
         out = table(sorted_.mapInArrow(lean(held_against), "a long, b long").distinct())
         drop(pairs, wanted)
+        settle(docs.sparkSession)
         return out
 
     return exact
@@ -418,6 +419,7 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, words: in
         return run
 
     def keyed(named: DataFrame, keys: DataFrame, pairs: bool) -> DataFrame:
+        settle(spark)
         wanted = spark.sparkContext.broadcast(marks(keys, "key"))
         found = rows.filter("doc_id is not null").mapInArrow(lean(keys_of(wanted, pairs)), "key long, node long")
         return found.join(named, "node")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, evenly, fold, lean, sampled, ship, slices, text_of, texts
+from .common import Words, evenly, fold, lean, sampled, settle, ship, slices, text_of, texts
 
 #: Labelled rows of a class at most; characters of one (a longer text is there by evenly spread parts).
 ROWS, LONGEST = 2500, 20_000
@@ -263,7 +263,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Network | Non
         return None
     found = {t: sum(r["toxic"] == t for r in got) for t in (0, 1)}
     weight = np.array([sizes[r["toxic"]] / found[r["toxic"]] for r in got])
-    return fit([r["text"].encode() for r in got], np.array([r["toxic"] for r in got]), weight / weight.mean(), [r["lang"] for r in got])
+    net = fit([r["text"].encode() for r in got], np.array([r["toxic"] for r in got]), weight / weight.mean(), [r["lang"] for r in got])
+    del got
+    settle(spark)
+    return net
 
 
 def score(docs: DataFrame, model: Network | None, keep: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
