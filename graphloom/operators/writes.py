@@ -6,6 +6,7 @@ store and applies write requests one by one; each appends one batch of numbered
 
 from __future__ import annotations
 
+import resource
 import threading
 import time
 import uuid
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.render import datatype_number, guid_number, guid_text, timestamp_number
 from ..plans import reply
 from ..plans.compiler import compile_read
-from ..plans.errors import AlreadyThere, NotFound, RequestError, SemanticFault, Superseded, TooDear, TooMany
+from ..plans.errors import AlreadyThere, NotFound, RequestError, SemanticFault, Superseded, SyntaxFault, TooDear, TooMany
 from ..plans.parser import parse
 from ..plans.semantic import completed
 from ..plans.tree import LINKAGES, Constraint, Request
@@ -53,10 +54,13 @@ def anchored(batch: DataFrame, existing: DataFrame, fields: list[str]) -> DataFr
 
 
 def numbered(batch: DataFrame, first: int, order: list[str]) -> DataFrame:
-    """``batch`` with dense ids from ``first`` in ``order``: range partitions, then counts before each."""
+    """``batch`` with dense ids from ``first`` in ``order``: range partitions, then counts before each.
+
+    The ranges are written once; dealt out anew they could fall otherwise.
+    """
     ranged = batch.repartitionByRange(*order).sortWithinPartitions(*order)
     place = F.spark_partition_id()
-    own = ranged.withColumns({"_part": place, "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    own = written(ranged.withColumns({"_part": place, "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
     sizes = own.groupBy("_part").agg(F.count("*").alias("_n")).collect()  # a row a partition
     before, total = {}, first
     for r in sorted(sizes, key=lambda r: r[0]):
@@ -67,6 +71,10 @@ def numbered(batch: DataFrame, first: int, order: list[str]) -> DataFrame:
     return own.withColumn("id", offset + F.col("_at")).drop("_part", "_at")
 
 
+#: Subjects of a status; what has no counterpart in this engine is an empty list.
+STATUS = ("connection", "database", "diary", "islink", "memory", "property", "replica", "rusage", "tiles")
+
+
 def appended(saved: Saved, path: str, batch: DataFrame, key: list[str] | None = None, unique: list[str] | None = None, anchor: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
     """Write a batch of primitives (without ids) onto the store at ``path``; the numbered rows, as a table at rest.
 
@@ -112,7 +120,7 @@ def appended(saved: Saved, path: str, batch: DataFrame, key: list[str] | None =
         batch = batch.withColumns({"prev": none, "lineage": none})
     first = (saved.primitives.agg(F.max("id")).collect()[0][0] or -1) + 1
     names = [f.name for f in SCHEMA]
-    rows = numbered(written(batch), first, order or [c for c in ("typeguid", "left", "right", "name", "value") if c in batch.columns])
+    rows = numbered(batch, first, order or [c for c in ("typeguid", "left", "right", "name", "value") if c in batch.columns])
     rows = written(rows.withColumn("lineage", F.coalesce("lineage", "id")).select(*(F.col(f.name).cast(f.dataType) for f in SCHEMA)))
     save_more(rows, path, saved)
     return rows.select(*names)
@@ -227,8 +235,32 @@ class Session:
         return "(" + " ".join(f'("{r.fault}" {guid_text(r.id)})' for r in faults) + ")"
 
     def on_status(self, request: Request) -> str:
-        row = counts(self.store().primitives).collect()[0].asDict()
-        return "(" + " ".join(f'("{k}" {v or 0})' for k, v in row.items()) + ")"
+        """A list for each subject that is asked for; without any, that of the database."""
+        subjects = [x for x in request.arguments if isinstance(x, str)] or ["database"]
+        parts = []
+        for subject in subjects:
+            if subject not in STATUS:
+                raise SyntaxFault(f"no status of {subject!r}")
+            pairs = getattr(self, f"_{subject}", dict)()
+            parts.append("(" + " ".join(f'("{k}" {v})' for k, v in pairs.items()) + ")")
+        return parts[0] if len(parts) == 1 else "(" + " ".join(parts) + ")"
+
+    def _database(self) -> dict:
+        return {k: v or 0 for k, v in counts(self.store().primitives).collect()[0].asDict().items()}
+
+    def _connection(self) -> dict:
+        return {"session": f'"{self.spark.sparkContext.applicationId}"'}
+
+    def _property(self) -> dict:
+        return {k: f'"{v}"' for k, v in sorted(self.properties.items())}
+
+    def _memory(self) -> dict:
+        heap = self.spark.sparkContext._jvm.Runtime.getRuntime()
+        return {"used": heap.totalMemory() - heap.freeMemory(), "most": heap.maxMemory()}
+
+    def _rusage(self) -> dict:
+        used = resource.getrusage(resource.RUSAGE_SELF)
+        return {"user": round(1000 * used.ru_utime), "system": round(1000 * used.ru_stime)}
 
     def on_set(self, request: Request) -> str:
         """Properties are Spark settings, or the session's own."""

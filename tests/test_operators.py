@@ -334,7 +334,9 @@ def test_session_admin_requests(spark):
     assert s.ask("islink (left!=null)") == "ok (1 0)"
     assert s.ask("verify ()") == "ok ()"
     assert '("primitives" 2)' in s.ask("status (database)")
+    assert s.ask("status (tiles)") == "ok ()" and '("used" ' in s.ask("status (memory rusage)") and s.ask("status (weather)").startswith("error SYNTAX")
     assert s.ask("sync ()") == "ok" and s.ask('set (cost="9")') == "ok" and s.properties == {"cost": "9"}
+    assert s.ask("status (property)") == 'ok (("cost" "9"))'
     assert s.ask('read timeout=60 (name="a b" result=value)') == 'ok "v"'
     assert "Physical Plan" in s.ask("read heatmap=true (any)")
     dumped = s.ask("dump (start=0)")
