@@ -62,6 +62,12 @@ def test_any_text_survives_dump_and_restore(spark, text):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, raw.select(*back.columns).collect()))
 
 
+@pytest.mark.parametrize("sequence", [0, 7, 9999, 10_000, 65_535])
+def test_sequences_of_any_length_survive(spark, sequence):
+    raw = frame(spark, [{"id": 0, "ts_raw": (86_400 << 16) + sequence}])
+    assert primitives.restore(primitives.dump(raw)).collect()[0].ts_raw == (86_400 << 16) + sequence
+
+
 def test_long_lineages_are_followed(spark):
     rows = [{"id": i, "prev": i - 1 if i % 40 else None, "lineage": i - i % 40, "name": str(i)} for i in range(120)]
     back = primitives.restore(primitives.dump(frame(spark, rows)))
