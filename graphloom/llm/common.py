@@ -115,18 +115,18 @@ def drop(*frames: DataFrame) -> None:
 MAP_BITS = 1 << 24
 
 
-def marks(values: DataFrame, name: str) -> np.ndarray:
+def marks(values: DataFrame, name: str, bits: int = MAP_BITS) -> np.ndarray:
     """A bitmap of the low bits of the (hashed) longs in ``values``; it is of fixed size, and misses none."""
-    place = F.expr(f"{name} & {MAP_BITS - 1}L")
+    place = F.expr(f"{name} & {bits - 1}L")
     words = values.select(place.alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("m")).toArrow()
-    bitmap = np.zeros(MAP_BITS // 64, dtype=np.uint64)
+    bitmap = np.zeros(bits // 64, dtype=np.uint64)
     bitmap[np.asarray(words["w"], dtype=np.int64)] = np.asarray(words["m"], dtype=np.int64).view(np.uint64)
     return bitmap
 
 
 def marked(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Whether each value may be one of those that ``marks`` was given; false for no value that is."""
-    at = values.astype(np.uint64) & np.uint64(MAP_BITS - 1)
+    at = values.astype(np.uint64) & np.uint64(64 * len(bitmap) - 1)
     return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 

@@ -488,18 +488,39 @@ def test_texts_of_one_id_each_have_their_passages(spark):
         assert len(left) == 3 and rows[4][1] in left and not any(one in t or two in t for t in left)
 
 
-def test_long_runs_are_those_about_marked_seeds():
+def test_long_runs_are_those_whose_inner_seeds_are_marked():
     docs = [prose(random.Random(i), 150).encode() for i in range(3)]
     t, p, h = substring.seeds(docs)
-    some = h[(t == 1)][3:5]
-    bitmap = np.zeros(substring.marks.__globals__["MAP_BITS"] // 64, dtype=np.uint64)
-    for x in (some & np.uint64(substring.marks.__globals__["MAP_BITS"] - 1)).tolist():
-        bitmap[x >> 6] |= np.uint64(1 << (x & 63))
-    rt, rp, _ = substring.long_runs(docs, bitmap)
-    at = p[t == 1][3:5]
-    assert set(rt.tolist()) == {1}
     words = len(substring.Words([docs[1]]).start)
-    assert set(rp.tolist()) == {q for a in at.tolist() for q in range(max(0, a - 14), min(a, words - 20) + 1)}
+
+    def found(kept):
+        bitmap = np.zeros(1 << 14, dtype=np.uint64)
+        for x in (kept & np.uint64(64 * len(bitmap) - 1)).tolist():
+            bitmap[x >> 6] |= np.uint64(1 << (x & 63))
+        rt, rp, _ = substring.long_runs(docs, bitmap)
+        return set(rp[rt == 1].tolist())
+
+    every = set(range(words - 49))
+    assert found(h) == every
+    for i in (0, 3, 9):
+        lost, at = h[t == 1][i], int(p[t == 1][i])
+        assert found(h[h != lost]) == every - set(range(at - 33, at - 10))
+
+
+def test_a_repeated_run_has_the_same_inner_seeds_everywhere():
+    rng = random.Random(2)
+    for _ in range(40):
+        run = prose(rng, 60).split()[:50]
+        docs = [" ".join(prose(rng, rng.randrange(30)).split() + run + prose(rng, rng.randrange(30)).split()).encode() for _ in range(2)]
+        t, p, h = substring.seeds(docs)
+        inner = []
+        for i, d in enumerate(docs):
+            start = d.decode().lower().split().index(run[0].lower()) if d.decode().split().count(run[0]) == 1 else None
+            own = sorted(zip(p[t == i].tolist(), h[t == i].tolist()))
+            begin = next(k for k in range(len(d.split()) - 49) if d.decode().split()[k : k + 50] == run)
+            assert start is None or start == begin
+            inner.append([(x - begin, y) for x, y in own if begin + 11 <= x <= begin + 33])
+        assert inner[0] == inner[1] and inner[0]
 
 
 def test_cleaned_documents_lose_the_passages_alone(spark):
