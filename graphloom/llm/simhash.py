@@ -397,13 +397,14 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, words: in
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([len(x) for x in held], pa.int64()), *(pa.array(f[:, w]) for w in range(words)), pa.array([sets.wide(x) for x in held], pa.binary())], [*prints_names, "wide"])
 
     def keys_of(wanted=None, pairs: bool = False):
-        """(key, set) of the prefixes; with ``wanted``, (key, doc_id) of those marked; of these and another one with ``pairs``."""
+        """(key, owner) of the prefixes, the owner being the whole set; with ``wanted``, (key, doc_id) of those marked; of these and another one with ``pairs``."""
 
         def run(batches):
             for b in slices(batches, "text"):
-                held = [sets.prefix(x, *order.value, int(pairs)) for x in shingle_sets(texts(b.column(1)), size)]
+                whole = shingle_sets(texts(b.column(1)), size)
+                held = [sets.prefix(x, *order.value, int(pairs)) for x in whole]
                 if not wanted:
-                    h = np.array([set_hash(np.sort(x))[0] for x in held])
+                    h = np.array([set_hash(x)[0] for x in whole])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.repeat(h, [len(x) for x in held]))], ["key", "owner"])
                     continue
                 found = []

@@ -308,6 +308,11 @@ def test_near_duplicate_stage_joins_equal_sets_whose_repeats_differ(spark):
     assert [r.doc_id for r in simhash.deduplicated(frame(spark, rows)).collect()] == [0]
 
 
+def test_near_duplicate_stage_joins_sets_of_equal_prefixes(spark):
+    rows = [(i, prose(random.Random(i // 3), 90) + " more" * (i % 3)) for i in range(120)]
+    assert sorted(r.doc_id for r in simhash.deduplicated(frame(spark, rows)).collect()) == list(range(0, 120, 3))
+
+
 def test_near_duplicate_stage_joins_every_pair_at_the_bound(spark):
     rows = []
     for i in range(150):
