@@ -1,7 +1,9 @@
 """Top-k, nearest neighbours, packing, SimHash, substring dedup, the pipeline."""
 
 import random
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -493,6 +495,35 @@ def test_texts_of_one_id_each_have_their_passages(spark):
         assert len(left) == 3 and rows[4][1] in left and not any(one in t or two in t for t in left)
 
 
+def test_no_join_of_passages_finds_shuffle_files_of_the_step_before(spark, monkeypatch):
+    """The first holders of seeds and of runs are shuffled apart from the joins with them."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {p for d in disk.localDirsString() for p in Path(d).glob("*/shuffle_*.data")}
+    substring.ship(spark)
+    rows = substring._rows(frame(spark, passage_rows()[0]), "doc_id", "text").cache()
+    rows.count()
+    substring.settle(spark)
+    left, made = [], set()
+
+    def looking(df, keep=substring.table):
+        before = held()
+        if {"src_at", "equal"} & set(df.columns):  # what the joins with seeds and with runs find
+            for _ in range(50):  # files go a moment after memory is collected
+                if not made & held():
+                    break
+                time.sleep(0.1)
+            left.append(len(made & held()))
+        out = keep(df)
+        if "src_pos" in df.columns:
+            made.update(held() - before)
+        return out
+
+    monkeypatch.setattr(substring, "table", looking)
+    found = substring._pieces(rows)
+    assert made and left == [0, 0] and found.count()
+    rows.unpersist()
+
+
 def test_long_runs_are_those_whose_inner_seeds_are_marked():
     docs = [prose(random.Random(i), 150).encode() for i in range(3)]
     t, p, h = substring.seeds(docs)
