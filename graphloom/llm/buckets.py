@@ -7,7 +7,9 @@ one. Three steps, each linear in the rows, link all of them:
 * ``opened``: only keys whose members still belong to several components go on.
 * ``compared``: keys of at most BUCKET rows are compared whole, by which a row meets a bounded number
   of others; larger ones are refined into keys of more of what their members have in common, closed
-  ones fall away again, and so on until none is large.
+  ones fall away again, and so on until none is large. Where nearness alone is no link, a key gives
+  its near pairs only if they are no more than its rows, else the rows that have any (``gathered``),
+  whose pairs are then decided where they meet.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,9 +72,8 @@ def _groups(batches, names: list[str]) -> Iterator[list[np.ndarray]]:
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-def _pairs(component: np.ndarray, f: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the near pairs of different components, in blocks."""
-    x, y = [], []
+def _blocks(component: np.ndarray, f: np.ndarray, near: Near) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of the near pairs of different components, block by block."""
     for i in range(0, len(component), BLOCK):
         for j in range(i, len(component), BLOCK):
             hit = component[i : i + BLOCK, None] != component[None, j : j + BLOCK]
@@ -80,9 +82,23 @@ def _pairs(component: np.ndarray, f: np.ndarray, near: Near) -> tuple[np.ndarray
                 if i == j:
                     a, b = a[a < b], b[a < b]
                 ok = near(f[i + a], f[j + b])
-                x.append(i + a[ok])
-                y.append(j + b[ok])
-    return (np.concatenate(x), np.concatenate(y)) if x else (np.zeros(0, dtype=np.int64),) * 2
+                yield i + a[ok], j + b[ok]
+
+
+def _pairs(component: np.ndarray, f: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the near pairs of different components."""
+    found = list(_blocks(component, f, near))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, dtype=np.int64),) * 2
+
+
+def _few_or_rows(component: np.ndarray, f: np.ndarray, near: Near) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray | None]:
+    """Indices of the near pairs of different components or, if they are more than the rows, those of the rows that have any."""
+    some, found, n = np.zeros(len(component), dtype=bool), [], 0
+    for x, y in _blocks(component, f, near):
+        some[x] = some[y] = True
+        n += len(x)
+        found = [*found, (x, y)] if n <= len(some) else []
+    return found, np.flatnonzero(some) if n > len(some) else None
 
 
 def _spanning(x: np.ndarray, y: np.ndarray, component: np.ndarray) -> np.ndarray:
@@ -104,46 +120,87 @@ def _spanning(x: np.ndarray, y: np.ndarray, component: np.ndarray) -> np.ndarray
     return keep
 
 
-def compared(rows: DataFrame, names: list[str], near: Near, sure: bool) -> DataFrame:
-    """(a, b): near pairs of different components under a key.
-
-    ``sure``: nearness is the link itself, so that pairs which connect what others connect are left out.
-    """
+def _compared(rows: DataFrame, names: list[str], key_rows, two_rows, schema: str) -> DataFrame:
+    """What key_rows(node, component, words) gives for the rows of each key, less repeats; of keys of two rows, which most are, two_rows for all at once."""
 
     def run(batches):
         for key, node, component, *f in _groups(batches, ["key", "node", "component", *names]):
             words = np.stack([x.view(np.uint64) for x in f], axis=1)
             edge = np.flatnonzero(np.diff(key, prepend=key[:1] + 1, append=key[-1:] + 1)) if len(key) else np.zeros(0, dtype=np.int64)
-            two = edge[:-1][np.diff(edge) == 2]  # most keys: both rows at once
-            x, y = two, two + 1
-            ok = (component[x] != component[y]) & near(words[x], words[y])
-            out = [(x[ok], y[ok])]
-            for lo, hi in zip(edge, edge[1:]):
-                if hi - lo > 2:
-                    x, y = _pairs(component[lo:hi], words[lo:hi], near)
-                    if sure and len(x):
-                        keep = _spanning(x, y, component[lo:hi])
-                        x, y = x[keep], y[keep]
-                    out.append((x + lo, y + lo))
-            x, y = (np.concatenate(z) for z in zip(*out))
-            a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            two = edge[:-1][np.diff(edge) == 2]
+            out = [two_rows(node, component, words, two)]
+            out += [key_rows(node[lo:hi], component[lo:hi], words[lo:hi]) for lo, hi in zip(edge, edge[1:]) if hi - lo > 2]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], [x.split()[0] for x in schema.split(", ")])
 
     sorted_ = rows.select("key", "node", "component", *names).repartition("key").sortWithinPartitions("key")
-    return sorted_.mapInArrow(lean(run), "a long, b long").distinct()
+    return sorted_.mapInArrow(lean(run), schema).distinct()
+
+
+def _sides(node: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+
+
+def compared(rows: DataFrame, names: list[str], near: Near) -> DataFrame:
+    """(a, b): near pairs of different components under a key, less those that connect what others connect."""
 
+    def key_rows(node, component, words):
+        x, y = _pairs(component, words, near)
+        keep = _spanning(x, y, component)
+        return _sides(node, x[keep], y[keep])
 
-def linked_within(nodes: DataFrame, first: DataFrame, rows_of: Callable[[DataFrame], DataFrame], names: list[str], column, near: Near, refine: Callable[[DataFrame], DataFrame | None], checked: Callable[[DataFrame], DataFrame] | None = None, bucket: int | None = None) -> DataFrame:
+    def two_rows(node, component, words, x):
+        x = x[(component[x] != component[x + 1]) & near(words[x], words[x + 1])]
+        return _sides(node, x, x + 1)
+
+    return _compared(rows, names, key_rows, two_rows, "a long, b long")
+
+
+def gathered(rows: DataFrame, names: list[str], near: Near) -> DataFrame:
+    """(crowd, a, b), no more rows than a key has: its near pairs of different components, or all rows that are in one.
+
+    Pairs have a < b and crowd 0. Where pairs are more than rows, each row in one is there as a = b;
+    crowd is a hash of all of these, so that keys with the same give them once.
+    """
+
+    def key_rows(node, component, words):
+        found, some = _few_or_rows(component, words, near)
+        if some is not None:
+            own = np.unique(node[some])
+            return np.full(len(own), xxhash.xxh64_intdigest(own.tobytes()), dtype=np.uint64).view(np.int64), own, own
+        a, b = zip(*(_sides(node, x, y) for x, y in found)) if found else ((node[:0],),) * 2
+        a, b = np.concatenate(a), np.concatenate(b)
+        return np.zeros(len(a), dtype=np.int64), a, b
+
+    def two_rows(node, component, words, x):
+        x = x[(component[x] != component[x + 1]) & near(words[x], words[x + 1])]
+        return np.zeros(len(x), dtype=np.int64), *_sides(node, x, x + 1)
+
+    return _compared(rows, names, key_rows, two_rows, "crowd long, a long, b long")
+
+
+def linked_within(nodes: DataFrame, first: DataFrame, rows_of: Callable[[DataFrame], DataFrame], names: list[str], column, near: Near, refine: Callable[[DataFrame], DataFrame | None], checked: Callable[[DataFrame], DataFrame] | None = None, within: Callable[[DataFrame], DataFrame] | None = None, bucket: int | None = None) -> DataFrame:
     """A table (node, component) of the nodes that are linked to any other, exactly.
 
     nodes: (node, names). first: rows whose keys' centres are worth a first contraction. rows_of:
     from nodes with components to the open rows of all keys, a table. refine: from a table of open
     rows of large keys to (key, node, component, names, ...) rows of finer keys, or None if there
-    are none; large keys are then compared whole, too. checked: which of the (a, b) pairs hold, as
-    a table, if nearness alone is no link.
+    are none; large keys are then compared whole, too. If nearness alone is no link: checked: which of
+    the (a, b) pairs hold, as a table; within: the (a, b) that connect all linked ones of each of the
+    crowds in a (crowd, node) table, as a table.
     """
     bucket = bucket or BUCKET
     sure, checked = checked is None, checked or table
+
+    def links(rows: DataFrame) -> list[DataFrame]:
+        if sure:
+            return [table(compared(rows, names, near))]
+        found = table(gathered(rows, names, near))
+        out = [checked(found.filter("a < b").select("a", "b").distinct())]
+        if found.filter("a = b").limit(1).count():
+            out.append(within(found.filter("a = b").selectExpr("crowd", "a node")))
+        drop(found)
+        return out
+
     edges = [checked(contract(first, names, column))]
     named, linked = components_of(nodes, edges)
     rows = rows_of(named)
@@ -151,10 +208,10 @@ def linked_within(nodes: DataFrame, first: DataFrame, rows_of: Callable[[DataFra
         large = rows.filter(F.col("n") > bucket)
         finer = refine(table(large)) if large.limit(1).count() else None
         if finer is None:
-            edges.append(checked(compared(rows, names, near, sure)))
+            edges += links(rows)
             drop(rows)
             break
-        edges.append(checked(compared(rows.filter(F.col("n") <= bucket), names, near, sure)))
+        edges += links(rows.filter(F.col("n") <= bucket))
         drop(rows)
         finer = table(finer)
         edges.append(checked(contract(finer, names, column)))

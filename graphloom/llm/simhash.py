@@ -316,9 +316,33 @@ def near_duplicates(docs: DataFrame, size: int = 4, most: int = 4, segments: int
     return prints.join(least, "f0", "left").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _similar(docs: DataFrame, groups: DataFrame, size: int, sets_: Sets) -> Callable[[DataFrame], DataFrame]:
-    """A table of the (a, b) pairs of ids whose texts' shingle sets have that similarity, exactly.
+def spanning(ids: np.ndarray, held: np.ndarray, lengths: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """(a, b) that connect all ids linked by a similarity of ``least`` of their sets, whose elements stand one after the other in ``held``."""
+    kinds, held = np.unique(held, return_inverse=True)
+    label = np.unique(ids, return_inverse=True)[1]  # of the texts of an id, one
+    ends = np.cumsum(lengths)
+    mark, out = np.zeros(len(kinds), dtype=bool), []
+    for i in range(len(ids) - 1):
+        if (label == label[0]).all():
+            break
+        own, at = held[ends[i] - lengths[i] : ends[i]], int(ends[i])
+        mark[own] = True
+        total = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(mark[held[at:]])))
+        mark[own] = False
+        shared = np.diff(total[ends[i:] - at])
+        hit = i + 1 + np.flatnonzero((shared >= least * (lengths[i] + lengths[i + 1 :] - shared)) & (label[i + 1 :] != label[i]))
+        if len(hit):
+            met, first = np.unique(label[hit], return_index=True)
+            out += [(min(x, ids[i]), max(x, ids[i])) for x in ids[hit[first]]]
+            label[np.isin(label, met)] = label[i]
+    return out
+
+
+def _similar(docs: DataFrame, groups: DataFrame, size: int, sets_: Sets) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
+    """Two ways to a table of (a, b) pairs of ids whose texts' shingle sets have that similarity, exactly.
 
+    ``exact`` takes pairs (a, b); ``crowds`` takes (crowd, node), brings the sets of a crowd to one task
+    and gives pairs that connect what is linked there.
     Wide parities of ``groups`` (node, n_set, wide) leave few other pairs. The sets of the b of an a come to one task, CHUNK at a time, and pass by the set of a. An id that
     several texts bear is similar if one of them is.
     """
@@ -370,7 +394,42 @@ def _similar(docs: DataFrame, groups: DataFrame, size: int, sets_: Sets) -> Call
         settle(docs.sparkSession)
         return out
 
-    return exact
+    def met(batches):
+        held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []  # the rows of the crowd that may go on
+        for b in batches:
+            crowd, ids, s = np.asarray(b.column(0)), np.asarray(b.column(1)), b.column(2)
+            if not len(crowd):
+                continue
+            ends, values = np.asarray(s.offsets), np.asarray(s.values)
+            cut = np.flatnonzero(np.diff(crowd)) + 1
+            out: list[tuple[int, int]] = []
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(crowd)]):
+                if held and held[0][0] != crowd[lo]:
+                    out += whole(held)
+                    held = []
+                held.append((crowd[lo], ids[lo:hi].copy(), np.diff(ends[lo : hi + 1]), values[ends[lo] : ends[hi]].copy()))
+            yield edges_of(out)
+        if held:
+            yield edges_of(whole(held))
+
+    def whole(held):
+        ids, lengths, values = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
+        return spanning(ids, values, lengths.astype(np.int64), least)
+
+    def edges_of(out):
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def crowds(members: DataFrame) -> DataFrame:
+        wanted = table(members.selectExpr("crowd", "node id").distinct())
+        rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+        found = among(rows, wanted, "id").mapInArrow(lean(sets), "id long, s array<bigint>").join(wanted, "id")
+        sorted_ = found.select("crowd", "id", "s").repartition("crowd").sortWithinPartitions("crowd", "id")
+        out = table(sorted_.mapInArrow(lean(met), "a long, b long").distinct())
+        drop(wanted)
+        settle(docs.sparkSession)
+        return out
+
+    return exact, crowds
 
 
 def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, words: int = 4, bucket: int | None = None) -> DataFrame:
@@ -446,7 +505,7 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, words: in
         members = large.select("node", "component", *sets.names).distinct()
         return keyed(members, large.select("key").distinct(), True)
 
-    linked = buckets.linked_within(nodes, all_rows, rows_of, sets.names, sets.column, sets.near, refine, _similar(docs, groups, size, sets), bucket)
+    linked = buckets.linked_within(nodes, all_rows, rows_of, sets.names, sets.column, sets.near, refine, *_similar(docs, groups, size, sets), bucket=bucket)
     out = table(_named(prints.select("doc_id", "h0", "h1"), groups.select("node", "h0", "h1"), linked, ["h0", "h1"]).select("doc_id", "component_id"))
     drop(prints, groups, all_rows, linked)
     settle(spark)

@@ -378,6 +378,72 @@ def test_similar_groups_equal_brute_force(spark, bucket):
     assert simhash.similar_groups(frame(spark, [])).count() == 0
 
 
+def components(sets_, least=0.8):
+    parent = {i: i for i in sets_}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sets_:
+        for j in sets_:
+            if i < j and len(sets_[i] & sets_[j]) >= least * len(sets_[i] | sets_[j]):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    return {i: find(i) for i in sets_}
+
+
+def test_candidates_of_a_hot_group_grow_with_its_rows_alone(spark, monkeypatch):
+    """Copies just beyond the bound, which parities take for near: few link, and a key has all of them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counting(mapper, keep=buckets.lean):
+        def run(batches):
+            for b in mapper(batches):
+                made.add(b.num_rows)
+                yield b
+
+        return keep(run)
+
+    monkeypatch.setattr(buckets, "lean", counting)
+    each = []
+    for n in (60, 240):
+        rng = random.Random(n)
+        rows = []
+        for i in range(n):
+            w = [f"w{k}" for k in range(186)] if i % 8 else rows[i - 1][1].split() if i else ["w0"]
+            for k in rng.sample(range(len(w)), 13 if i % 8 else 3 if i else 0):
+                w[k] = f"x{i}y{k}"
+            rows.append((i, " ".join(w)))
+        before = made.value
+        got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, rows), size=1).collect()}
+        each.append((made.value - before) / n)
+        assert got == components({i: set(t.split()) for i, t in rows}) and len(set(got.values())) > n // 4
+    assert each[1] < 2 * each[0], each
+
+
+def test_a_crowd_is_connected_as_all_its_pairs_are():
+    rng = random.Random(23)
+    base = list(range(100))
+    sets_ = {i: {x if rng.random() > 0.06 else 1000 * i + x for x in base} for i in range(1, 40)} | {90: set(), 91: {5}}
+    texts = [(i, x) for i, x in sets_.items()] + [(91, set(base))]  # an id of two texts
+    lengths = np.array([len(x) for _, x in texts])
+    pairs = simhash.spanning(np.array([i for i, _ in texts]), np.array([e for _, x in texts for e in sorted(x)]), lengths, 0.8)
+    alike = lambda x, y: any(len(s & t) >= 0.8 * len(s | t) for i, s in texts if i == x for j, t in texts if j == y)
+    every = [(x, y) for x in sets_ for y in sets_ if x < y and alike(x, y)]
+    assert set(pairs) <= set(every) and len(pairs) < len(sets_)
+
+    def reach(edges):
+        known = {i: i for i in sets_}
+        for _ in sets_:
+            for x, y in edges:
+                known[x] = known[y] = min(known[x], known[y])
+        return known
+
+    assert reach(pairs) == reach(every) and len(set(reach(every).values())) > 1
+
+
 def test_components_of_edges(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(120)] + [(500, 500)]
