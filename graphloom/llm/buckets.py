@@ -91,14 +91,23 @@ def _pairs(component: np.ndarray, f: np.ndarray, near: Near) -> tuple[np.ndarray
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, dtype=np.int64),) * 2
 
 
-def _few_or_rows(component: np.ndarray, f: np.ndarray, near: Near) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray | None]:
-    """Indices of the near pairs of different components or, if they are more than the rows, those of the rows that have any."""
-    some, found, n = np.zeros(len(component), dtype=bool), [], 0
-    for x, y in _blocks(component, f, near):
+def few_or_rows(node: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(crowd, a, b) of the pairs whose indices ``blocks`` gives or, if they are more than the rows, of the rows in one."""
+    some, found, n = np.zeros(len(node), dtype=bool), [(node[:0], node[:0])], 0
+    for x, y in blocks:
         some[x] = some[y] = True
         n += len(x)
-        found = [*found, (x, y)] if n <= len(some) else []
-    return found, np.flatnonzero(some) if n > len(some) else None
+        if n <= len(some):
+            found.append(_sides(node, x, y))
+            continue
+        found.clear()
+        if some.all():
+            break
+    if not found:
+        own = np.unique(node[some])
+        return np.full(len(own), xxhash.xxh64_intdigest(own.tobytes()), dtype=np.uint64).view(np.int64), own, own
+    a, b = (np.concatenate(x) for x in zip(*found))
+    return np.zeros(len(a), dtype=np.int64), a, b
 
 
 def _spanning(x: np.ndarray, y: np.ndarray, component: np.ndarray) -> np.ndarray:
@@ -163,13 +172,7 @@ def gathered(rows: DataFrame, names: list[str], near: Near) -> DataFrame:
     """
 
     def key_rows(node, component, words):
-        found, some = _few_or_rows(component, words, near)
-        if some is not None:
-            own = np.unique(node[some])
-            return np.full(len(own), xxhash.xxh64_intdigest(own.tobytes()), dtype=np.uint64).view(np.int64), own, own
-        a, b = zip(*(_sides(node, x, y) for x, y in found)) if found else ((node[:0],),) * 2
-        a, b = np.concatenate(a), np.concatenate(b)
-        return np.zeros(len(a), dtype=np.int64), a, b
+        return few_or_rows(node, _blocks(component, words, near))
 
     def two_rows(node, component, words, x):
         x = x[(component[x] != component[x + 1]) & near(words[x], words[x + 1])]
@@ -185,8 +188,8 @@ def linked_within(nodes: DataFrame, first: DataFrame, rows_of: Callable[[DataFra
     from nodes with components to the open rows of all keys, a table. refine: from a table of open
     rows of large keys to (key, node, component, names, ...) rows of finer keys, or None if there
     are none; large keys are then compared whole, too. If nearness alone is no link: checked: which of
-    the (a, b) pairs hold, as a table; within: the (a, b) that connect all linked ones of each of the
-    crowds in a (crowd, node) table, as a table.
+    the (a, b) pairs hold, as a table; within: the (a, b) that, with the components, connect all linked
+    ones of each of the crowds in a (crowd, node, component) table, as a table.
     """
     bucket = bucket or BUCKET
     sure, checked = checked is None, checked or table
@@ -197,7 +200,7 @@ def linked_within(nodes: DataFrame, first: DataFrame, rows_of: Callable[[DataFra
         found = table(gathered(rows, names, near))
         out = [checked(found.filter("a < b").select("a", "b").distinct())]
         if found.filter("a = b").limit(1).count():
-            out.append(within(found.filter("a = b").selectExpr("crowd", "a node")))
+            out.append(within(found.filter("a = b").selectExpr("crowd", "a node").join(named.select("node", "component").distinct(), "node")))
         drop(found)
         return out
 

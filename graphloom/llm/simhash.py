@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -172,6 +172,25 @@ class Sets:
         x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
         return int(np.bitwise_count(x ^ y).sum()) <= self.share * (n + m) + 1e-6
 
+    def all_may(self, n: np.ndarray, wide: list[bytes], component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Indices of all pairs of different components that can be similar by their sizes and as ``may`` says, a set at a time."""
+        order = np.argsort(n, kind="stable")
+        n, component = n[order], component[order]
+        size = np.array([len(wide[i]) for i in order])  # grows with n
+        cut = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(order)]
+        held = [np.frombuffer(b"".join(wide[i] for i in order[lo:hi]), dtype=np.uint64).reshape(hi - lo, -1) for lo, hi in zip(cut, cut[1:]) if hi > lo]
+        for k, own in enumerate(held):
+            last = int(np.searchsorted(n, n[cut[k + 1] - 1] / self.least + 1e-6, side="right"))
+            folded = [np.bitwise_xor.reduce(m[: max(0, last - lo)].reshape(-1, m.shape[1] // own.shape[1], own.shape[1]), axis=1) for m, lo in zip(held[k:], cut[k:])]
+            rest = np.concatenate(folded)
+            for i in range(len(own)):
+                at = cut[k] + i
+                to = int(np.searchsorted(n, n[at] / self.least + 1e-6, side="right"))
+                j = at + 1 + np.flatnonzero(component[at + 1 : to] != component[at])
+                j = j[np.bitwise_count(rest[j - cut[k]] ^ own[i]).sum(axis=1, dtype=np.int64) <= self.share * (n[at] + n[j]) + 1e-6]
+                if len(j):
+                    yield np.full(len(j), order[at]), order[j]
+
     def prefix(self, hashes: np.ndarray, frequent: np.ndarray, times: np.ndarray, more: int = 0) -> np.ndarray:
         """The first of the distinct ``hashes``, by their ``times`` (0 unless among the sorted ``frequent``), then by value.
 
@@ -341,10 +360,11 @@ def spanning(ids: np.ndarray, held: np.ndarray, lengths: np.ndarray, least: floa
 def _similar(docs: DataFrame, groups: DataFrame, size: int, sets_: Sets) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
     """Two ways to a table of (a, b) pairs of ids whose texts' shingle sets have that similarity, exactly.
 
-    ``exact`` takes pairs (a, b); ``crowds`` takes (crowd, node), brings the sets of a crowd to one task
-    and gives pairs that connect what is linked there.
-    Wide parities of ``groups`` (node, n_set, wide) leave few other pairs. The sets of the b of an a come to one task, CHUNK at a time, and pass by the set of a. An id that
-    several texts bear is similar if one of them is.
+    ``exact`` takes pairs (a, b); ``crowds`` takes (crowd, node, component) and gives pairs that, with the
+    components, connect what is linked in a crowd. Wide parities of ``groups`` (node, n_set, wide) leave few
+    other pairs: of a crowd, its pairs that pass go on if they are no more than its rows, else the rows in one,
+    whose sets are then brought to one task. The sets of the b of an a come to one task, CHUNK at a time, and
+    pass by the set of a. An id that several texts bear is similar if one of them is.
     """
 
     least = sets_.least
@@ -382,7 +402,10 @@ def _similar(docs: DataFrame, groups: DataFrame, size: int, sets_: Sets) -> tupl
 
     def exact(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(groups.selectExpr("node a", "n_set n", "wide wa"), "a").join(groups.selectExpr("node b", "n_set m", "wide wb"), "b")
-        pairs = table(pairs.select("a", "b", "n", "wa", "m", "wb").mapInArrow(lean(possible), "a long, b long").distinct())
+        return confirmed(table(pairs.select("a", "b", "n", "wa", "m", "wb").mapInArrow(lean(possible), "a long, b long").distinct()))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        settle(docs.sparkSession)
         crowd = pairs.groupBy("a").agg(F.expr(f"count(*) div {CHUNK} + 1").alias("salts"))
         salted = pairs.join(crowd, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
         wanted = table(salted.select(F.col("a").alias("centre"), "salt", F.explode(F.expr("array(struct(0 follows, a id), struct(1 follows, b id))")).alias("x")).select("centre", "salt", "x.*").distinct())
@@ -419,7 +442,38 @@ def _similar(docs: DataFrame, groups: DataFrame, size: int, sets_: Sets) -> tupl
     def edges_of(out):
         return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
+    def apart(batches):
+        for crowd in of_one(batches):
+            n = crowd["n_set"].to_numpy().astype(np.float64)
+            out = buckets.few_or_rows(crowd["node"].to_numpy(), sets_.all_may(n, crowd["wide"].to_pylist(), crowd["component"].to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["crowd", "a", "b"])
+
+    def of_one(batches):
+        """The rows of each crowd, of batches sorted by crowd."""
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            cut = np.flatnonzero(np.diff(np.asarray(b.column(0)))) + 1
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows]):
+                if held and hi > lo and held[0].column(0)[0].as_py() != b.column(0)[lo].as_py():
+                    yield pa.Table.from_batches(held)
+                    held = []
+                if hi > lo:
+                    held.append(b.slice(lo, hi - lo))
+        if held:
+            yield pa.Table.from_batches(held)
+
     def crowds(members: DataFrame) -> DataFrame:
+        told = members.distinct().join(groups.select("node", "n_set", "wide"), "node").select("crowd", "node", "component", "n_set", "wide")
+        left = table(told.repartition("crowd").sortWithinPartitions("crowd").mapInArrow(lean(apart), "crowd long, a long, b long").distinct())
+        out = confirmed(table(left.filter("a < b").select("a", "b").distinct()))
+        if left.filter("a = b").limit(1).count():
+            pairs, among_ = out, connected(left.filter("a = b").selectExpr("crowd", "a node"))
+            out = table(pairs.unionByName(among_))
+            drop(pairs, among_)
+        drop(left)
+        return out
+
+    def connected(members: DataFrame) -> DataFrame:
         wanted = table(members.selectExpr("crowd", "node id").distinct())
         rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
         found = among(rows, wanted, "id").mapInArrow(lean(sets), "id long, s array<bigint>").join(wanted, "id")

@@ -423,6 +423,40 @@ def test_candidates_of_a_hot_group_grow_with_its_rows_alone(spark, monkeypatch):
     assert each[1] < 2 * each[0], each
 
 
+def test_sets_of_long_texts_that_share_some_words_are_not_moved(spark, monkeypatch):
+    """Parities of few bits cannot tell long texts apart; the wide ones do before any set is read for a crowd."""
+    moved = spark.sparkContext.accumulator(0)
+
+    def counting(docs, size, keep=simhash.shingle_sets):
+        moved.add(len(docs))
+        return keep(docs, size)
+
+    rng = random.Random(29)
+    rows = [(i, " ".join(rng.sample([f"w{k}" for k in range(2400)], 800))) for i in range(40)]
+    rows += [(100 + i, rows[i][1] + f" more{i}") for i in range(3)]
+    monkeypatch.setattr(simhash, "shingle_sets", counting)
+    groups = {r.doc_id: r.component_id for r in simhash.similar_groups(frame(spark, rows), size=1).collect()}
+    assert groups == {i: i % 100 for i, _ in rows}
+    assert moved.value <= 4 * len(rows) + 20, moved.value  # four scans, and the sets of what may be alike
+
+
+@pytest.mark.parametrize("least", [0.8, 0.3])
+def test_wide_parities_of_a_crowd_are_held_against_each_other_as_pairs_are(least):
+    rng = np.random.default_rng(31)
+    sets = simhash.Sets(4, least)
+    held = []
+    for n in (90, 130, 600, 1030):
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        held += [np.unique(np.concatenate((rng.choice(base, int(n * rng.uniform(0.85, 1)), replace=False), rng.integers(0, 2**64, int(n * rng.uniform(0, 0.1)), dtype=np.uint64)))) for _ in range(12)]
+    held = [held[i] for i in rng.permutation(len(held))]
+    n, wide = np.array([len(x) for x in held], dtype=np.float64), [sets.wide(x) for x in held]
+    component = rng.integers(0, 30, len(held))
+    got = [(min(x, y), max(x, y)) for xs, ys in sets.all_may(n, wide, component) for x, y in zip(xs.tolist(), ys.tolist())]
+    fits = lambda i, j: min(n[i], n[j]) >= least * max(n[i], n[j]) and sets.may(int(n[i]), wide[i], int(n[j]), wide[j])
+    want = {(i, j) for i in range(len(held)) for j in range(i + 1, len(held)) if component[i] != component[j] and fits(i, j)}
+    assert len(got) == len(set(got)) and set(got) == want and 50 < len(want)
+
+
 def test_a_crowd_is_connected_as_all_its_pairs_are():
     rng = random.Random(23)
     base = list(range(100))
