@@ -41,9 +41,10 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
 
 class ContextModel:
     """Counts of one class of text. kind: ``ppm`` (escape method C with exclusions) or
-    ``interpolated`` (Witten-Bell smoothing)."""
+    ``interpolated`` (Witten-Bell smoothing). Given ``counted``, strings of order+1 bytes with their
+    numbers, the text is not needed."""
 
-    def __init__(self, data: np.ndarray, order: int, kind: str):
+    def __init__(self, data: np.ndarray | None, order: int, kind: str, counted: tuple[np.ndarray, np.ndarray] | None = None):
         self.order, self.kind = order, kind
         self.grams: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
@@ -52,7 +53,11 @@ class ContextModel:
         self.symbols: list[np.ndarray] = []
         self.excluded: list[np.ndarray] = []
         for level in range(order + 1):
-            grams, counts = np.unique(_keys(data, level + 1)[level:], return_counts=True)
+            if counted:
+                grams, back = np.unique(counted[0] & np.uint64((1 << 8 * (level + 1)) - 1), return_inverse=True)
+                counts = np.bincount(back, counted[1])
+            else:
+                grams, counts = np.unique(_keys(data, level + 1)[level:], return_counts=True)
             if not len(grams):  # shorter than the context
                 grams, counts = np.array([np.uint64((1 << 64) - 1)]), np.array([1])
             contexts, inverse = np.unique(grams >> np.uint64(8), return_inverse=True)
@@ -159,3 +164,12 @@ def training(docs: list[bytes], order: int, fold=folded) -> np.ndarray:
     """Texts put together as ``Scorer.score`` sees them."""
     pad = b" " * (order + 1)
     return fold(pad + pad.join(docs))
+
+
+def counted(docs: list[bytes], order: int, fold=folded) -> tuple[np.ndarray, np.ndarray]:
+    """The (order+1)-byte strings that end in each text or in the spaces after it, and how often they do.
+
+    Those of several lists add up to those of all texts, in any order.
+    """
+    pad = b" " * (order + 1)
+    return np.unique(_keys(fold(pad + pad.join(docs) + pad), order + 1)[order + 1 :], return_counts=True)
