@@ -19,7 +19,7 @@ from .common import drop, lean, sampled, ship, slices, table
 from .contexts import ContextModel, Scorer, counted, training
 
 #: rule (host and path as one string) -> verdict. Fixed values of the task.
-RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "block", "example.net/de/8": "block", "org/es/": "block"}
+RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
 ORDER = 5
 _END = re.compile(r"[/?#]")
 _STOP = re.compile(r"[?#]")

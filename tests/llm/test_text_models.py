@@ -99,6 +99,14 @@ def test_url_rules(host, path, rule):
     assert url_filter.Rules(url_filter.RULES).find(host, path)[0] == rule
 
 
+@pytest.mark.parametrize("url,rule,verdict", [
+    ("x://a.com/en/1", "com/en/", "block"), ("x://b.example.com/en/71", "example.com/en/7", "allow"), ("x://a.net/de/1", "net/de/", "allow"),
+    ("x://example.net/de/8", "example.net/de/8", "block"), ("x://example.net/de/7", "net/de/", "allow"), ("x://a.b.org/es/", "org/es/", "block"),
+])
+def test_url_rules_have_the_words_of_the_contract(url, rule, verdict):
+    assert url_filter.Rules(url_filter.RULES).find(*url_filter.parts(url)) == (rule, verdict)
+
+
 def test_url_verdicts(spark):
     rng = random.Random(1)
     good = [(i, f"https://{rng.choice(['library', 'garden', 'museum'])}{i}.ok/{rng.choice(['book', 'tree'])}/{i}", "h") for i in range(300)]
