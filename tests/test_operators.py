@@ -3,6 +3,7 @@
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 from small import Graph, guid
 
 from graphloom.operators import idsets, verify, writes
@@ -86,6 +87,31 @@ def test_restore_rejects_other_text(spark):
         primitives.restore(lines).collect()
 
 
+def test_restore_makes_each_record_once_and_joins_later_versions_alone(spark):
+    rows = [{"id": i, "name": f"n {i}", "prev": 5 if i == 9 else None, "lineage": 5 if i == 9 else i} for i in range(40)]
+    made = spark.sparkContext.accumulator(0)
+
+    def same(x):
+        made.add(1)
+        return x
+
+    back = primitives.restore(primitives.dump(frame(spark, rows)).select(F.udf(same)("record").alias("record")))
+    assert made.value == len(rows)
+    plan = back._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union" and "Join" not in plan.children().head().toString()  # rows without prev are only read
+    assert {(r.id, r.lineage) for r in back.collect()} == {(r["id"], r["lineage"]) for r in rows}
+
+
+def test_records_of_both_formats_and_blank_lines_are_restored_together(spark):
+    tail = "true true %s1970-01-01T00:00:00.0003Z null %s %s)"
+    lines = ['(%s null "a b" string "v" null ' % guid(1) + tail % ("", guid(0), "null"), '(%s null "ab" string "v" null ' % guid(2) + tail % ("", "null", guid(1)), "", "  ", None,
+             '(%s null "a ) b" string "\\" x" null ' % guid(3) + tail % ("false ", guid(1), "null"), '(%s null null null "v" null ' % guid(4) + tail % ("false ", "null", guid(3)) + "\n"]
+    got = primitives.restore(spark.createDataFrame([(x,) for x in lines], "record string")).orderBy("id").collect()
+    assert [(r.id, r.name, r.value, r.txstart, r.ts_raw, r.right, r.prev, r.lineage) for r in got] == [
+        (1, "a b", "v", True, 3, 0, None, 1), (2, "ab", "v", True, 3, None, 1, 1), (3, "a ) b", '" x', False, 3, 1, None, 3), (4, None, "v", False, 3, None, 3, 3),
+    ]
+
+
 def test_bulk_write_plans(spark):
     old = frame(spark, [{"id": 0, "name": "a", "value": "1"}, {"id": 1, "name": None, "value": "2"}])
     batch = spark.createDataFrame([("a", "1"), ("a", "9"), (None, "2"), ("z", "3")], "name string, value string")
